@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import packing, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +19,15 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hexadecimal("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document goes, in sequences of at most 1024 tokens."""
+    found = packing.pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op7_lp_packing": op7_lp_packing,
 }
 
 #: DuckDB SQL where it can express a query; the others are tested against brute force.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import decontaminate, packing, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hexadecimal("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds at least 0.8 of the five-word shingles of a benchmark item, with the item."""
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every piece of every document goes, in sequences of at most 1024 tokens."""
     found = packing.pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
@@ -27,8 +32,11 @@ def op7_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op3_decontamination": op3_decontamination,
     "op7_lp_packing": op7_lp_packing,
 }
 
 #: DuckDB SQL where it can express a query; the others are tested against brute force.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_decontamination": decontaminate.CONTAINED_SQL,
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash
+from . import decontaminate, packing, simhash, unigram
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,10 +30,22 @@ def op7_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the best unigram segmentation of every document."""
+    return unigram.count_tokens(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and subword lattice score of every document."""
+    return unigram.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op3_decontamination": op3_decontamination,
     "op7_lp_packing": op7_lp_packing,
+    "op8_token_counts": op8_token_counts,
+    "op10_lattice_lm": op10_lattice_lm,
 }
 
 #: DuckDB SQL where it can express a query; the others are tested against brute force.

@@ -95,9 +95,12 @@ def test_scores(spark, monkeypatch, frequent):
         for (d, _), ws in zip(rows, tokens, strict=True)
     )
     assert sorted((x.id or -1, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in got) == expected
-    p, unknown, end = U.learn(U.word_counts(spark.createDataFrame([(t,) for d, t in rows if not U.held_out(d)], "text string")), sum(not U.held_out(d) for d, _ in rows))
-    lattice = U.Lattice(U.vocabulary(), p, unknown, end)
-    mine = sorted((d or -1, round((sum(lattice.log_probability(w.decode()) for w in ws[:-1]) + math.log(lattice.end)) / math.log(10), 6)) for (d, _), ws in zip(rows, tokens, strict=True))
+    training = [(t,) for d, t in rows if not U.held_out(d)]
+    lattice = U.Lattice(U.vocabulary(), *U.learn(U.word_counts(spark.createDataFrame(training, "text string"))))
+    words = {w: n for w, n in counts.items() if w is not None}
+    n1, n2 = (sum(n == k for n in words.values()) for k in (1, 2))
+    model = U.Model(lattice, n, len(words), len(training), min(0.9, max(0.1, n1 / (n1 + 2 * n2))))
+    mine = sorted((d or -1, (sum(model.log_word(counts[w], lattice.log_probability(w.decode())) for w in ws[:-1]) + model.end) / math.log(10)) for (d, _), ws in zip(rows, tokens, strict=True))
     assert all(a[0] == b[0] and math.isclose(a[1], b[1], abs_tol=1e-4) for a, b in zip(sorted((x.id or -1, x.score) for x in got), mine, strict=True))
     assert np.isfinite([x.score for x in got]).all()
 

@@ -197,23 +197,42 @@ class Lattice:
             into[k] += n * math.exp(a[begin] + y - a[size])
 
 
+class Model:
+    """Probabilities of words and of the end of a text, as discounted counts backed by the lattice.
+
+    A word counted n times has (n - discount) / (total + 1), and every word, counted or not, the discounted mass
+    times the sum over its segmentations: the whole word is one more edge of its lattice. All words and the end sum up to at most one.
+    """
+
+    def __init__(self, lattice: Lattice, total: int, types: int, n_docs: int, discount: float):
+        self.lattice, self.total, self.discount = lattice, total + 1.0, discount
+        self.back = math.log((discount * types + 0.5) / self.total)
+        self.end = math.log((n_docs + 0.5) / self.total)
+
+    def log_word(self, n: int, log_lattice: float) -> float:
+        backed = self.back + log_lattice
+        return math.log((n - self.discount) / self.total + math.exp(backed)) if n else backed
+
+
 class WordScores(dict):
-    """word as bytes -> its natural log probability."""
+    """word as bytes -> (its natural log probability if its count is known, else that of its lattice)."""
 
-    def __init__(self, lattice: Lattice):
-        self.lattice = lattice
+    def __init__(self, model: Model, known: dict[bytes, int]):
+        self.model, self.known = model, known
 
     def __missing__(self, word: bytes) -> float:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        self[word] = found = self.lattice.log_probability(word.decode())
+        found = self.model.lattice.log_probability(word.decode())
+        n = self.known.get(word)
+        self[word] = found = found if n is None else self.model.log_word(n, found)
         return found
 
 
 #: Most frequent training words, whose counts are sent to every task; those of the others are joined.
 FREQUENT_WORDS = 200_000
 #: Weight of the vocabulary's own scores against the corpus, in pieces.
-PRIOR_PIECES = 1000.0
+PRIOR_PIECES = 10.0
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -229,10 +248,10 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def learn(words: DataFrame, n_docs: int, path: str | None = None, rounds: int = 1) -> tuple[np.ndarray, float, float]:
-    """Expected uses of each piece, of characters without one and of ends in the counted words, by expectation maximisation.
+def learn(words: DataFrame, path: str | None = None, rounds: int = 1) -> tuple[np.ndarray, float, float]:
+    """Probabilities of pieces and of characters without one, from their expected uses in the distinct words.
 
-    The first round weights the segmentations by the vocabulary's scores, which also stay as a prior. Only sums by piece leave
+    Each word counts once, since the lattice stands in for words that counts say little of. The first round weights the segmentations by the vocabulary's scores, which also stay as a prior. Only sums by piece leave
     the tasks: as many numbers as the vocabulary has pieces.
     """
     v = vocabulary(path)
@@ -245,16 +264,16 @@ def learn(words: DataFrame, n_docs: int, path: str | None = None, rounds: int =
             own = Lattice(vocabulary(path), *state)
             into = [0.0] * (len(own.p) + 1)
             for b in batches:
-                for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    own.expect(word.decode(), n, into)
+                for word in b.column(0).to_pylist():
+                    own.expect(word.decode(), 1.0, into)
             some = np.flatnonzero(into)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.array(into)[some])], ["k", "x"])
 
         uses = np.zeros(len(v.pieces) + 1)
-        for k, x in words.mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x")).collect():
+        for k, x in words.select("word").mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x")).collect():
             uses[k] = x
         pieces = uses[:-1] + PRIOR_PIECES * np.array(prior.p)
-        lattice = Lattice(v, pieces, uses[-1] + PRIOR_PIECES * prior.unknown, n_docs + PRIOR_PIECES * prior.end)
+        lattice = Lattice(v, pieces, uses[-1] + PRIOR_PIECES * prior.unknown, PRIOR_PIECES * prior.end)
     return np.array(lattice.p), lattice.unknown, lattice.end
 
 
@@ -263,63 +282,74 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = 1, id_col: str
 
     Rows whose crc32 of the id as text leaves 1 by 5 are held out; all others are learnt from. A null text is empty and
     has one token, its end; a null id counts as an empty text. Rows that repeat an id are scored and learnt from like
-    any other. base_score is that of single words with half a count added; score sums over the segmentations of
-    every word into pieces.
+    any other. base_score is that of single words with half a count added; score is the
+    log10 probability under ``Model``.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     held_out = (F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 5) == 1
     training = source.where(~held_out)
     counts = cut(word_counts(training))
     n_docs = training.count()
-    row = counts.agg(F.sum("n"), F.count("*")).first()
-    total, distinct = (row[0] or 0) + n_docs, row[1] + (n_docs > 0)
+    row = counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    types = row[1]
+    total, distinct = (row[0] or 0) + n_docs, types + (n_docs > 0)
+    discount = min(0.9, max(0.1, row[2] / (row[2] + 2 * row[3]))) if row[2] else 0.5
     below = math.log10(total + 0.5 * (distinct + 1))
-    state = learn(counts, n_docs, path, rounds)
+    state = learn(counts, path, rounds)
     frequent = {bytes(w): n for w, n in counts.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).collect()}
     shared = docs.sparkSession.sparkContext.broadcast((state, frequent))
-    complete = distinct - (n_docs > 0) <= len(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (p, unknown, end), known = shared.value
-        scores = WordScores(Lattice(vocabulary(path), p, unknown, end))
+        model = Model(Lattice(vocabulary(path), p, unknown, end), total, types, n_docs, discount)
+        scores = WordScores(model, known)
         lookup = {w: math.log10(n + 0.5) - below for w, n in known.items()}
         end_base = math.log10(n_docs + 0.5) - below
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for value in b.column(1):
                 words = (value.as_py() or "").encode().lower().split()
-                base, n_known, rare = [end_base], int(n_docs > 0), Counter()
+                base, found, rare = [end_base], [model.end], Counter()
                 for w in words:
                     x = lookup.get(w)
                     if x is None:
                         rare[w] += 1
                     else:
                         base.append(x)
-                if complete:
-                    base.append((math.log10(0.5) - below) * rare.total())
-                    rare.clear()
-                found = math.fsum(map(scores.__getitem__, words)) + math.log(end)
-                row = (len(words) + 1, len(base) - 1 - complete + n_known, math.fsum(base), found / math.log(10), list(rare.keys()), list(rare.values()))
+                        found.append(scores[w])
+                row = (len(words) + 1, len(base) - 1 + (n_docs > 0), math.fsum(base), math.fsum(found) / math.log(10), rare.keys(), rare.values(), [scores[w] for w in rare])
                 for c, x in zip(cols, row, strict=True):
-                    c.append(x)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *arrays], ["id", "row", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"])
+                    c.append(x if isinstance(x, (int, float)) else list(x))
+            types_ = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.float64()))
+            arrays = [pa.array(c, t) for c, t in zip(cols, types_, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *arrays], ["id", "row", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times", "lattice"])
 
     numbered = source.select("id", "text", F.monotonically_increasing_id().alias("row"), held_out.alias("held_out"))
-    schema = "id long, row long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>"
+    schema = "id long, row long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>, lattice array<double>"
     found = cut(numbered.mapInArrow(run, schema))
-    whole = found.select("id", "row", "held_out", "n_tokens", "n_known", "base", "score")
-    if not complete:
-        rare = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-        rare = rare.join(counts, "word", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
-        more = rare.groupBy("row").agg(
-            F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - below)).alias("more"),
-            F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        )
-        whole = whole.join(more, "row", "left").withColumn("base", F.col("base") + F.coalesce("more", F.lit(0.0)))
-        whole = whole.withColumn("n_known", F.col("n_known") + F.coalesce("more_known", F.lit(0)))
-    return whole.select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+
+    # The other words meet their counts; those that no training row has are left without one.
+    back = math.log((discount * types + 0.5) / (total + 1.0))
+    rare = found.select("row", F.explode(F.arrays_zip("rare", "times", "lattice")).alias("r"))
+    rare = rare.select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"), F.col("r.lattice").alias("lattice"))
+    rare = rare.join(counts, "word", "left").select("row", "times", "n", (F.col("lattice") + back).alias("backed"))
+    log_word = F.when(F.col("n").isNull(), F.col("backed")).otherwise(F.log((F.col("n") - discount) / (total + 1.0) + F.exp("backed")))
+    more = rare.groupBy("row").agg(
+        F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - below)).alias("more_base"),
+        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
+        F.sum(F.col("times") * log_word / math.log(10)).alias("more_score"),
+    )
+    whole = found.select("id", "row", "held_out", "n_tokens", "n_known", "base", "score").join(more, "row", "left")
+    zero = F.lit(0)
+    return whole.select(
+        "id",
+        "held_out",
+        "n_tokens",
+        (F.col("n_known") + F.coalesce("more_known", zero)).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", zero)).alias("score"),
+    )
 
 
 def held_out(doc_id: int | None) -> bool:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, unigram
+from . import decontaminate, packing, pii, simhash, unigram
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base spans, and all spans."""
+    return pii.find(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base score and subword lattice score of every document."""
     return unigram.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -45,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op3_decontamination": op3_decontamination,
     "op7_lp_packing": op7_lp_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_pii_spans": op9_pii_spans,
     "op10_lattice_lm": op10_lattice_lm,
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, simhash, unigram
+from . import decontaminate, packing, pii, quality, simhash, unigram
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log weight of every document, its sampling key and whether it is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.sample(docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *(F.col(f"{quality.KEY}_{x}").alias(x) for x in ("weight", "key", "kept")))
+
+
 def op7_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every piece of every document goes, in sequences of at most 1024 tokens."""
     found = packing.pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
@@ -48,6 +55,7 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op3_decontamination": op3_decontamination,
+    "op4_importance_resampling": op4_importance_resampling,
     "op7_lp_packing": op7_lp_packing,
     "op8_token_counts": op8_token_counts,
     "op9_pii_spans": op9_pii_spans,

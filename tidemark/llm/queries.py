@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, simhash, unigram
+from . import binary, decontaminate, packing, pii, quality, simhash, topk, unigram
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hexadecimal("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth embedding against all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds at least 0.8 of the five-word shingles of a benchmark item, with the item."""
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -31,6 +36,11 @@ def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(F.col(f"{quality.KEY}_{x}").alias(x) for x in ("weight", "key", "kept")))
 
 
+def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed lines of 2048 token ids."""
+    return binary.packed(table(spark, sf_dir, "documents"))
+
+
 def op7_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every piece of every document goes, in sequences of at most 1024 tokens."""
     found = packing.pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
@@ -54,8 +64,10 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op2_pivot_topk": op2_pivot_topk,
     "op3_decontamination": op3_decontamination,
     "op4_importance_resampling": op4_importance_resampling,
+    "op5_packed_ids": op5_packed_ids,
     "op7_lp_packing": op7_lp_packing,
     "op8_token_counts": op8_token_counts,
     "op9_pii_spans": op9_pii_spans,
@@ -64,5 +76,6 @@ QUERIES: dict[str, Query] = {
 
 #: DuckDB SQL where it can express a query; the others are tested against brute force.
 ORACLE: dict[str, str] = {
+    "op2_pivot_topk": topk.TOP_K_SQL,
     "op3_decontamination": decontaminate.CONTAINED_SQL,
 }

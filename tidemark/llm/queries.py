@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontaminate, packing, pii, quality, simhash, topk, unigram
+from . import binary, chaining, decontaminate, packing, pii, quality, simhash, topk, unigram
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.packed(table(spark, sf_dir, "documents"))
 
 
+def op6_chained_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat across documents, exactly or with edits."""
+    return chaining.repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every piece of every document goes, in sequences of at most 1024 tokens."""
     found = packing.pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op3_decontamination": op3_decontamination,
     "op4_importance_resampling": op4_importance_resampling,
     "op5_packed_ids": op5_packed_ids,
+    "op6_chained_repeats": op6_chained_repeats,
     "op7_lp_packing": op7_lp_packing,
     "op8_token_counts": op8_token_counts,
     "op9_pii_spans": op9_pii_spans,

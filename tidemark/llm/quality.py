@@ -178,19 +178,26 @@ def threshold(keys: DataFrame, key: str, k: int) -> float:
             return sorted((r[0] for r in keys.where(F.col(key).between(lo, hi)).select(key).collect()), reverse=True)[k - 1]
 
 
+def least_key(weighed: DataFrame) -> float:
+    """The smallest key that is kept of ``weighed`` rows: of the k largest, k being the expected number of target documents."""
+    k = round(weighed.agg(F.sum(f"{KEY}_target")).first()[0] or 0)
+    return threshold(weighed, f"{KEY}_key", k)
+
+
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with weight, key, target and kept (columns named as in ``weigh``, and ``KEY``_kept).
+    """(doc_id, weight, key, kept) of every row.
 
-    A null text is an empty one. Rows that repeat an id and a text have one key and share its fate;
-    rows tied with the last kept are kept. Without labels all weights are zero. Empty tables give empty results.
+    A null text is an empty one. Rows that repeat an id and a text have one key and share its fate; rows tied with the
+    last kept are kept. Without labels all weights are zero. Empty tables give empty results.
     """
-    weighed = weigh(docs, fit(docs, labels))
-    keys = cut(weighed.select(f"{KEY}_key", f"{KEY}_target"))
-    k = round(keys.agg(F.sum(f"{KEY}_target")).first()[0] or 0)
-    least = threshold(keys, f"{KEY}_key", k)
-    return weighed.withColumn(f"{KEY}_kept", F.col(f"{KEY}_key") >= least)
+    weighed = weigh(docs.select("doc_id", "text"), fit(docs, labels))
+    weighed = cut(weighed.select("doc_id", *(f"{KEY}_{x}" for x in ("weight", "key", "target"))))
+    kept = F.col(f"{KEY}_key") >= least_key(weighed)
+    return weighed.select("doc_id", F.col(f"{KEY}_weight").alias("weight"), F.col(f"{KEY}_key").alias("key"), kept.alias("kept"))
 
 
 def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    return sample(docs, labels).where(f"{KEY}_kept").select(*docs.columns)
+    """The rows of ``docs`` that are kept, with the columns of ``docs``. They are weighed twice rather than stored with their texts."""
+    weighed = weigh(docs, fit(docs, labels))
+    least = least_key(cut(weighed.select(f"{KEY}_key", f"{KEY}_target")))
+    return weighed.where(F.col(f"{KEY}_key") >= least).select(*docs.columns)

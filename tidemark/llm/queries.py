@@ -31,9 +31,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log weight of every document, its sampling key and whether it is kept."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = quality.sample(docs, table(spark, sf_dir, "labels"))
-    return found.select("doc_id", *(F.col(f"{quality.KEY}_{x}").alias(x) for x in ("weight", "key", "kept")))
+    return quality.sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

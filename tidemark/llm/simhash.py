@@ -15,7 +15,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, words_of
@@ -220,3 +220,16 @@ def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4, id_col: str
 
 def hexadecimal(fp: str):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def deduplicated(docs: DataFrame, size: int = 5, budget: int = 6) -> DataFrame:
+    """One row of ``docs`` for each class of near-duplicates: one with the smallest doc_id. Rows without an id stay.
+
+    Fingerprints are of five-word shingles. Two texts of which the fingerprints differ in 6 of 64 bits have an estimated
+    cosine of 0.96 between their shingle counts; unrelated texts differ in some 32.
+    """
+    stay = cut(near_duplicates(docs, size, budget).where("id = component").select(F.col("id").alias("doc_id")).distinct())
+    named = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi")
+    first = Window.partitionBy("doc_id").orderBy("doc_id")
+    named = named.withColumn("__tidemark_row", F.row_number().over(first)).where("__tidemark_row = 1")
+    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

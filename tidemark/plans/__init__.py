@@ -1,0 +1,6 @@
+"""The catalogue of queries."""
+
+from . import evaluation, sequences  # noqa: F401
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

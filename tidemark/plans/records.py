@@ -81,7 +81,7 @@ def duplicate_keys(spark, d):
 
 # Credit: a state is a user, a decision an event type, slots are the first eight events of it.
 
-NESTED_SQL = f"""{STEPS_SQL}, n AS (SELECT user_id AS state, tool AS decision, value / 100 AS reward, CAST(row_number() OVER (PARTITION BY user_id, tool ORDER BY ts, event_id) - 1 AS INTEGER) AS slot,
+NESTED_SQL = f"""{STEPS_SQL}, n AS (SELECT user_id AS state, tool AS decision, value / 97 AS reward, CAST(row_number() OVER (PARTITION BY user_id, tool ORDER BY ts, event_id) - 1 AS INTEGER) AS slot,
   count(*) OVER (PARTITION BY user_id, tool) AS proposals FROM steps),
 samples AS (SELECT * FROM n WHERE slot < 8 AND proposals >= 8), train AS (SELECT * FROM samples WHERE slot < 4), gate AS (SELECT * FROM samples WHERE slot >= 4)"""
 
@@ -91,7 +91,7 @@ def nested(spark, d):
 
     w = Window.partitionBy("user_id", "tool")
     n = steps(spark, d).select(
-        F.col("user_id").alias("state"), F.col("tool").alias("decision"), (F.col("value") / 100).alias("reward"), (F.row_number().over(w.orderBy("ts", "event_id")) - 1).alias("slot"), F.count("*").over(w).alias("proposals")
+        F.col("user_id").alias("state"), F.col("tool").alias("decision"), (F.col("value") / 97).alias("reward"), (F.row_number().over(w.orderBy("ts", "event_id")) - 1).alias("slot"), F.count("*").over(w).alias("proposals")
     )
     return n.where("slot < 8 AND proposals >= 8")
 
@@ -119,12 +119,12 @@ b AS (SELECT *, sum(p * (q - mu) * (q - mu)) OVER w AS var, greatest(sum(p * own
 c AS (SELECT *, greatest(var - unc, 0.0) / (greatest(var - unc, 0.0) + greatest(own + noise - 2 * row, 0.0) + 1e-8) AS kappa FROM b),
 s AS (SELECT *, mu + kappa * (q - mu) AS shrunk FROM c), v AS (SELECT *, sum(p * shrunk) OVER (PARTITION BY state) AS v FROM s),
 m AS (SELECT *, max(abs(shrunk - v)) OVER (PARTITION BY state) AS largest FROM v)
-SELECT state, decision, round(mu, 6) AS mu, round(kappa, 5) AS kappa, round(shrunk, 6) AS shrunk, round((shrunk - v) * CASE WHEN largest = 0 THEN 1.0 ELSE least(1.0, 0.5 / largest) END, 6) AS advantage FROM m""")
+SELECT state, decision, round(mu, 6) AS mu, round(kappa, 5) AS kappa, round(shrunk, 6) AS shrunk, round((shrunk - v) * CASE WHEN largest = 0 THEN 1.0 ELSE least(1.0, 0.5 / largest) END, 6) + 0e0 AS advantage FROM m""")
 def nested_shrinkage(spark, d):
     samples = nested(spark, d).where("slot < 4")
     decisions = samples.groupBy("state", "decision").agg(F.max("proposals").alias("proposals"))
     out = K.shrinkage(decisions, samples.select("state", "decision", "slot", "reward"))
-    return out.select("state", "decision", F.round("mu", 6).alias("mu"), F.round("kappa", 5).alias("kappa"), F.round("shrunk", 6).alias("shrunk"), F.round("advantage", 6).alias("advantage"))
+    return out.select("state", "decision", F.round("mu", 6).alias("mu"), F.round("kappa", 5).alias("kappa"), F.round("shrunk", 6).alias("shrunk"), (F.round("advantage", 6) + F.lit(0.0)).alias("advantage"))
 
 
 STATES_SQL = f"""{STEPS_SQL}, states AS (SELECT user_id AS state, count(*) AS proposals, count(DISTINCT tool) AS decisions, count(*) >= 60 AS slots_complete, count_if(k % 10 = 0) < 9 AS train_valid,

@@ -1,6 +1,6 @@
 """Quality filter by importance resampling of hashed n-grams.
 
-Words, pairs of words and shapes of words (case, letters, marks, whether it repeats the last one) are hashed into buckets.
+Words, pairs of words and shapes of words (case, digits, marks, whether it repeats the last one) are hashed into buckets.
 A generative model gives the rate at which documents hold each. The target is the text labelled good and not toxic; raw text is modelled
 by kind, as toxic and as poor text, since a document is raw in either way. The target's rates are smoothed by that
 of the whole corpus. A raw kind has the rates of the target but in the buckets in which its counts depart from it
@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Buckets of words and of pairs of words; of shapes, of pairs of shapes and of shapes with the share of words that have them.
+#: Buckets of each of the two tables of words and of pairs of words; of shapes, of pairs of shapes and of shapes with the share
+#: of words that have them.
 WORDS, SHAPES = 1 << 16, 1 << 12
-SIZE = 2 * WORDS + 3 * SHAPES
+SIZE = 4 * WORDS + 3 * SHAPES
 CORPUS, TARGET, TOXIC, POOR = range(4)
 #: Evidence for the target from all that a document lacks, at most: buckets of one kind of text go together.
 MOST_LACKED = 3.0
@@ -34,47 +35,59 @@ LABELLED_ROWS = 100_000
 PULL = 0.02
 #: A raw kind's count of a bucket departs from the target beyond so many standard deviations and rows.
 DEVIATIONS, LEAST = 4.0, 2.0
+#: It also has to be so many times the target's rate, and so many of the kind's documents have to hold the bucket. Small
+#: differences over the thousands of words of a long document, and the words of one passage that is copied a lot, say nothing of its kind.
+TIMES, HELD_BY = 3.0, 0.01
 #: Words whose buckets a worker keeps.
 KEPT_WORDS = 500_000
 KEY = "__tidemark_key"
 
 
-def shape(word: bytes) -> bytes:
-    """Case, whether it has letters, and the marks at its end."""
+def shape(word: bytes) -> tuple[bytes, bytes]:
+    """(the word without marks around it, its shape: case, whether it has digits, and the marks at its end)."""
     text = word.decode(errors="replace")
-    core = text.rstrip("".join({c for c in text if not c.isalnum()}))
+    marks = "".join({c for c in text if not c.isalnum()})
+    core = text.rstrip(marks)
     letters = [c for c in core if c.isalpha()]
     case = b"-" if not letters else b"U" if len(letters) > 1 and all(c.isupper() for c in letters) else b"l"
     digits = b"d" if any(c.isdigit() for c in core) else b""
-    return case + digits + text[len(core) :].encode()[-3:]
+    return (core.lstrip(marks).lower() or text).encode(), case + digits + text[len(core) :].encode()[-3:]
 
 
 class Buckets(dict):
-    """word -> bucket of the word and of its shape, in one number."""
+    """word -> 32 bits of the word's hash, then 16 bits for the bucket of its shape."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        own = xxhash.xxh64_intdigest(word.lower(), 11) % WORDS
-        self[word] = found = own << 16 | xxhash.xxh64_intdigest(shape(word), 12) % (SHAPES // 2)
+        core, form = shape(word)
+        own = xxhash.xxh64_intdigest(core, 11) & 0xFFFFFFFF
+        self[word] = found = own << 16 | xxhash.xxh64_intdigest(form, 12) % (SHAPES // 2)
         return found
 
 
 _buckets = Buckets()
 
 
-def features(text: str | None) -> np.ndarray:
-    """Distinct buckets of a whole text: one long or repetitive document must not outweigh the others of its class."""
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a whole text: one long or repetitive document must not outweigh the others of its class.
+
+    Each feature has a bucket in two tables, the same one for shapes. Two features that share one rarely share the other.
+    """
     words = text.encode().split() if text else []
     both = np.fromiter(map(_buckets.__getitem__, words), dtype=np.int64, count=len(words))
     own, form = both >> 16, both & 0xFFFF
     again = np.concatenate(([False], own[1:] == own[:-1])) if len(words) else np.zeros(0, dtype=bool)
-    form = form + again * (SHAPES // 2)
-    pairs = (own[:-1] * 40503 + own[1:] * 9973 + 7) % WORDS
-    forms = (form[:-1] * 2477 + form[1:] * 883 + 3) % SHAPES
-    kinds, n = np.unique(form, return_counts=True)
-    shares = (kinds * 1571 + np.ceil(-2 * np.log2(n / max(1, len(words)))).astype(np.int64) * 97 + 5) % SHAPES
-    return np.unique(np.concatenate((own, WORDS + pairs, 2 * WORDS + form, 2 * WORDS + SHAPES + forms, 2 * WORDS + 2 * SHAPES + shares)))
+    counts = np.bincount(form + again * (SHAPES // 2), minlength=SHAPES)
+    kinds = np.flatnonzero(counts)
+    shares = (kinds * 1571 + np.ceil(-2 * np.log2(counts[kinds] / max(1, len(words)))).astype(np.int64) * 97 + 5) % SHAPES
+    forms = np.flatnonzero(np.bincount((form[:-1] * 2477 + form[1:] * 883 + 3) % SHAPES, minlength=SHAPES))
+    shapes = np.concatenate((kinds, SHAPES + forms, 2 * SHAPES + shares)) + 4 * WORDS
+    single = np.unique(own)
+    pairs = np.unique(((own[:-1] * 0x9E3779B1 + own[1:]) * 0x85EBCA6B) >> 8 & 0xFFFFFFFF)
+    first = np.concatenate((single & 0xFFFF, 2 * WORDS + (pairs & 0xFFFF), shapes))
+    second = np.concatenate((WORDS + (single >> 16), 3 * WORDS + (pairs >> 16), shapes))
+    return first, second
 
 
 def classes(labels: DataFrame) -> DataFrame:
@@ -97,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.
             held: list[list[np.ndarray]] = [[] for _ in range(4)]
             waiting = 0
             for text, kind in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                found = features(text.as_py())
+                first, second = features(text.as_py())
+                found = np.concatenate((first, second[second < 4 * WORDS]))
                 kind = kind or CORPUS
                 rows[kind] += 1
                 held[kind].append(found)
@@ -121,10 +135,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.
     held, lacked = np.zeros((2, SIZE)), np.zeros((2, SIZE))
     for k, kind in enumerate((TOXIC, POOR)):
         expected = rows[kind] * target
-        departs = np.abs(counts[kind] - expected) > DEVIATIONS * np.sqrt(expected + 1) + LEAST
+        departs = counts[kind] - expected > DEVIATIONS * np.sqrt(expected + 1) + LEAST
+        departs &= (counts[kind] > TIMES * expected) & (counts[kind] > HELD_BY * rows[kind])
         raw = (counts[kind] + PULL * expected + 1e-6 * target) / (rows[kind] * (1 + PULL) + 1e-6)
         held[k] = np.where(departs, np.log(target) - np.log(raw), 0.0)
-        lacked[k] = np.where(departs & (raw > target), np.log1p(-np.minimum(target, 0.99)) - np.log1p(-np.minimum(raw, 0.99)), 0.0)
+        lacked[k] = np.where(departs, np.log1p(-np.minimum(target, 0.99)) - np.log1p(-np.minimum(raw, 0.99)), 0.0)
     odds = np.log((rows[[TOXIC, POOR]] + 0.5) / (rows[TARGET] + 0.5))
     return held, np.minimum(lacked.sum(axis=1), MOST_LACKED), odds
 
@@ -146,7 +161,9 @@ def weigh(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ratios.value
         for b in batches:
-            totals = np.array([table[:, features(t.as_py())].sum(axis=1) for t in b.column(b.schema.get_field_index("text"))]).reshape(-1, 2) + none
+            # Evidence is at most zero; of the two buckets of a feature the one with less counts.
+            each = (features(t.as_py()) for t in b.column(b.schema.get_field_index("text")))
+            totals = np.array([np.maximum(table[:, x], table[:, y]).sum(axis=1) for x, y in each]).reshape(-1, 2) + none
             weight = totals.min(axis=1)
             target = 1 / (1 + np.exp(np.clip(odds - totals, -50, 50)).sum(axis=1))
             ids = b.column(b.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)

@@ -28,7 +28,7 @@ WORDS, SHAPES = 1 << 16, 1 << 12
 SIZE = 4 * WORDS + 3 * SHAPES
 CORPUS, TARGET, TOXIC, POOR = range(4)
 #: Evidence for the target from all that a document lacks, at most: buckets of one kind of text go together.
-MOST_LACKED = 3.0
+MOST_LACKED = 4.5
 #: Labelled rows that a model is fitted to at most, taken in the order of a hash.
 LABELLED_ROWS = 100_000
 #: Weight of the corpus in the target's model, and of the target in a raw kind's, as a multiple of its own documents.

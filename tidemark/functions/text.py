@@ -72,4 +72,4 @@ def canonical(s: pd.Series) -> pd.Series:
 def seed63(text: Column) -> Column:
     """A seed of 63 bits: the first 16 digits of SHA-256, masked."""
     digest = F.conv(F.left(F.sha2(text, 256), F.lit(16)), 16, 10).cast("decimal(20,0)")
-    return F.pmod(digest, F.lit(1 << 63).cast("decimal(20,0)")).cast("bigint")
+    return F.pmod(digest, F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("bigint")

@@ -76,7 +76,7 @@ def price_gate(limit: Column, price: Column) -> Column:
 def holds_token(text: Column, token: Column) -> Column:
     """The token stands alone in the text: no ASCII letter or digit on either side."""
     quoted = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), token, F.lit(r"\E(?![A-Za-z0-9])"))
-    return text.rlike(quoted)
+    return F.regexp_like(text, quoted)
 
 
 def model_match(required: Column, text: Column) -> Column:

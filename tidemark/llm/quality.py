@@ -127,8 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.
         yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(buckets), pa.array(n)], ["kind", "bucket", "n"])
 
     counts = np.zeros((4, SIZE + 1))
-    for kind, bucket, n in source.mapInArrow(run, "kind long, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n")).collect():
-        counts[kind, bucket] = n
+    found = source.mapInArrow(run, "kind long, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("kind").to_numpy(), found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     rows, counts = counts[:, SIZE], counts[:, :SIZE]
     every = (counts.sum(axis=0) + 1e-3) / (rows.sum() + 1)
     target = (counts[TARGET] + (PULL * rows[TARGET] + 1e-6) * every) / (rows[TARGET] * (1 + PULL) + 1e-6)

@@ -1,6 +1,6 @@
 """The catalogue of queries."""
 
-from . import evaluation, products, records, sequences, streams  # noqa: F401
+from . import actions, evaluation, products, records, sequences, streams  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

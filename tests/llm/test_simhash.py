@@ -69,10 +69,9 @@ def test_trie_finds_every_pair(spark, budget):
     r = random.Random(budget)
     centres = [r.getrandbits(64) for _ in range(6)]
     values = {r.choice(centres) ^ sum(1 << k for k in r.sample(range(64), r.randrange(7))) for _ in range(700)}
-    reps = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(sorted(values))], "id long, fp long")
     values = sorted(values)
-    links = simhash.near_links(reps, budget).collect()
-    assert all(bin(values[a] ^ values[b]).count("1") <= 64 for a, b in links)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    links = simhash.near_links(spark.createDataFrame([(i, v, []) for i, v in enumerate(signed)], "id long, fp long, more array<long>"), budget).collect()
 
     def classes(pairs):
         label = list(range(len(values)))
@@ -87,3 +86,41 @@ def test_trie_finds_every_pair(spark, budget):
 
     every = [(i, j) for i in range(len(values)) for j in range(i) if bin(values[i] ^ values[j]).count("1") <= budget]
     assert classes(links) == classes(every)
+
+
+def test_several_fingerprints(spark):
+    r = random.Random(11)
+    base = [r.getrandbits(63) for _ in range(60)]
+    more = [[r.choice(base[:8]) if r.random() < 0.2 else r.getrandbits(63) for _ in range(3)] for _ in base]
+    reps = spark.createDataFrame([(i, f, m) for i, (f, m) in enumerate(zip(base, more, strict=True))], "id long, fp long, more array<long>")
+    links = simhash.near_links(reps, 4, 4).collect()
+    columns = [base, *zip(*more, strict=True)]
+    near = lambda i, j: any(bin(c[i] ^ c[j]).count("1") <= 4 for c in columns)
+    label = list(range(60))
+    for _ in range(60):
+        for i in range(60):
+            for j in range(i):
+                if near(i, j):
+                    label[i] = label[j] = min(label[i], label[j])
+    got = list(range(60))
+    for _ in range(60):
+        for a, b in links:
+            got[a] = got[b] = min(got[a], got[b])
+    assert got == label and len(set(label)) < 50
+
+
+def test_edited_copies_go(spark):
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(5000)]
+    rows = []
+    for d in range(40):
+        text = r.choices(words, k=300)
+        rows.append((d, " ".join(text), "x"))
+        text[150] = "edited"
+        rows.append((100 + d, " ".join(text), "x"))
+    rows += [(None, rows[0][1], "x"), (7, rows[14][1], "again"), (500, None, "x"), (501, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    out = simhash.deduplicated(docs)
+    assert out.columns == docs.columns
+    got = [x.doc_id for x in out.collect()]
+    assert got.count(None) == 1 and sorted(d for d in got if d is not None) == [*range(40), 500]

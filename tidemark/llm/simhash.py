@@ -15,7 +15,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, words_of
@@ -81,14 +81,29 @@ def _permutations(budget: int) -> list[tuple[list[tuple[int, int]], int]]:
     return out
 
 
-def _permuted(fp: Column, moves: list[tuple[int, int]]) -> Column:
-    """The fingerprint with its blocks in the order of ``moves``."""
-    out, at = F.lit(0).cast("long"), 0
-    for first, n in moves:
-        block = F.shiftrightunsigned(fp, BITS - first - n).bitwiseAND(F.lit((1 << n) - 1))
-        out = out.bitwiseOR(F.shiftleft(block, BITS - at - n))
-        at += n
-    return out
+_TOP = np.uint64(1 << 63)
+
+
+def _dealt(perms: list[tuple[list[tuple[int, int]], int]], several: int):
+    """Rows (perm, path, value, id) of every permutation of every fingerprint; values have the top bit flipped, so that they sort as signed."""
+    depth = min(bits for _, bits in perms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            more = np.array(b.column(2).to_pylist(), dtype=np.int64).reshape(b.num_rows, several - 1)
+            for m, fp in enumerate((b.column(1).to_numpy(), *more.T)):
+                fp = np.ascontiguousarray(fp).view(np.uint64)
+                for k, (moves, _) in enumerate(perms):
+                    value, at = np.zeros_like(fp), 0
+                    for first, n in moves:
+                        block = fp >> np.uint64(BITS - first - n) & np.uint64((1 << n) - 1)
+                        value |= block << np.uint64(BITS - at - n)
+                        at += n
+                    perm = np.full(len(fp), m * len(perms) + k, dtype=np.int32)
+                    path = (value >> np.uint64(BITS - depth)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(perm), pa.array(path), pa.array((value ^ _TOP).view(np.int64)), b.column(0)], ["perm", "path", "value", "id"])
+
+    return run
 
 
 def _union(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -181,7 +196,7 @@ def _joined(perms: list[int], budget: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            new = (b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy())
+            new = (b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64) ^ _TOP, b.column(2).to_numpy())
             perm, values, ids = (np.concatenate(x) for x in zip(*held, new, strict=True))
             depth = np.array(perms, dtype=np.uint64)[perm]
             path = values >> (np.uint64(BITS) - depth)
@@ -203,15 +218,10 @@ def near_links(reps: DataFrame, budget: int = 4, several: int = 1) -> DataFrame:
     Of each subtrie the links of a spanning star of every class are given rather than all pairs.
     """
     perms = _permutations(budget)
-    each = [F.col("fp"), *(F.get("more", F.lit(m)) for m in range(several - 1))]
-    rows = [F.struct(F.lit(m * len(perms) + k).alias("perm"), _permuted(fp, moves).alias("value")) for m, fp in enumerate(each) for k, (moves, _) in enumerate(perms)]
-    dealt = reps.where("id IS NOT NULL").select("id", F.explode(F.array(*rows)).alias("r")).select("r.perm", "r.value", "id")
-    path = F.shiftrightunsigned("value", BITS - min(n for _, n in perms))
-    # Flipping the sign bit puts unsigned numbers in order.
-    order = F.col("value").bitwiseXOR(F.lit(-(1 << 63)))
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "perm", path).sortWithinPartitions("perm", order)
-    return dealt.mapInArrow(_joined([bits for _, bits in perms] * several, budget), "a long, b long")
+    rows = reps.where("id IS NOT NULL").select("id", "fp", "more").mapInArrow(_dealt(perms, several), "perm int, path long, value long, id long")
+    rows = rows.repartition(n, "perm", "path").select("perm", "value", "id").sortWithinPartitions("perm", "value")
+    return rows.mapInArrow(_joined([bits for _, bits in perms] * several, budget), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4, several: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

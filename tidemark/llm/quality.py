@@ -13,6 +13,7 @@ come from the target.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -196,8 +197,8 @@ def threshold(keys: DataFrame, key: str, k: int) -> float:
 
 
 def least_key(weighed: DataFrame) -> float:
-    """The smallest key that is kept of ``weighed`` rows: of the k largest, k being the expected number of target documents."""
-    k = round(weighed.agg(F.sum(f"{KEY}_target")).first()[0] or 0)
+    """The smallest key that is kept of ``weighed`` rows: of the k largest, k being the expected number of target documents, rounded up."""
+    k = ceil((weighed.agg(F.sum(f"{KEY}_target")).first()[0] or 0) - 1e-6)
     return threshold(weighed, f"{KEY}_key", k)
 
 

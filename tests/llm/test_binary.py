@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import binary
+from tidemark.llm import binary, queries
 from tidemark.llm.tokens import encoder
 
 
@@ -52,5 +52,17 @@ def test_round_trip(spark, monkeypatch, tmp_path):
     assert not parts and len({x.sequence_id for x in lines}) == len(lines)
 
 
+def test_query_has_positions(spark, tmp_path):
+    rows = [(d, "alpha be gamma's " * n) for d, n in enumerate([1, 30, 400, 3000])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    lines = queries.op5_packed_ids(spark, str(tmp_path)).collect()
+    assert lines
+    for x in lines:
+        places = np.frombuffer(x.positions, dtype="<i4")
+        assert len(places) * 4 == len(x.ids)
+        bounds = [*x.cu_seqlens, len(places)]
+        assert all((places[s:e] == np.arange(e - s)).all() for s, e in zip(bounds, bounds[1:], strict=False))
+
+
 def test_empty(spark):
     assert binary.packed(spark.createDataFrame([], "doc_id long, text string")).collect() == []

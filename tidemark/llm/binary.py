@@ -70,14 +70,14 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-SCHEMA = "sequence_id long, n_tokens int, ids binary, ids_crc32 long, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
+SCHEMA = "sequence_id long, n_tokens int, ids binary, ids_crc32 long, cu_seqlens array<int>, doc_ids array<long>, starts array<long>, positions binary"
 
 
 def packed(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 50256, pad_id: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each sequence: a line of the id matrix and what tells its segments apart.
 
     ids: ``capacity`` little-endian unsigned 32-bit ids, padded with ``pad_id``; n_tokens of them count. cu_seqlens: where each
-    segment begins, and the end of the last; positions restart there (``positions``). doc_ids and starts: the
+    segment begins, and the end of the last; positions (little-endian 32-bit, one for each id) restart there. doc_ids and starts: the
     segments' documents (null: a row without an id) and how many of their ids came before. A document is its ids and the end id; one that
     is longer than a sequence is cut at multiples of the capacity, so that nothing is lost. Null texts are empty ones. Rows
     that repeat an id are packed like any other.
@@ -91,19 +91,19 @@ def packed(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
             nonlocal made
             bins = best_fit_decreasing([len(x) for _, _, x in pieces], capacity)
             for at in range(0, len(bins), 2000):
-                cols: list[list] = [[] for _ in range(7)]
+                cols: list[list] = [[] for _ in range(8)]
                 for members in bins[at : at + 2000]:
                     line = np.full(capacity, pad_id, dtype="<u4")
                     ends = [0]
                     for k in members:
                         line[ends[-1] : ends[-1] + len(pieces[k][2])] = pieces[k][2]
                         ends.append(ends[-1] + len(pieces[k][2]))
-                    row = (base + made, ends[-1], line.tobytes(), zlib.crc32(line[: ends[-1]].tobytes()), ends, [pieces[k][0] for k in members], [pieces[k][1] for k in members])
+                    row = (base + made, ends[-1], line.tobytes(), zlib.crc32(line[: ends[-1]].tobytes()), ends, [pieces[k][0] for k in members], [pieces[k][1] for k in members], positions(ends, capacity).tobytes())
                     made += 1
                     for c, x in zip(cols, row, strict=True):
                         c.append(x)
-                types = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["sequence_id", "n_tokens", "ids", "ids_crc32", "cu_seqlens", "doc_ids", "starts"])
+                types = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["sequence_id", "n_tokens", "ids", "ids_crc32", "cu_seqlens", "doc_ids", "starts", "positions"])
 
         held: list[tuple[int | None, int, np.ndarray]] = []
         waiting = 0
@@ -123,15 +123,9 @@ def packed(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
 def positions(cu_seqlens: list[int], capacity: int) -> np.ndarray:
     """Position of every token of a line within its segment; those of the padding go on from 0."""
     bounds = [*cu_seqlens, capacity] if cu_seqlens[-1] < capacity else cu_seqlens
-    return np.concatenate([np.arange(e - s, dtype=np.int32) for s, e in zip(bounds, bounds[1:], strict=False)])
+    return np.concatenate([np.arange(e - s, dtype="<i4") for s, e in zip(bounds, bounds[1:], strict=False)])
 
 
 def write(sequences: DataFrame, path: str) -> None:
-    """Writes the lines of ``packed`` as Parquet with their positions (little-endian 32-bit) at ``path``, which must not exist."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [positions(cu, len(ids) // 4).tobytes() for cu, ids in zip(b.column(4).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], [*b.schema.names, "positions"])
-
-    sequences.mapInArrow(run, SCHEMA + ", positions binary").write.mode("errorifexists").parquet(path)
+    """Writes the lines of ``packed`` as Parquet at ``path``, which must not exist."""
+    sequences.write.mode("errorifexists").parquet(path)

@@ -124,3 +124,14 @@ def test_edited_copies_go(spark):
     assert out.columns == docs.columns
     got = [x.doc_id for x in out.collect()]
     assert got.count(None) == 1 and sorted(d for d in got if d is not None) == [*range(40), 500]
+
+
+def test_different_texts_of_one_id_stay(spark):
+    r = random.Random(8)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(120))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (2, b + " more", "x"), (3, c, "x"), (3, c, "x"), (4, None, "x"), (None, a, "x")]
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n)
+        got = [(x.doc_id or 0, x.text or "") for x in simhash.deduplicated(docs).collect()]
+        assert sorted(got) == sorted([(0, a), (1, a), (1, b), (3, c), (4, "")])

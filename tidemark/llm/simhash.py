@@ -251,12 +251,17 @@ def hexadecimal(fp: str):
 def deduplicated(docs: DataFrame, size: int = 5, budget: int = 6, several: int = 8) -> DataFrame:
     """One row of ``docs`` for each class of near-duplicates: one with the smallest doc_id. Rows without an id stay.
 
+    Rows that repeat an id with different texts are judged each by its own links; of rows with the same id and text one stays.
+
     Fingerprints are of five-word shingles. One alone differs in some ten of 64 bits at a similarity (Jaccard) of 0.8, with a spread
     of three; of eight, one comes within 6 bits for two in three pairs of 0.8, nine in ten of 0.85 and one in ten of 0.7.
     Fingerprints of unrelated texts differ in some 32.
     """
-    stay = cut(near_duplicates(docs, size, budget, several).where("id = component").select(F.col("id").alias("doc_id")).distinct())
-    named = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("doc_id")
+    key = "__tidemark_key"
+    named = docs.where("doc_id IS NOT NULL").withColumn(key, F.xxhash64("doc_id", "text"))
+    classes = near_duplicates(named, size, budget, several, id_col=key).select(F.col("id").alias(key), "component").distinct()
+    least = named.select(key, "doc_id").distinct().join(classes, key).groupBy("component").agg(F.min(F.struct("doc_id", key)).alias("kept"))
+    named = named.join(cut(least.select(f"kept.{key}")), key, "left_semi")
+    first = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
     named = named.withColumn("__tidemark_row", F.row_number().over(first)).where("__tidemark_row = 1")
     return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

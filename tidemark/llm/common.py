@@ -32,6 +32,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class ByteBound(dict):
+    """A cache that is emptied when its keys, as characters or bytes, and what an entry takes besides come to ``LIMIT`` bytes; long keys aren't kept."""
+
+    LIMIT, ENTRY, LONGEST = 100_000_000, 150, 1_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self._held = 0
+
+    def keep(self, key, value):
+        if len(key) <= self.LONGEST:
+            self._held += len(key) + self.ENTRY
+            if self._held > self.LIMIT:
+                self.clear()
+                self._held = len(key) + self.ENTRY
+            self[key] = value
+        return value
+
+
 def words_of(text: str | None) -> list[bytes]:
     """A-Z lower-cased, split at the ASCII white space characters (space, \\t to \\r)."""
     return text.encode().lower().split() if text else []

@@ -40,8 +40,8 @@ def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chained_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that repeat across documents, exactly or with edits."""
-    return chaining.repeats(table(spark, sf_dir, "documents"))
+    """Passages of 50 words or more that repeat across documents, exactly or with edits; a row for either document of a link."""
+    return chaining.by_document(chaining.repeats(table(spark, sf_dir, "documents")))
 
 
 def op7_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class ByteBound(dict):
     """A cache that is emptied when its keys, as characters or bytes, and what an entry takes besides come to ``LIMIT`` bytes; long keys aren't kept."""
 
-    LIMIT, ENTRY, LONGEST = 100_000_000, 150, 1_000
+    LIMIT, ENTRY, LONGEST = 50_000_000, 150, 1_000
 
     def __init__(self) -> None:
         super().__init__()

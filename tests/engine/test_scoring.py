@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import scoring as S
+from tidemark.operators import search as R
 
 
 def one(spark, *cols):
@@ -22,7 +23,24 @@ def test_text(spark):
 
 @pytest.mark.parametrize(
     ("request_", "limit"),
-    [("预算在1000元以下", 1000), ("价格不超过 2199 元", 2199), ("价格在70元左右", 77), ("130-140", 140), ("30元到40元", 40), ("预算4k+", None), ("1万元左右", 11000), ("1万2以内", 12000), ("随便", None)],
+    [
+        ("预算在1000元以下。", 1000),
+        ("价格不超过 2199 元", 2199),
+        ("价格在70元左右", 77),
+        ("价格在130-140元之间", 140),
+        ("价格30元到40元之间", 40),
+        ("预算4k+", None),
+        ("预算在1万元左右", 11000),
+        ("预算1万2以内", 12000),
+        ("预算1万20以内", 30000),
+        ("我的预算有限，想买3个杯子", None),
+        ("70元左右", None),
+        ("30元-40元", None),
+        ("我想要256k+内存，预算300元", 300),
+        ("预算1,500元以内", 1500),
+        ("2千元以下", 2000),
+        ("随便", None),
+    ],
 )
 def test_budget(spark, request_, limit):
     got = one(spark, S.budget(F.lit(request_)))[0]
@@ -82,3 +100,26 @@ def test_variant_prices(spark):
     assert [tuple(r.x) for r in got] == [e for _, e in cases]
     cheap = one(spark, S.cheapest(F.array(F.struct(F.lit(None).cast("double").alias("price"), F.lit("a").alias("name")), F.struct(F.lit(2.0).alias("price"), F.lit(" B ").alias("name")))))[0]
     assert cheap == Row(missing=False, price=2.0, name="b")
+
+
+def test_search_form_and_tokens(spark):
+    row = one(
+        spark,
+        T.search_query(F.lit("100块钱 人民币 100 yuan 20RMB yuanyuan ¥100 （a）")),
+        T.tokens(F.lit("㐀㐁冰箱")),
+        T.search_query(F.lit(None).cast("string")),
+        S.spec_match(F.lit(2.0), F.lit("L"), F.lit("eq"), F.lit("容量为２０００ＭＬ")),
+    )
+    assert row == ("100元 元 100元 20元 yuanyuan ¥100 (a)", ["㐀㐁", "㐁冰", "冰箱"], "", "pass")
+
+
+def test_a_chinese_query_finds_its_product(spark):
+    schema = "asin string, title string, brand string, category string, model string, attributes string, options string, bullets string"
+    rows = [("000000000001", "宿舍小冰箱", "海尔", "家电›冰箱", "", "", "", ""), ("000000000002", "家用冰箱贴", "美的", "饰品", "", "", "", ""), ("000000000003", "dormitory lamp", "acme", "", "a20-x", "", "", "")]
+    docs = spark.createDataFrame(rows, schema)
+    fields = list(R.EFFECTIVE)
+    words = R.searchable(docs, "asin", {f: F.col(f) for f in fields})
+    queries = spark.createDataFrame([(1, "宿舍 冰箱"), (2, "A20-X")], "q long, text string")
+    index, stats = R.postings(words, "asin", fields, R.EFFECTIVE), R.index_stats(words, fields)
+    got = {(r.query_id, r["rank"]): r.asin for r in R.bm25(R.asked_terms(queries, "q", F.col("text")), index, stats, "asin").collect()}
+    assert got[1, 1] == "000000000001" and got[2, 1] == "000000000003" and (2, 2) not in got

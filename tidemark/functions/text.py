@@ -17,8 +17,8 @@ def _fold(s: pd.Series) -> pd.Series:
 
 
 def folded(text: Column) -> Column:
-    """NFKC and case folding. ASCII text stays in the JVM: for it lower() is the same."""
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(_fold(text))
+    """NFKC and case folding. For ASCII text lower() is the same: such rows go through Python as nulls."""
+    return F.coalesce(_fold(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
 
 
 def collapsed(text: Column) -> Column:
@@ -30,24 +30,24 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(folded(text), r"(?U)\s+", "")
 
 
-#: Spellings of the currency, and punctuation that separates words.
-CURRENCY = r"(?:人民币|cny|rmb|¥|￥)"
-PUNCTUATION = "[，。！？、；：,!?;:\"'“”‘’（）()\\[\\]【】<>《》|]"
+#: Spellings of the currency anywhere and after a number, punctuation that separates words, and the pattern of a word.
+CURRENCY, CURRENCY_AFTER = "人民币|块钱", "rmb|cny|yuan"
+PUNCTUATION = "[，,。；;：:！!？?、|]+"
+WORD = r"[a-z0-9]+(?:[._+/-][a-z0-9]+)*"
 
 
 def search_query(text: Column) -> Column:
-    """A query's normal form: folded, amounts in 元, punctuation as spaces."""
-    s = folded(text)
-    s = F.regexp_replace(s, r"([0-9]+(?:\.[0-9]+)?)\s*" + CURRENCY, "$1元")
-    s = F.regexp_replace(s, CURRENCY + r"\s*([0-9]+(?:\.[0-9]+)?)", "$1元")
+    """A query's normal form: folded, amounts in 元, punctuation as spaces. A null is an empty query."""
+    s = F.regexp_replace(F.coalesce(folded(text), F.lit("")), CURRENCY, "元")
+    s = F.regexp_replace(s, rf"(?U)(?<=\d)\s*(?:{CURRENCY_AFTER})\b", "元")
     return collapsed(F.regexp_replace(s, PUNCTUATION, " "))
 
 
 def tokens(text: Column) -> Column:
     """Distinct tokens of normalised text: bigrams of runs of Han characters (single ones kept), then words and numbers."""
-    han = F.regexp_extract_all(text, F.lit(r"([一-鿿]+)"), 1)
+    han = F.regexp_extract_all(text, F.lit(r"([㐀-䶿一-鿿]+)"), 1)
     pairs = F.flatten(F.transform(han, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))))
-    words = F.regexp_extract_all(text, F.lit(r"([a-z0-9]+(?:[._+/-][a-z0-9]+)*)"), 1)
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
     return F.array_distinct(F.concat(pairs, words))
 
 

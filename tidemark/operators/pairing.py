@@ -60,12 +60,12 @@ def hashed_draw(seed: int, replicate: Column, position: Column, n: Column) -> Co
 def bootstrap_ci(deltas: DataFrame, delta: str, order: str, replicates: int, seed: int) -> DataFrame:
     """Mean delta and the linear 2.5 and 97.5 percentiles of its resampled means.
 
-    ``deltas`` is one row a task of an evaluation, a bounded set; the replicates are spread over the tasks. The
-    values travel as one array, so that a draw is an array access rather than a join.
+    ``deltas`` is one row a task of an evaluation, a bounded set. Its values travel as one array, so that a draw is an array
+    access rather than a join, and the replicates are dealt over the tasks.
     """
     values = F.transform(F.array_sort(F.collect_list(F.struct(order, delta))), lambda x: x[delta])
     one = deltas.agg(values.alias("v")).withColumn("n", F.size("v").cast("bigint")).where("n > 0")
-    replicate = one.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
+    replicate = one.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).repartition("r")
     drawn = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda i: F.get("v", hashed_draw(seed, F.col("r"), i, F.col("n")).cast("int")))
     means = replicate.select("n", "v", (F.aggregate(drawn, F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("m"))
     observed = F.aggregate(F.first("v"), F.lit(0.0), lambda a, x: a + x) / F.first("n")
@@ -76,7 +76,7 @@ def sign_flip(deltas: DataFrame, delta: str, order: str, replicates: int, seed:
     """One-sided p of the mean delta against sign flips, (exceeding + 1) / (replicates + 1), and the null's 95th percentile."""
     values = F.transform(F.array_sort(F.collect_list(F.struct(order, delta))), lambda x: x[delta])
     one = deltas.agg(values.alias("v")).withColumn("n", F.size("v").cast("bigint")).where("n > 0")
-    replicate = one.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
+    replicate = one.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).repartition("r")
     flipped = F.transform("v", lambda x, i: F.when(hashed_draw(seed, F.col("r"), i, F.lit(2)) == 1, x).otherwise(-x))
     means = replicate.select((F.aggregate(flipped, F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("m"), (F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("o"))
     return means.agg(

@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import folded
+
 PASS, FAIL, UNVERIFIABLE = "pass", "fail", "unverifiable"
 
 #: Weights of the dimensions and rewards of the outcomes.
@@ -129,7 +131,7 @@ def _map(values: dict[str, object]) -> Column:
 def quantities(text: Column) -> Column:
     """(dimension, amount in base units) of every quantity in a text."""
     pattern = F.lit(rf"([0-9]+(?:\.[0-9]+)?)\s*({_UNIT})(?![a-z])")
-    lower = F.lower(text)
+    lower = folded(text)
     both = F.arrays_zip(F.regexp_extract_all(lower, pattern, 1).alias("n"), F.regexp_extract_all(lower, pattern, 2).alias("u"))
     dimension, factor = _map({u: d for u, (d, _) in UNITS.items()}), _map({u: f for u, (_, f) in UNITS.items()})
     return F.transform(both, lambda x: F.struct(F.element_at(dimension, x["u"]).alias("dimension"), (x["n"].cast("double") * F.element_at(factor, x["u"])).alias("amount")))
@@ -217,35 +219,38 @@ def cheapest(values: Column) -> Column:
     return F.array_min(F.transform(values, lambda v: F.struct(v["price"].isNull().alias("missing"), v["price"].alias("price"), F.lower(F.trim(v["name"])).alias("name"))))
 
 
+#: What a budget begins with, factors of its units, and the words that make it a limit.
+BUDGET, PRICE, LIMITED = "预算(?:控制)?在?", "价格(?:控制)?在?", "不超过|不高于|最高"
+FACTORS = {"万": 10_000.0, "千": 1_000.0, "k": 1_000.0}
+WITHIN, ABOUT, BETWEEN = "以内|以下|内", "左右", "[-~～至到]"
+
+
 def budget(text: Column) -> Column:
-    """The upper limit that a request states, or null. The first form that fits decides."""
-    s = F.regexp_replace(text, ",", "")
-    number, unit = r"([0-9]+(?:\.[0-9]+)?)", r"\s*(万|千|k|K)?"
-    about = F.when(s.contains("左右"), F.lit(1.1)).otherwise(1.0)
+    """The upper limit that a request states, or null. The first form that fits decides; a range counts by its upper end, "about" adds a tenth."""
+    s = F.regexp_replace(F.coalesce(text, F.lit("")), ",", "")
+    number, unit = r"(\d+(?:\.\d+)?)", "(万|千|[kK])?"
+    none = F.lit(None).cast("double")
 
     def group(pattern: str, k: int) -> Column:
         return F.nullif(F.regexp_extract(s, pattern, k), F.lit(""))
 
-    def scaled(n: Column, u: Column) -> Column:
-        return n.cast("double") * F.when(u == "万", 10000.0).when(u.isin("千", "k", "K"), 1000.0).otherwise(1.0)
-
-    mixed = r"([0-9]+(?:\.[0-9]+)?)\s*万\s*([0-9]+)(千)?"
-    tail = group(mixed, 2).cast("double")
-    tail = tail * F.when(group(mixed, 3).isNotNull() | (tail < 10), 1000.0).otherwise(1.0)
-    span = rf"(?:预算|价格)[^0-9]*{number}{unit}\s*元?\s*[-~～至到]\s*{number}{unit}"
-    low, high = scaled(group(span, 1), group(span, 2)), scaled(group(span, 3), group(span, 4))
-    bare = rf"{number}\s*元?\s*[-~～至到]\s*{number}"
-    open_ended = rf"{number}\s*[kK]\s*\+"
-    stated = rf"(?:预算|价格)[^0-9]*{number}{unit}"
-    most = rf"(?:不超过|不高于|最高)[^0-9]*{number}{unit}"
-    within = rf"{number}{unit}\s*元?\s*(?:以内|以下|左右)"
+    def scaled(pattern: str, k: int) -> Column:
+        return group(pattern, k).cast("double") * F.coalesce(F.element_at(_map(FACTORS), F.lower(F.coalesce(group(pattern, k + 1), F.lit("")))), F.lit(1.0))
+
+    def about(pattern: str, k: int) -> Column:
+        return F.when(group(pattern, k) == ABOUT, 1.1).otherwise(1.0)
+
+    mixed = rf"{BUDGET}\s*(\d+)\s*万\s*(\d+)\s*千?\s*({WITHIN}|{ABOUT})?"
+    span = rf"(?:{BUDGET}|{PRICE})\s*{number}\s*{unit}\s*元?\s*{BETWEEN}\s*{number}\s*{unit}"
+    open_ended = rf"(?:{BUDGET}|{PRICE})\s*{number}\s*[kK]\s*\+"
+    qualified = rf"\s*{number}\s*{unit}\s*元?({WITHIN}|{ABOUT})?(?!\s*[-~～至到+kK])"
+    forms = [BUDGET + qualified, PRICE + qualified, rf"(?:{LIMITED})\s*{number}\s*(万|千)?\s*元", rf"{number}\s*(万|千)?\s*元(?:以内|以下)"]
+    single = [F.when(s.rlike(p), scaled(p, 1) * (about(p, 3) if k < 2 else F.lit(1.0))) for k, p in enumerate(forms)]
+    low, high = scaled(span, 1), scaled(span, 3)
     return F.round(
-        F.when(s.rlike(open_ended), F.lit(None).cast("double"))
-        .when(s.rlike(mixed), (group(mixed, 1).cast("double") * 10000 + tail) * about)
+        F.when(s.rlike(mixed), (group(mixed, 1).cast("double") * 10_000 + group(mixed, 2).cast("double") * 1_000) * about(mixed, 3))
         .when(s.rlike(span) & (low > 0) & (high >= low), high)
-        .when(s.rlike(bare), group(bare, 2).cast("double"))
-        .when(s.rlike(stated), scaled(group(stated, 1), group(stated, 2)) * about)
-        .when(s.rlike(most), scaled(group(most, 1), group(most, 2)))
-        .when(s.rlike(within), scaled(group(within, 1), group(within, 2)) * about),
+        .when(s.rlike(open_ended), none)
+        .otherwise(F.coalesce(*(F.when(x > 0, x) for x in single), none)),
         6,
     )

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import search_query, tokens
+
 #: Weights as they take effect, and as they are declared.
 EFFECTIVE = {"title": 2.0, "brand": 2.0, "category": 2.5, "model": 1.5, "attributes": 1.2, "options": 0.8, "bullets": 1.0}
 DECLARED = {"title": 3.0, "brand": 2.0, "category": 2.0, "model": 2.5, "attributes": 1.5, "options": 1.2, "bullets": 0.8}
@@ -24,10 +26,20 @@ def tokenized(docs: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame
     return docs.select(key, *(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1).alias(f) for f, c in fields.items()))
 
 
+def searchable(docs: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
+    """(key, field arrays): the distinct tokens of each field's normal form, Han bigrams among them; queries are cut up likewise."""
+    return docs.select(key, *(tokens(search_query(c)).alias(f) for f, c in fields.items()))
+
+
+def asked_terms(queries: DataFrame, key: str, text: Column) -> DataFrame:
+    """(query_id, term): the distinct tokens of each query."""
+    return queries.select(F.col(key).alias("query_id"), F.explode(tokens(search_query(text))).alias("term")).distinct()
+
+
 def postings(words: DataFrame, key: str, fields: list[str], weights: dict[str, float]) -> DataFrame:
     """(term, key, tf, length): weighted frequency of a term over the fields, and the length of the document in all of them.
 
-    Words are counted within the row, before anything is shuffled: each document holds a term once.
+    The words of the rows of one task are counted before they are shuffled.
     """
     check_weights(weights, fields)
     length = reduce(lambda a, b: a + b, (F.size(f) for f in fields)).alias("length")

@@ -93,9 +93,9 @@ def phases(steps: DataFrame, key: str, order: list[str], opens: Column, resets:
     return s.withColumn("options", F.when(F.col("open"), options).otherwise(0)).drop("_island")
 
 
-def prefixes(steps: DataFrame, key: str, order: list[str], accepted: Column, value: str, most: int = 48) -> DataFrame:
-    """The accepted values before each step, the last ``most`` of them; the frame bounds what a row holds."""
-    w = _w(key, order).rowsBetween(-most, -1)
+def prefixes(steps: DataFrame, key: str, order: list[str], accepted: Column, value: str) -> DataFrame:
+    """All accepted values before each step, in order. A row holds as many as its session has steps."""
+    w = _w(key, order).rowsBetween(Window.unboundedPreceding, -1)
     return steps.withColumn("prefix", F.collect_list(F.when(accepted, F.col(value))).over(w))
 
 

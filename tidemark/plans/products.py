@@ -107,16 +107,16 @@ def policy_reward_clip(spark, d):
 
 # Variants: a brand's parts are the values of an axis, by type.
 
-AXES_SQL = """axes AS (SELECT p_brand, p_type, count(DISTINCT p_retailprice) AS prices, min(p_retailprice) AS lowest FROM part WHERE p_size % 7 = 0 GROUP BY 1, 2),
+AXES_SQL = """axes AS (SELECT p_brand, p_type, count(DISTINCT p_retailprice) AS prices, min(p_retailprice) AS lowest FROM part GROUP BY 1, 2),
 brands AS (SELECT p_brand, count(*) FILTER (WHERE prices > 1) AS effective, any_value(lowest) FILTER (WHERE prices > 1) AS selected, count(DISTINCT lowest) FILTER (WHERE prices = 1) AS constants FROM axes GROUP BY 1)"""
 
 
-@query(f"""WITH {AXES_SQL}, one AS (SELECT p_brand, count(DISTINCT p_retailprice) AS n, min(p_retailprice) AS price FROM part WHERE p_size % 7 = 0 GROUP BY 1)
+@query(f"""WITH {AXES_SQL}, one AS (SELECT p_brand, count(DISTINCT p_retailprice) AS n, min(p_retailprice) AS price FROM part GROUP BY 1)
 SELECT p_brand, CASE WHEN CAST(substr(p_brand, 7) AS INT) % 5 = 0 THEN 900.0 WHEN effective > 1 THEN NULL WHEN effective = 1 THEN selected WHEN n = 1 THEN price END AS price,
   CASE WHEN CAST(substr(p_brand, 7) AS INT) % 5 = 0 THEN 'exact_combination' WHEN effective > 1 THEN 'multiple_price_axes' WHEN effective = 1 THEN 'unique_effective_price_axis'
   WHEN n = 1 THEN 'constant_option_price' ELSE 'not_deterministic' END AS method FROM brands JOIN one USING (p_brand)""")
 def variant_price_cascade(spark, d):
-    parts = table(spark, d, "part").where("p_size % 7 = 0")
+    parts = table(spark, d, "part")
     axes = parts.groupBy("p_brand", "p_type").agg(F.collect_set("p_retailprice").alias("prices"), F.min("p_retailprice").alias("selected"))
     brands = axes.groupBy("p_brand").agg(F.collect_list(F.struct("prices", "selected")).alias("axes"))
     combination = F.when(F.substring("p_brand", 7, 9).cast("int") % 5 == 0, F.lit(900.0))
@@ -126,8 +126,8 @@ def variant_price_cascade(spark, d):
 
 @query("SELECT p_type, min(p_retailprice) AS price, arg_min(lower(p_name), (p_retailprice, lower(p_name))) AS name FROM part GROUP BY p_type")
 def cheapest_variant(spark, d):
-    values = table(spark, d, "part").groupBy("p_type").agg(F.collect_list(F.struct(F.col("p_retailprice").alias("price"), F.col("p_name").alias("name"))).alias("v"))
-    return values.select("p_type", S.cheapest(F.col("v")).alias("x")).select("p_type", "x.price", "x.name")
+    one = F.array(F.struct(F.col("p_retailprice").alias("price"), F.col("p_name").alias("name")))
+    return table(spark, d, "part").groupBy("p_type").agg(F.min(S.cheapest(one)).alias("x")).select("p_type", "x.price", "x.name")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 4 = 3 THEN 'unverifiable' WHEN p_size % 4 = 0 THEN CASE WHEN abs(p_size * 10.0 - 250) <= 250e-6 THEN 'pass' ELSE 'fail' END
@@ -141,17 +141,18 @@ def numeric_spec_units(spark, d):
     return table(spark, d, "part").select("p_partkey", S.spec_match(F.lit(250.0), F.lit("mm"), mode, text).alias("status"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 77.0 WHEN p_size % 5 = 1 THEN CAST(p_size AS DOUBLE) WHEN p_size % 5 = 2 THEN NULL WHEN p_size % 5 = 3 THEN p_size * 1000.0 ELSE p_size + 100.0 END AS budget FROM part""")
+@query("""SELECT p_partkey, CASE p_size % 9 WHEN 0 THEN p_size * 1.1 WHEN 1 THEN p_size WHEN 2 THEN NULL WHEN 3 THEN 10000.0 + 1000 * p_size WHEN 4 THEN p_size + 100.0
+  WHEN 5 THEN NULL WHEN 6 THEN p_size * 1000.0 WHEN 7 THEN NULL ELSE p_size END::DOUBLE AS budget FROM part""")
 def budget_parse(spark, d):
-    size = F.col("p_size").cast("string")
-    text = (
-        F.when(F.col("p_size") % 5 == 0, F.lit("价格在70元左右"))
-        .when(F.col("p_size") % 5 == 1, F.concat(F.lit("预算"), size, F.lit("元以下")))
-        .when(F.col("p_size") % 5 == 2, F.concat(F.lit("预算"), size, F.lit("k+")))
-        .when(F.col("p_size") % 5 == 3, F.concat(F.lit("价格不超过 "), size, F.lit("k 元")))
-        .otherwise(F.concat(F.lit("30元-"), (F.col("p_size") + 100).cast("string"), F.lit("元")))
-    )
-    return table(spark, d, "part").select("p_partkey", S.budget(text).alias("budget"))
+    """Requests around each part's name and size, in every form of a limit and some that are none."""
+    size, name = F.col("p_size").cast("string"), F.col("p_name")
+    forms = [("价格在", "元左右"), ("预算", "元以下"), ("预算", "k+"), ("预算1万", "以内"), ("价格30元到1", "元之间"), ("我的预算有限，想买", "个杯子"), ("不超过 ", "千元"), ("", "元左右"), ("256k+内存，预算控制在", "元")]
+    text = None
+    for k, (before, after) in enumerate(forms):
+        number = F.lpad(size, 2, "0") if k == 4 else size
+        made = F.concat(name, F.lit(" " + before), number, F.lit(after))
+        text = F.when(F.col("p_size") % 9 == k, made) if text is None else text.when(F.col("p_size") % 9 == k, made)
+    return table(spark, d, "part").select("p_partkey", F.round(S.budget(text), 4).alias("budget"))
 
 
 @query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' WHEN 2 THEN 'unverifiable' ELSE 'pass' END AS status FROM part""")
@@ -170,11 +171,11 @@ def brand_alias_join(spark, d):
 # Search: documents with two fields, queries from the benchmark.
 
 FIELDS = {"body": 1.0, "lang": 2.0}
-INDEX_SQL = r"""words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS body, regexp_extract_all(lower(lang), '[\p{L}\p{N}]+') AS lang FROM documents),
+INDEX_SQL = r"""words AS (SELECT doc_id, list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+(?:[._+/-][a-z0-9]+)*')) AS body, regexp_extract_all(lower(lang), '[a-z0-9]+') AS lang FROM documents),
 sized AS (SELECT doc_id, len(body) + len(lang) AS length FROM words), stats AS (SELECT count(*) AS docs, sum(length) / count(*) AS mean_length FROM sized),
 terms AS (SELECT doc_id, unnest(body) AS term, 1.0 AS w FROM words UNION ALL SELECT doc_id, unnest(lang), 2.0 FROM words),
 postings AS (SELECT term, doc_id, length, CAST(sum(w) AS DOUBLE) AS tf FROM terms JOIN sized USING (doc_id) GROUP BY ALL),
-queries AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1, 6)) AS term FROM benchmark),
+queries AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+(?:[._+/-][a-z0-9]+)*')) AS term FROM benchmark),
 df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 scored AS (SELECT query_id, doc_id, round(sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))), 6) AS score
   FROM queries JOIN df USING (term) JOIN postings USING (term), stats GROUP BY ALL),
@@ -182,9 +183,8 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 
 
 def ranked(spark, d):
-    words = R.tokenized(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id", {"body": F.col("text"), "lang": F.col("lang")})
-    asked = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1), 1, 6)
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(asked).alias("term")).distinct()
+    words = R.searchable(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id", {"body": F.col("text"), "lang": F.col("lang")})
+    queries = R.asked_terms(table(spark, d, "benchmark"), "item_id", F.col("text"))
     return R.bm25(queries, R.postings(words, "doc_id", list(FIELDS), FIELDS), R.index_stats(words, list(FIELDS)), "doc_id")
 
 
@@ -198,11 +198,11 @@ def bm25_paged(spark, d):
     return R.page(ranked(spark, d).select("query_id", "doc_id", "rank"), 2)
 
 
-@query(f"WITH {INDEX_SQL} SELECT term, count(*) AS df, round(sum(tf), 6) AS tf, CAST(max(length) AS INTEGER) AS longest FROM postings GROUP BY term HAVING count(*) > 20")
+@query(f"WITH {INDEX_SQL} SELECT term, count(*) AS df, round(sum(tf), 6) AS tf, CAST(max(length) AS INTEGER) AS longest FROM postings GROUP BY term")
 def postings_stats(spark, d):
-    words = R.tokenized(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id", {"body": F.col("text"), "lang": F.col("lang")})
+    words = R.searchable(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id", {"body": F.col("text"), "lang": F.col("lang")})
     index = R.postings(words, "doc_id", list(FIELDS), FIELDS)
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("tf"), 6).alias("tf"), F.max("length").alias("longest")).where("df > 20")
+    return index.groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("tf"), 6).alias("tf"), F.max("length").alias("longest"))
 
 
 @query(r"""SELECT p_partkey, list_distinct_text AS tokens FROM (SELECT p_partkey, array_to_string(list_transform(list_filter(range(1, len(t) + 1), lambda i: list_position(t, t[i]) = i), lambda i: t[i]), ' ') AS list_distinct_text
@@ -226,3 +226,28 @@ def category_browse(spark, d):
 
     first = table(spark, d, "part").where("p_type = 'ECONOMY'").select("p_partkey", "p_name").orderBy("p_partkey").limit(R.TOP_K)
     return first.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy("p_partkey")))
+
+
+CATALOG = {"title": "p_name", "brand": "p_brand", "category": "p_type", "model": "concat(p_type, '-', p_size)", "attributes": "p_type", "options": "cast(p_size as string)", "bullets": "p_name"}
+CATALOG_SQL = r"""field AS (SELECT p_partkey, f.name, f.w, list_distinct(regexp_extract_all(lower(f.text), '[a-z0-9]+(?:[._+/-][a-z0-9]+)*')) AS t FROM part, (SELECT unnest([
+    {'name': 'title', 'w': 2.0, 'text': p_name}, {'name': 'brand', 'w': 2.0, 'text': p_brand}, {'name': 'category', 'w': 2.5, 'text': p_type}, {'name': 'model', 'w': 1.5, 'text': p_type || '-' || p_size},
+    {'name': 'attributes', 'w': 1.2, 'text': p_type}, {'name': 'options', 'w': 0.8, 'text': CAST(p_size AS VARCHAR)}, {'name': 'bullets', 'w': 1.0, 'text': p_name}]) AS f)),
+sized AS (SELECT p_partkey, sum(len(t)) AS length FROM field GROUP BY 1), stats AS (SELECT count(*) AS docs, sum(length) / count(*) AS mean_length FROM sized),
+postings AS (SELECT term, p_partkey, length, CAST(sum(w) AS DOUBLE) AS tf FROM (SELECT p_partkey, w, unnest(t) AS term FROM field) JOIN sized USING (p_partkey) GROUP BY ALL),
+queries AS (SELECT DISTINCT s_suppkey AS query_id, unnest(regexp_extract_all(lower(q), '[a-z0-9]+(?:[._+/-][a-z0-9]+)*')) AS term FROM (
+  SELECT s_suppkey, p_type || ' ' || p_brand || ', ' || p_size AS q FROM supplier JOIN part ON s_suppkey = p_partkey)),
+df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+scored AS (SELECT query_id, p_partkey, round(sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))), 6) AS score
+  FROM queries JOIN df USING (term) JOIN postings USING (term), stats GROUP BY ALL)"""
+
+
+@query(f"""WITH {CATALOG_SQL}, hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_partkey) AS INTEGER) AS rank FROM scored QUALIFY rank <= 20)
+SELECT query_id, rank, p_partkey, score, p_name, p_brand, p_retailprice FROM hits JOIN part USING (p_partkey)""")
+def catalog_search(spark, d):
+    """The first page of hits over seven fields, joined to the catalogue: a query for each supplier, put together from the part of its number."""
+    parts = table(spark, d, "part")
+    words = R.searchable(parts, "p_partkey", {f: F.expr(e) for f, e in CATALOG.items()})
+    text = F.concat_ws(" ", "p_type", F.concat("p_brand", F.lit(",")), F.col("p_size").cast("string"))
+    asked = R.asked_terms(table(spark, d, "supplier").join(parts, F.col("s_suppkey") == F.col("p_partkey")), "s_suppkey", text)
+    hits = R.bm25(asked, R.postings(words, "p_partkey", list(CATALOG), R.EFFECTIVE), R.index_stats(words, list(CATALOG)), "p_partkey", R.PAGE)
+    return hits.join(parts, "p_partkey").select("query_id", "rank", "p_partkey", "score", "p_name", "p_brand", "p_retailprice")

@@ -25,13 +25,13 @@ def heldout_antijoin(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn").join(held, "conv_id", "left_anti")
 
 
-@query("""WITH frozen AS (SELECT DISTINCT doc_id % 100 AS id, sha256(text) AS h FROM documents WHERE doc_id < 100)
+@query("""WITH frozen AS (SELECT item_id AS id, sha256(text) AS h FROM benchmark)
 SELECT doc_id, doc_id IN (SELECT id FROM frozen) AS by_id, sha256(text) IN (SELECT h FROM frozen) AS by_content FROM documents
 WHERE doc_id IN (SELECT id FROM frozen) OR sha256(text) IN (SELECT h FROM frozen)""")
 def leakage_guard(spark, d):
-    """Documents that share an id or the content with a frozen set, here that of the first hundred."""
+    """Documents that share an id or the content with a frozen set, here the benchmark."""
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    frozen = docs.where("doc_id < 100")
+    frozen = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.sha2("text", 256).alias("h"))
     ids = frozen.select("doc_id").distinct().withColumn("by_id", F.lit(True))
     contents = frozen.select("h").distinct().withColumn("by_content", F.lit(True))
     found = docs.join(ids, "doc_id", "left").join(contents, "h", "left").where("by_id OR by_content")
@@ -47,14 +47,14 @@ def cartesian_completeness(spark, d):
     return C.product_gaps(rows, "l_orderkey", "item", 3)
 
 
-@query("""WITH i AS (SELECT o_orderkey AS key, count(*) AS intents FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1),
-r AS (SELECT l_orderkey AS key, count(DISTINCT l_linestatus) AS records FROM lineitem WHERE l_orderkey % 11 <> 0 GROUP BY 1),
+@query("""WITH i AS (SELECT o_orderkey AS key, count(*) AS intents FROM orders GROUP BY 1),
+r AS (SELECT l_orderkey AS key, count(DISTINCT l_linestatus) AS records FROM lineitem GROUP BY 1),
 b AS (SELECT key, coalesce(intents, 0) AS intents, coalesce(records, 0) AS records FROM i FULL JOIN r USING (key))
 SELECT *, CASE WHEN records = 0 THEN 'open_intent' WHEN intents = 0 THEN 'orphan_record' ELSE 'count_mismatch' END AS fault FROM b WHERE records <> intents""")
 def wal_closure(spark, d):
     """Orders as intents, the states of their lines as records."""
-    intents = table(spark, d, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("key"))
-    records = table(spark, d, "lineitem").where("l_orderkey % 11 <> 0").select(F.col("l_orderkey").alias("key"), "l_linestatus").distinct()
+    intents = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"))
+    records = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linestatus").distinct()
     return C.closure(intents, records, "key")
 
 

@@ -97,11 +97,11 @@ def public_phase(spark, d):
     return phased(spark, d).select("event_id", "open", F.col("options").cast("bigint").alias("options"))
 
 
-@query(f"""WITH {STEPS_SQL}, x AS (SELECT event_id, string_agg(CASE WHEN tool <> 'error' THEN tool END, ',' ORDER BY ts, event_id) OVER {W[:-1]} ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS p FROM steps)
+@query(f"""WITH {STEPS_SQL}, x AS (SELECT event_id, string_agg(CASE WHEN tool <> 'error' THEN tool END, ',' ORDER BY ts, event_id) OVER {W[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM steps)
 SELECT event_id, sha256(coalesce(p, '')) AS prefix FROM x""")
 def accepted_prefix(spark, d):
-    """Hash of the accepted tools among the eight steps before each step."""
-    return S.prefixes(steps(spark, d), KEY, ORDER, F.col("tool") != "error", "tool", 8).select("event_id", F.sha2(F.array_join("prefix", ","), 256).alias("prefix"))
+    """Hash of the accepted tools before each step."""
+    return S.prefixes(steps(spark, d), KEY, ORDER, F.col("tool") != "error", "tool").select("event_id", F.sha2(F.array_join("prefix", ","), 256).alias("prefix"))
 
 
 @query(f"""WITH {STEPS_SQL}, {PHASE}, y AS (SELECT *, lag(tool) OVER {W} AS before, lag({SIGNATURE_SQL}) OVER {W} AS last FROM ph)

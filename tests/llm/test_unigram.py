@@ -46,7 +46,7 @@ def segmentations(segment, lattice):
             if part in index(lattice):
                 p *= lattice.p[index(lattice)[part]]
             elif len(part) == 1:
-                p *= lattice.byte(part)
+                p *= lattice.unknown * 256.0 ** -len(part.encode())
             else:
                 p = 0.0
         yield p, [segment[s:e] for s, e in zip(bounds, bounds[1:], strict=False)]
@@ -58,34 +58,61 @@ def index(lattice, kept={}):
     return kept
 
 
-def test_lattice_sums_over_all_segmentations(v):
+def test_lattice_sums_over_all_segmentations(v, monkeypatch):
     lattice = U.Lattice.prior(v)
     assert math.isclose(sum(lattice.p) + lattice.unknown + lattice.end, 1.0)
-    for word in ["the", "a", "thering", "é漢x", "zzq", ""]:
-        every = list(segmentations(U.MARK + word, lattice))
-        total = sum(p for p, _ in every)
-        assert math.isclose(lattice.log_probability(word), math.log(total), rel_tol=1e-9)
-        assert math.isclose(lattice._log_forward(U.MARK + word)[-1], math.log(total), rel_tol=1e-9)
-        expected, got = Counter(), [0.0] * (len(lattice.p) + 1)
-        for p, parts in every:
-            for part in parts:
-                expected[index(lattice).get(part, -1)] += 3 * p / total
-        lattice.expect(word, 3, got)
-        assert all(math.isclose(got[k], x, rel_tol=1e-9, abs_tol=1e-12) for k, x in expected.items())
-    long = "ab漢" * 400
-    assert math.isclose(lattice.log_probability(long), lattice._log_forward(U.MARK + long)[-1])
+    for part in (U.Lattice.PART, 3):
+        monkeypatch.setattr(U.Lattice, "PART", part)
+        for word in ["the", "a", "thering", "é漢x", "zzq", ""]:
+            every = list(segmentations(U.MARK + word, lattice))
+            total = sum(p for p, _ in every)
+            assert math.isclose(lattice.log_probability(word), math.log(total), rel_tol=1e-9)
+            expected, got = Counter(), [0.0] * (len(lattice.p) + 1)
+            for p, parts in every:
+                for x in parts:
+                    expected[index(lattice).get(x, -1)] += 3 * p / total
+            lattice.expect(word, 3, got)
+            assert all(math.isclose(got[k], x, rel_tol=1e-9, abs_tol=1e-12) for k, x in expected.items())
+    monkeypatch.undo()
     into = [0.0] * (len(lattice.p) + 1)
-    lattice.expect(long, 1, into)
-    assert math.isclose(into[-1], 400, rel_tol=1e-6)
-
-
-@pytest.mark.parametrize("frequent", [5, 200_000])
+    lattice.expect("ab漢" * 5000, 1, into)
+    assert math.isclose(into[-1], 5000, rel_tol=1e-6) and -1e6 < lattice.log_probability("ab漢" * 5000) < -1e4
+
+
+def test_all_segmentations_of_whole_texts(spark, v):
+    texts = ["a bc", "the de", "Ab  c", "", "é x", "漢 a"]
+    docs = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id long, text string")
+    training = [t for d, t in enumerate(texts * 3) if not U.held_out(d)]
+    words = U.word_counts(spark.createDataFrame([(t,) for t in training], "text string"))
+    lattice = U.Lattice(v, *U.learn(words, len(training)))
+    # Learning, by enumeration: expected uses under the vocabulary's own scores.
+    prior, uses = U.Lattice.prior(v), Counter()
+    for t in training:
+        for w in t.lower().split():
+            every = list(segmentations(U.MARK + w, prior))
+            total = sum(p for p, _ in every)
+            for p, parts in every:
+                for x in parts:
+                    uses[index(prior).get(x, -1)] += p / total
+    weight = len(v.pieces)
+    total = sum(uses.values()) + len(training) + weight
+    for x in ("▁", "a", "▁the", "de", "▁de", "bc"):
+        k = index(prior)[x]
+        assert math.isclose(lattice.p[k], (uses[k] + weight * prior.p[k]) / total, rel_tol=1e-6), x
+    assert math.isclose(lattice.unknown, (uses[-1] + weight * prior.unknown) / total, rel_tol=1e-6) and math.isclose(lattice.end, (len(training) + weight * prior.end) / total, rel_tol=1e-6)
+    for r in U.score(docs).collect():
+        text = "".join(U.MARK + w for w in (texts * 3)[r.id].lower().split())
+        want = sum(p for p, _ in segmentations(text, lattice)) * lattice.end if text else lattice.end
+        assert math.isclose(r.score, math.log10(want), rel_tol=1e-9), (r, text)
+
+
+@pytest.mark.parametrize("frequent", [5, 50_000])
 def test_scores(spark, monkeypatch, frequent):
     monkeypatch.setattr(U, "FREQUENT_WORDS", frequent)
     r = random.Random(2)
     stems = ["the", "of", "thering", "Onan", "whist", "élan", "x9", "tion"]
     rows = [(d, " ".join(r.choice(stems) + r.choice(["", "", "s", "ed", "%%"]) for _ in range(r.randrange(60)))) for d in range(150)]
-    rows += [(1000, None), (1001, ""), (1002, "\x85 a\x1cb \t\n c"), (7, "the same id"), (None, "no id"), (1003, "y" * 400)]
+    rows += [(1000, None), (1001, ""), (1002, "\x85 a\x1cb \t\n c"), (7, "the same id"), (None, "no id"), (1003, "y" * 40_000)]
     got = U.score(spark.createDataFrame([(d, t, 1, "w") for d, t in rows], "doc_id long, text string, n int, word string")).collect()
     tokens = [(t or "").encode().lower().split() + [None] for _, t in rows]
     counts = Counter(w for (d, _), ws in zip(rows, tokens, strict=True) if not U.held_out(d) for w in ws)
@@ -96,11 +123,8 @@ def test_scores(spark, monkeypatch, frequent):
     )
     assert sorted((x.id or -1, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in got) == expected
     training = [(t,) for d, t in rows if not U.held_out(d)]
-    lattice = U.Lattice(U.vocabulary(), *U.learn(U.word_counts(spark.createDataFrame(training, "text string"))))
-    words = {w: n for w, n in counts.items() if w is not None}
-    n1, n2 = (sum(n == k for n in words.values()) for k in (1, 2))
-    model = U.Model(lattice, n, len(words), len(training), min(0.9, max(0.1, n1 / (n1 + 2 * n2))))
-    mine = sorted((d or -1, (sum(model.log_word(counts[w], lattice.log_probability(w.decode())) for w in ws[:-1]) + model.end) / math.log(10)) for (d, _), ws in zip(rows, tokens, strict=True))
+    lattice = U.Lattice(U.vocabulary(), *U.learn(U.word_counts(spark.createDataFrame(training, "text string")), len(training)))
+    mine = sorted((d or -1, (sum(lattice.log_probability(w.decode()) for w in ws[:-1]) + math.log(lattice.end)) / math.log(10)) for (d, _), ws in zip(rows, tokens, strict=True))
     assert all(a[0] == b[0] and math.isclose(a[1], b[1], abs_tol=1e-4) for a, b in zip(sorted((x.id or -1, x.score) for x in got), mine, strict=True))
     assert np.isfinite([x.score for x in got]).all()
 

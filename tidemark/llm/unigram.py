@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,11 +21,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import ByteBound, cut
 
 MARK = "▁"
-#: Words whose result a worker keeps.
-KEPT_WORDS = 1_000_000
 
 
 class Vocabulary:
@@ -44,6 +43,7 @@ class Vocabulary:
         for k, p in enumerate(self.pieces):
             self.automaton.add_word(p, (len(p), k, self.scores[k]))
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.pieces))
         self.singles = {p for p in self.pieces if len(p) == 1}
         #: A character without a piece scores this much, 10 below the worst piece.
         self.unknown = min(self.scores) - 10.0
@@ -54,7 +54,7 @@ def vocabulary(path: str | None = None) -> Vocabulary:
     return Vocabulary(path)
 
 
-class PieceCounts(dict):
+class PieceCounts(ByteBound):
     """word -> number of pieces in its best segmentation.
 
     Ties go to the piece that begins first, as where candidates are taken in the order of their beginnings and a later one has
@@ -62,6 +62,7 @@ class PieceCounts(dict):
     """
 
     def __init__(self, v: Vocabulary):
+        super().__init__()
         self.v = v
 
     def __missing__(self, word: str) -> int:
@@ -83,10 +84,7 @@ class PieceCounts(dict):
             if segment[at - 1] not in singles and best[at - 1] + unknown > best[at]:
                 best[at], count[at] = best[at - 1] + unknown, count[at - 1] + len(segment[at - 1].encode())
             at += 1
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = count[n]
-        return count[n]
+        return self.keep(word, count[n])
 
 
 _counts: dict[str | None, PieceCounts] = {}
@@ -112,11 +110,18 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
 
 
 class Lattice:
-    """Probabilities of pieces, of a character without a piece and of the end of a text; they sum up to one."""
+    """Probabilities of pieces, of a character without a piece and of the end of a text; they sum up to one.
+
+    A text is a sequence of pieces and its end. The probability of a text is the sum over all its segmentations; no piece goes
+    past the white space mark that a word begins with, so its logarithm is the sum of those of its words and of the end.
+    """
+
+    #: Places whose edges are held at once on the way back through a word.
+    PART = 4_096
 
     def __init__(self, v: Vocabulary, pieces: np.ndarray, unknown: float, end: float):
         total = pieces.sum() + unknown + end
-        self.v, self.p = v, (pieces / total).tolist()
+        self.v, self.p, self.logs = v, (pieces / total).tolist(), np.log(pieces / total).tolist()
         self.unknown, self.end = unknown / total, end / total
 
     @classmethod
@@ -127,112 +132,72 @@ class Lattice:
         return cls(v, weight, weight.sum() * 1e-4, weight.sum() * 1e-3)
 
     def byte(self, character: str) -> float:
-        return self.unknown * 256.0 ** -len(character.encode())
+        """Logarithm of the probability of a character without a piece, by its bytes."""
+        return math.log(self.unknown) - len(character.encode()) * math.log(256.0)
 
-    def edges(self, segment: str) -> Iterator[tuple[int, int, int, float]]:
-        """(begin, end, piece or -1, probability) by rising end."""
-        at = 1
-        p, singles = self.p, self.v.singles
-        for last, (length, k, _) in self.v.automaton.iter(segment):
+    def edges(self, segment: str, after: int, to: int) -> Iterator[tuple[int, int, int, float]]:
+        """(begin, end, piece or -1, log probability) of the edges that end past ``after``, up to ``to``, by rising end."""
+        at, logs, singles = after + 1, self.logs, self.v.singles
+        for last, (length, k, _) in self.v.automaton.iter(segment, max(0, after + 1 - self.v.longest), to):
             end = last + 1
+            if end <= after:
+                continue
             while at < end:
                 if segment[at - 1] not in singles:
                     yield at - 1, at, -1, self.byte(segment[at - 1])
                 at += 1
-            yield end - length, end, k, p[k]
-        for end in range(at, len(segment) + 1):
+            yield end - length, end, k, logs[k]
+        for end in range(at, to + 1):
             if segment[end - 1] not in singles:
                 yield end - 1, end, -1, self.byte(segment[end - 1])
 
-    def log_probability(self, word: str) -> float:
-        """Natural logarithm of the sum over all segmentations, by the forward recursion."""
-        segment = MARK + word
-        n, at = len(segment), 1
-        if n < 40:  # cannot underflow before it is seen to
-            p, singles = self.p, self.v.singles
-            a = [1.0] + [0.0] * n
-            for last, (length, k, _) in self.v.automaton.iter(segment):
-                end = last + 1
-                while at < end:
-                    if segment[at - 1] not in singles:
-                        a[at] += a[at - 1] * self.byte(segment[at - 1])
-                    at += 1
-                a[end] += a[end - length] * p[k]
-            for end in range(at, n + 1):
-                if segment[end - 1] not in singles:
-                    a[end] += a[end - 1] * self.byte(segment[end - 1])
-            if a[n] > 1e-250:
-                return math.log(a[n])
-        return self._log_forward(segment)[n]
-
-    def _log_forward(self, segment: str) -> list[float]:
-        a = [0.0] + [-math.inf] * len(segment)
-        for begin, end, _, p in self.edges(segment):
-            x, y = a[end], a[begin] + math.log(p)
-            a[end] = y if x == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
+    def forward(self, segment: str) -> array:
+        """Natural logarithm of the sum over all segmentations, up to each place."""
+        a = array("d", [-math.inf]) * (len(segment) + 1)
+        a[0] = 0.0
+        exp, log1p, none = math.exp, math.log1p, -math.inf
+        for begin, end, _, p in self.edges(segment, 0, len(segment)):
+            x, y = a[end], a[begin] + p
+            if x == none:
+                a[end] = y
+            else:
+                a[end] = x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
         return a
 
+    def log_probability(self, word: str) -> float:
+        return self.forward(MARK + word)[-1]
+
     def expect(self, word: str, n: float, into: list[float]) -> None:
         """Adds the expected uses of pieces in ``n`` occurrences of a word; those without a piece go last."""
         segment = MARK + word
-        edges = list(self.edges(segment))
         size = len(segment)
-        a = [1.0] + [0.0] * size
-        for begin, end, _, p in edges:
-            a[end] += a[begin] * p
-        b = [0.0] * size + [1.0]
-        if a[size] > 1e-250:
-            scale = n / a[size]
-            for begin, end, k, p in reversed(edges):
-                x = p * b[end]
-                b[begin] += x
-                into[k] += scale * a[begin] * x
-            return
-        a = self._log_forward(segment)
-        b = [-math.inf] * size + [0.0]
-        for begin, end, k, p in reversed(edges):
-            y = math.log(p) + b[end]
-            x = b[begin]
-            b[begin] = y if x == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
-            into[k] += n * math.exp(a[begin] + y - a[size])
-
-
-class Model:
-    """Probabilities of words and of the end of a text, as discounted counts backed by the lattice.
-
-    A word counted n times has (n - discount) / (total + 1), and every word, counted or not, the discounted mass
-    times the sum over its segmentations: the whole word is one more edge of its lattice. All words and the end sum up to at most one.
-    """
-
-    def __init__(self, lattice: Lattice, total: int, types: int, n_docs: int, discount: float):
-        self.lattice, self.total, self.discount = lattice, total + 1.0, discount
-        self.back = math.log((discount * types + 0.5) / self.total)
-        self.end = math.log((n_docs + 0.5) / self.total)
-
-    def log_word(self, n: int, log_lattice: float) -> float:
-        backed = self.back + log_lattice
-        return math.log((n - self.discount) / self.total + math.exp(backed)) if n else backed
-
-
-class WordScores(dict):
-    """word as bytes -> (its natural log probability if its count is known, else that of its lattice)."""
-
-    def __init__(self, model: Model, known: dict[bytes, int]):
-        self.model, self.known = model, known
+        a = self.forward(segment)
+        b = array("d", [-math.inf]) * (size + 1)
+        b[size] = 0.0
+        exp, log1p, none, whole = math.exp, math.log1p, -math.inf, a[size]
+        for to in range(size, 0, -self.PART):
+            for begin, end, k, p in reversed(list(self.edges(segment, max(0, to - self.PART), to))):
+                x, y = b[begin], p + b[end]
+                if x == none:
+                    b[begin] = y
+                else:
+                    b[begin] = x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
+                into[k] += n * exp(a[begin] + y - whole)
+
+
+class WordScores(ByteBound):
+    """word as bytes -> natural logarithm of its probability over the lattice."""
+
+    def __init__(self, lattice: Lattice):
+        super().__init__()
+        self.lattice = lattice
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        found = self.model.lattice.log_probability(word.decode())
-        n = self.known.get(word)
-        self[word] = found = found if n is None else self.model.log_word(n, found)
-        return found
+        return self.keep(word, self.lattice.log_probability(word.decode()))
 
 
-#: Most frequent training words, whose counts are sent to every task; those of the others are joined.
-FREQUENT_WORDS = 200_000
-#: Weight of the vocabulary's own scores against the corpus, in pieces.
-PRIOR_PIECES = 10.0
+#: Most frequent training words, of so many bytes at most, whose counts are sent to every task (under 4 MB); those of the others are joined.
+FREQUENT_WORDS, FREQUENT_BYTES = 50_000, 64
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -248,15 +213,15 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def learn(words: DataFrame, path: str | None = None, rounds: int = 1) -> tuple[np.ndarray, float, float]:
-    """Probabilities of pieces and of characters without one, from their expected uses in the distinct words.
+def learn(words: DataFrame, n_docs: int, path: str | None = None, rounds: int = 1) -> tuple[np.ndarray, float, float]:
+    """Probabilities of pieces, of characters without one and of the end, from their expected uses in all training texts.
 
-    Each word counts once, since the lattice stands in for words that counts say little of. The first round weights the segmentations by the vocabulary's scores, which also stay as a prior. Only sums by piece leave
-    the tasks: as many numbers as the vocabulary has pieces.
+    The vocabulary's scores weight the segmentations of every counted word (expectation), and stay as a prior of as many pieces as the
+    vocabulary has (maximisation). Only sums by piece leave the tasks: as many numbers as there are pieces.
     """
     v = vocabulary(path)
-    prior = Lattice.prior(v)
-    lattice = prior
+    lattice = prior = Lattice.prior(v)
+    weight = float(len(v.pieces))
     for _ in range(rounds):
         state = (np.array(lattice.p), lattice.unknown, lattice.end)
 
@@ -264,16 +229,16 @@ def learn(words: DataFrame, path: str | None = None, rounds: int = 1) -> tuple[n
             own = Lattice(vocabulary(path), *state)
             into = [0.0] * (len(own.p) + 1)
             for b in batches:
-                for word in b.column(0).to_pylist():
-                    own.expect(word.decode(), 1.0, into)
+                for word, n in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                    own.expect(word.as_py().decode(), n, into)
             some = np.flatnonzero(into)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.array(into)[some])], ["k", "x"])
 
         uses = np.zeros(len(v.pieces) + 1)
-        for k, x in words.select("word").mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x")).collect():
+        for k, x in words.select("word", "n").mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x")).collect():
             uses[k] = x
-        pieces = uses[:-1] + PRIOR_PIECES * np.array(prior.p)
-        lattice = Lattice(v, pieces, uses[-1] + PRIOR_PIECES * prior.unknown, PRIOR_PIECES * prior.end)
+        # The last of ``into`` is that of the characters without a piece.
+        lattice = Lattice(v, uses[:-1] + weight * np.array(prior.p), uses[-1] + weight * prior.unknown, n_docs + weight * prior.end)
     return np.array(lattice.p), lattice.unknown, lattice.end
 
 
@@ -282,62 +247,58 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = 1, id_col: str
 
     Rows whose crc32 of the id as text leaves 1 by 5 are held out; all others are learnt from. A null text is empty and
     has one token, its end; a null id counts as an empty text. Rows that repeat an id are scored and learnt from like
-    any other. base_score is that of single words with half a count added; score is the
-    log10 probability under ``Model``.
+    any other. base_score is that of single words with half a count added; score is the log10 probability of the text, over all
+    segmentations into pieces.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     held_out = (F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 5) == 1
     training = source.where(~held_out)
     counts = cut(word_counts(training))
     n_docs = training.count()
-    row = counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    types = row[1]
-    total, distinct = (row[0] or 0) + n_docs, types + (n_docs > 0)
-    discount = min(0.9, max(0.1, row[2] / (row[2] + 2 * row[3]))) if row[2] else 0.5
+    row = counts.agg(F.sum("n"), F.count("*")).first()
+    total, distinct = (row[0] or 0) + n_docs, row[1] + (n_docs > 0)
     below = math.log10(total + 0.5 * (distinct + 1))
-    state = learn(counts, path, rounds)
-    frequent = {bytes(w): n for w, n in counts.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast((state, frequent))
+    state = learn(counts, n_docs, path, rounds)
+    frequent = counts.where(F.length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).toArrow()
+    known = dict(zip(frequent.column("word").to_pylist(), (math.log10(n + 0.5) - below for n in frequent.column("n").to_pylist()), strict=True))
+    shared = docs.sparkSession.sparkContext.broadcast((state, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (p, unknown, end), known = shared.value
-        model = Model(Lattice(vocabulary(path), p, unknown, end), total, types, n_docs, discount)
-        scores = WordScores(model, known)
-        lookup = {w: math.log10(n + 0.5) - below for w, n in known.items()}
-        end_base = math.log10(n_docs + 0.5) - below
+        lattice = Lattice(vocabulary(path), p, unknown, end)
+        scores = WordScores(lattice)
+        end_base, end_score, ten = math.log10(n_docs + 0.5) - below, math.log(lattice.end), math.log(10)
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(6)]
             for value in b.column(1):
                 words = (value.as_py() or "").encode().lower().split()
-                base, found, rare = [end_base], [model.end], Counter()
-                for w in words:
-                    x = lookup.get(w)
+                base, found, n_known = [end_base], [end_score], n_docs > 0
+                rare, times = [], []
+                for w, n in Counter(words).items():
+                    found.append(n * scores[w])
+                    x = known.get(w)
                     if x is None:
-                        rare[w] += 1
+                        rare.append(w)
+                        times.append(n)
                     else:
-                        base.append(x)
-                        found.append(scores[w])
-                row = (len(words) + 1, len(base) - 1 + (n_docs > 0), math.fsum(base), math.fsum(found) / math.log(10), rare.keys(), rare.values(), [scores[w] for w in rare])
-                for c, x in zip(cols, row, strict=True):
-                    c.append(x if isinstance(x, (int, float)) else list(x))
-            types_ = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.float64()))
-            arrays = [pa.array(c, t) for c, t in zip(cols, types_, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *arrays], ["id", "row", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times", "lattice"])
+                        base.append(n * x)
+                        n_known += n
+                for c, x in zip(cols, (len(words) + 1, int(n_known), math.fsum(base), math.fsum(found) / ten, rare, times), strict=True):
+                    c.append(x)
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+            arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *arrays], ["id", "row", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"])
 
     numbered = source.select("id", "text", F.monotonically_increasing_id().alias("row"), held_out.alias("held_out"))
-    schema = "id long, row long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>, lattice array<double>"
+    schema = "id long, row long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>"
     found = cut(numbered.mapInArrow(run, schema))
 
     # The other words meet their counts; those that no training row has are left without one.
-    back = math.log((discount * types + 0.5) / (total + 1.0))
-    rare = found.select("row", F.explode(F.arrays_zip("rare", "times", "lattice")).alias("r"))
-    rare = rare.select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"), F.col("r.lattice").alias("lattice"))
-    rare = rare.join(counts, "word", "left").select("row", "times", "n", (F.col("lattice") + back).alias("backed"))
-    log_word = F.when(F.col("n").isNull(), F.col("backed")).otherwise(F.log((F.col("n") - discount) / (total + 1.0) + F.exp("backed")))
+    rare = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r"))
+    rare = rare.select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times")).join(counts, "word", "left")
     more = rare.groupBy("row").agg(
         F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - below)).alias("more_base"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * log_word / math.log(10)).alias("more_score"),
     )
     whole = found.select("id", "row", "held_out", "n_tokens", "n_known", "base", "score").join(more, "row", "left")
     zero = F.lit(0)
@@ -348,7 +309,7 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = 1, id_col: str
         (F.col("n_known") + F.coalesce("more_known", zero)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", zero)).alias("score"),
+        "score",
     )
 
 

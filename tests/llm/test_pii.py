@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 import re
 
 from hypothesis import given, settings
@@ -60,8 +61,25 @@ def test_dynamic_program_finds_the_best_set():
             for some in itertools.combinations(segments, m)
             if all(a[1] <= b[0] or b[1] <= a[0] for a, b in itertools.combinations(some, 2))
         )
-        found = pii._best(n, segments, weights)
-        assert sum(weights[g[3][0]] for g in found) == best
+        scored = [(i, j, kind, weights[f]) for i, j, kind, (f,) in sorted(segments)]
+        found = pii._best(n, iter(scored))
+        assert all(a[1] <= b[0] for a, b in itertools.pairwise(found))
+        assert sum(max(s for i, j, k, s in scored if (i, j, k) == g) for g in found) == best
+
+
+def test_long_numeric_text_takes_little_memory():
+    r = random.Random(4)
+    weights = pii.trained()
+    for size in (20_000, 60_000):
+        text = " ".join(str(r.randrange(10 ** r.randrange(1, 9))) for _ in range(size // 5))
+        base = pii.base_spans(text)
+        tracemalloc.start()
+        spans = pii.added_spans(text, base, weights)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # So 5 MB stay under 300 MB.
+        assert peak < 60 * len(text) and spans, peak / len(text)
+        assert all(a[2] <= b[1] for a, b in itertools.pairwise(sorted(spans, key=lambda x: x[1])))
 
 
 def test_held_out_sentences():

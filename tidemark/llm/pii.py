@@ -14,6 +14,7 @@ import hashlib
 import math
 import random
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -89,62 +90,77 @@ CUES = {
 }
 
 
-def _features(text: str, start: int, end: int, kind: str) -> list[str]:
-    s = text[start:end]
-    digits = _digits(s)
-    groups = re.findall(r"[0-9]+", s)
-    separators = "".join(sorted(set(re.sub(r"[\w]", "", s))))
-    before, after = text[max(0, start - 24) : start], text[end : end + 2]
-    cue = re.findall(r"[A-Za-z]+", before)
-    own = [
-        "bias",
-        f"digits={len(digits) if len(digits) < 20 else 20}",
-        f"separators={separators[:6]}",
-        f"plus={s[0] == '+'}",
-        f"paren={'(' in s}{s.count('(') == s.count(')')}",
-        f"first={s[0] if not s[0].isalnum() else 'a' if s[0].isalpha() else '0'}",
-        f"letters={any(c.isalpha() for c in s)}",
-        f"touch={before[-1:].isalnum() or before[-1:] in ('.', '-', '/', '+', '@', '_')}{after[:1].isalnum() or (after[:1] in ('.', '-', '/', '@', '_', ':') and after[1:].isalnum())}",
-        f"cue={next((k for w in cue[-1:] for k, ws in CUES.items() if w.lower() in ws), '')}",
-    ]
-    if kind == "card":
-        own += [f"luhn={13 <= len(digits) <= 19 and luhn(digits)}", f"fours={len(groups) > 1 and all(len(g) == 4 for g in groups[:-1])}"]
-    elif kind == "ip":
-        own += [f"octets={len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)}"]
-    elif kind == "phone":
-        own += [f"groups={'-'.join(str(len(g)) for g in groups[-4:]) if all(len(g) < 6 for g in groups) else 'long'}", f"luhn={len(digits) >= 13 and luhn(digits)}"]
-    else:
-        own += [f"form={bool(_EMAIL_LIKE.fullmatch(s))}", f"at={len(_AT.findall(s))}", f"written={'@' not in s}"]
-    return [f"{kind}:{x}" for x in own]
-
-
-def _candidates(text: str, bounds: list[tuple[int, int]], fixed: bytes) -> Iterator[tuple[int, int, str]]:
-    """(first token, token after the last, kind) of every segment that is scored; fixed: 1 at characters of base spans."""
-    taken = [fixed.find(1, s, e) >= 0 for s, e in bounds]
-    for i, (start, _) in enumerate(bounds):
+class _Segment:
+    """What the features of a candidate look at, whatever its kind."""
+
+    def __init__(self, text: str, start: int, end: int):
+        s = text[start:end]
+        self.text, self.digits = s, _digits(s)
+        self.groups = re.findall(r"[0-9]+", s)
+        separators = "".join(sorted(set(re.sub(r"[\w]", "", s))))
+        before, after = text[max(0, start - 24) : start], text[end : end + 2]
+        cue = re.findall(r"[A-Za-z]+", before)
+        self.common = [
+            "bias",
+            f"digits={len(self.digits) if len(self.digits) < 20 else 20}",
+            f"separators={separators[:6]}",
+            f"plus={s[0] == '+'}",
+            f"paren={'(' in s}{s.count('(') == s.count(')')}",
+            f"first={s[0] if not s[0].isalnum() else 'a' if s[0].isalpha() else '0'}",
+            f"letters={any(c.isalpha() for c in s)}",
+            f"touch={before[-1:].isalnum() or before[-1:] in ('.', '-', '/', '+', '@', '_')}{after[:1].isalnum() or (after[:1] in ('.', '-', '/', '@', '_', ':') and after[1:].isalnum())}",
+            f"cue={next((k for w in cue[-1:] for k, ws in CUES.items() if w.lower() in ws), '')}",
+        ]
+
+    def of(self, kind: str) -> list[str]:
+        s, digits, groups = self.text, self.digits, self.groups
+        if kind == "card":
+            own = [f"luhn={13 <= len(digits) <= 19 and luhn(digits)}", f"fours={len(groups) > 1 and all(len(g) == 4 for g in groups[:-1])}"]
+        elif kind == "ip":
+            own = [f"octets={len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)}"]
+        elif kind == "phone":
+            own = [f"groups={'-'.join(str(len(g)) for g in groups[-4:]) if all(len(g) < 6 for g in groups) else 'long'}", f"luhn={len(digits) >= 13 and luhn(digits)}"]
+        else:
+            own = [f"form={bool(_EMAIL_LIKE.fullmatch(s))}", f"at={len(_AT.findall(s))}", f"written={'@' not in s}"]
+        return [f"{kind}:{x}" for x in self.common + own]
+
+
+def _candidates(text: str, begins: array, fixed: bytes) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+    """(first token, token after the last, kinds) of every segment that is scored, by its first token.
+
+    begins: where each token begins, and the end of the text; fixed: 1 at characters of base spans.
+    """
+    n = len(begins) - 1
+    taken = bytes(fixed.find(1, begins[i], begins[i + 1]) >= 0 for i in range(n))
+    for i in range(n):
+        start = begins[i]
         if taken[i] or not (text[start].isalnum() or text[start] in "+("):
             continue
-        digits = has_at = 0
-        for j in range(i, min(len(bounds), i + MAX_TOKENS)):
-            s, e = bounds[j]
+        digits = has_at = letters = 0
+        for j in range(i, min(n, i + MAX_TOKENS)):
+            s, e = begins[j], begins[j + 1]
             if taken[j] or e - start > MAX_CHARS:
                 break
             c = text[s]
             digits += (e - s) * ("0" <= c <= "9")
+            letters += c.isalpha()
             has_at += c == "@" or text[s:e] in ("at", "AT")
             if "\n" in text[s:e]:
                 break
             if not c.isalnum():
                 continue
-            if 7 <= digits <= 19 and not any(x.isalpha() for x in text[start:e]):
-                for kind in ("ip", "card", "phone"):
-                    yield i, j + 1, kind
+            kinds = ("ip", "card", "phone") if 7 <= digits <= 19 and not letters else ()
             if has_at and text[start].isalnum() and _AT.search(text, start, e):
-                yield i, j + 1, "email"
+                kinds += ("email",)
+            if kinds:
+                yield i, j + 1, kinds
 
 
-def _tokens(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _TOKEN.finditer(text)]
+def _begins(text: str) -> array:
+    """Where the tokens begin, which leave nothing out, and the end of the text."""
+    out = array("q", (m.start() for m in _TOKEN.finditer(text)))
+    out.append(len(text))
+    return out
 
 
 def _windows(text: str) -> list[tuple[int, int]]:
@@ -162,31 +178,54 @@ def _windows(text: str) -> list[tuple[int, int]]:
 Segment = tuple[int, int, str, list[str]]
 
 
-def _segments(text: str, fixed: bytes) -> tuple[list[tuple[int, int]], list[Segment]]:
-    bounds = _tokens(text)
-    return bounds, [(i, j, kind, _features(text, bounds[i][0], bounds[j - 1][1], kind)) for i, j, kind in _candidates(text, bounds, fixed)]
+def _segments(text: str, fixed: bytes) -> tuple[array, list[Segment]]:
+    """All candidates with their features; for sentences that the field is trained on."""
+    begins, out = _begins(text), []
+    for i, j, kinds in _candidates(text, begins, fixed):
+        segment = _Segment(text, begins[i], begins[j])
+        out += [(i, j, kind, segment.of(kind)) for kind in kinds]
+    return begins, out
+
 
+def _best(n: int, scored: Iterator[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
+    """The disjoint segments (begin, end, kind) of n tokens with the largest total; ties leave text outside, then go to the one found first.
 
-def _best(n: int, segments: list[Segment], weights: dict[str, float]) -> list[Segment]:
-    """The disjoint segments of the largest total; ties leave text outside, then go to the segment found first."""
-    ending: dict[int, list[tuple[float, Segment]]] = {}
-    for g in segments:
-        if (total := sum(weights.get(x, 0.0) for x in g[3])) > 0:
-            ending.setdefault(g[1], []).append((total, g))
-    best, chosen = [0.0] * (n + 1), [None] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for total, g in ending.get(j, ()):
-            if best[g[0]] + total > best[j]:
-                best[j], chosen[j] = best[g[0]] + total, g
+    ``scored`` (begin, end, kind, score) comes by rising begin and none is kept: what is held are a few numbers a token.
+    """
+    best, ending = array("d", [0.0]) * (n + 1), array("d", [0.0]) * (n + 1)
+    came, which = array("q", [-1]) * (n + 1), bytearray(n + 1)
+    settled = 0
+    for i, j, kind, score in scored:
+        while settled < i:  # no segment that is yet to come ends here
+            settled += 1
+            best[settled] = max(best[settled - 1], ending[settled])
+        if score > 0 and best[i] + score > ending[j]:
+            ending[j], came[j], which[j] = best[i] + score, i, KINDS.index(kind)
+    while settled < n:
+        settled += 1
+        best[settled] = max(best[settled - 1], ending[settled])
     out, j = [], n
     while j > 0:
-        g = chosen[j]
-        out += [g] if g else []
-        j = g[0] if g else j - 1
+        if ending[j] > best[j - 1]:
+            out.append((came[j], j, KINDS[which[j]]))
+            j = came[j]
+        else:
+            j -= 1
     return out[::-1]
 
 
+def _found(text: str, fixed: bytes, weights: dict[str, float]) -> list[Span]:
+    begins = _begins(text)
+
+    def scored() -> Iterator[tuple[int, int, str, float]]:
+        for i, j, kinds in _candidates(text, begins, fixed):
+            segment = _Segment(text, begins[i], begins[j])
+            for kind in kinds:
+                yield i, j, kind, sum(weights.get(x, 0.0) for x in segment.of(kind))
+
+    return [(kind, begins[i], begins[j]) for i, j, kind in _best(len(begins) - 1, scored())]
+
+
 def added_spans(text: str, base: list[Span], weights: dict[str, float]) -> list[Span]:
     """Spans that the field finds beside the base spans."""
     out: list[Span] = []
@@ -196,8 +235,7 @@ def added_spans(text: str, base: list[Span], weights: dict[str, float]) -> list[
     for _, s, e in base:
         fixed[s:e] = b"\1" * (e - s)
     for a, b in windows:
-        bounds, segments = _segments(text[a:b], bytes(fixed[a:b]))
-        out += [(g[2], a + bounds[g[0]][0], a + bounds[g[1] - 1][1]) for g in _best(len(bounds), segments, weights)]
+        out += [(kind, a + s, a + e) for kind, s, e in _found(text[a:b], bytes(fixed[a:b]), weights)]
     return out
 
 
@@ -271,8 +309,8 @@ def trained(sentences: int = 400, rounds: int = 6, seed: int = 7) -> dict[str, f
     """Weights by stochastic ascent of the conditional log likelihood, by forward and backward sums over all sets of segments."""
     data = []
     for text, spans in made_up(sentences, seed):
-        bounds, segments = _segments(text, bytes(len(text)))
-        data.append((len(bounds), segments, [(k, bounds[i][0], bounds[j - 1][1]) in spans for i, j, k, _ in segments]))
+        begins, segments = _segments(text, bytes(len(text)))
+        data.append((len(begins) - 1, segments, [(k, begins[i], begins[j]) in spans for i, j, k, _ in segments]))
     weights: dict[str, float] = {}
     square: dict[str, float] = {}
     order = random.Random(seed)

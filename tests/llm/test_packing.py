@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -32,6 +33,51 @@ def test_plan_covers_every_piece(lengths):
     assert sum(n for _, n in made) <= -(-sum(lengths) * 11 // (40 * 9)) + 6  # the guarantee of best fit decreasing
 
 
+def plain_best_fit(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [k for k, room in enumerate(rooms) if room >= n]
+        k = min(fits, key=lambda k: rooms[k], default=None)
+        if k is None:
+            rooms.append(capacity)
+            k = len(rooms) - 1
+        rooms[k] -= n
+    return sorted(rooms)
+
+
+@given(st.lists(st.integers(1, 40), max_size=150))
+@settings(max_examples=60, deadline=None)
+def test_best_fit_by_groups_is_best_fit(lengths):
+    pieces = np.bincount(lengths, minlength=41)[1:] if lengths else np.zeros(40, dtype=int)
+    made = packing.best_fit(pieces, 40)
+    got = sorted(40 - sum(n * k for n, k in c) for c, times in made.items() for _ in range(times))
+    assert got == plain_best_fit(lengths, 40)
+    assert sum(n for _, n in packing.plan(pieces, 40)) <= len(got)
+
+
+def test_the_program_covers_all_and_reaches_its_bound():
+    r = np.random.default_rng(3)
+    lengths = np.minimum(1 + r.gamma(1.5, 90, size=20_000).astype(int), 512)
+    pieces = np.bincount(lengths, minlength=513)[1:]
+    uses = packing.solve(pieces, 512, *packing.PRICES[0])
+    covered = np.zeros(512)
+    for c, x in uses.items():
+        assert sum(n * k for n, k in c) <= 512
+        for n, k in c:
+            covered[n - 1] += k * x
+    assert np.allclose(covered, pieces)
+    bound = lengths.sum() / 512
+    assert sum(uses.values()) <= bound * (1 + packing.GAP)
+    assert sum(n for _, n in packing.plan(pieces, 512)) <= np.ceil(bound) + 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_no_more_sequences_than_best_fit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack(docs).select("length", "sequence_id").toPandas()
+    assert rows.sequence_id.nunique() <= len(plain_best_fit(rows.length.tolist(), 1024)) and rows.length.sum() / 1024 + 3 > rows.sequence_id.nunique()
+
+
 def test_plan_reaches_the_optimum_where_pairs_fit():
     pieces = np.zeros(100, dtype=int)
     pieces[59], pieces[39], pieces[69], pieces[29] = 500, 500, 300, 300
@@ -40,7 +86,7 @@ def test_plan_reaches_the_optimum_where_pairs_fit():
 
 @pytest.mark.parametrize("keep_ids", [False, True])
 def test_pieces_are_lossless_and_gapless(spark, keep_ids):
-    texts = [(1, "word " * 5000), (2, None), (3, ""), (3, "again"), (None, "no id"), *((k, "tok " * (k % 97)) for k in range(10, 300))]
+    texts = [(1, "word " * 5000), (4, "Some long text. " * 60_000), (2, None), (3, ""), (3, "again"), (None, "no id"), *((k, "tok " * (k % 97)) for k in range(10, 300))]
     docs = spark.createDataFrame([(i, t, 7, 8) for i, t in texts], "doc_id long, text string, length int, start int")
     rows = packing.pack(docs, capacity=128, keep_ids=keep_ids).collect()
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

@@ -7,14 +7,17 @@ A configuration is a multiset of lengths that fit in one sequence. The covering
 
 is solved by multiplicative weights: each round prices the lengths by their weights, finds the configuration of
 most worth by a knapsack dynamic program, uses it for a step and lowers the weights of the lengths that it covers.
-The solution is rounded to whole sequences; what rounding leaves is packed best fit, longest first. Pieces take
+The rounds go on until every piece is covered, first by configurations that leave hardly a token free, then by ones that leave more.
+The sizes themselves are a dual solution, so that all tokens by the capacity bound the program from below; it is solved
+to a gap of GAP where the first prices reach that. The solution is rounded to whole sequences; what rounding leaves is packed best fit, longest first. Best fit
+alone, which also takes the histogram, is kept where it needs fewer sequences. Pieces take
 the slots of their length in the order of a distributed rank, so that no piece ever reaches the driver.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from math import isqrt
 
@@ -55,12 +58,12 @@ def price(worth: np.ndarray, capacity: int) -> list[int]:
 
 
 def solve(pieces: np.ndarray, capacity: int, rounds: int, rate: float, lead: float, waste: int) -> dict[Configuration, float]:
-    """A fractional cover of pieces[l - 1] pieces of each length l, as uses of configurations.
+    """A fractional cover of all pieces[l - 1] pieces of each length l, as uses of configurations.
 
     A length's dual starts near its share of a sequence, with a ``lead`` for long ones, and falls exponentially, at
     ``rate``, with the share of its pieces that is covered, so that all lengths run out together. A round uses the
-    configuration of most worth for at most 1/rounds of the whole. The rounds end when the best configuration
-    leaves over ``waste`` tokens free: no full ones are left to be had at these prices, and the rest is rounding's.
+    configuration of most worth for at most 1/rounds of the whole. Where the best one leaves over ``waste`` tokens free, no fuller
+    ones are to be had at these prices, and twice as many may be left from there on.
     """
     need = pieces.astype(float)
     lengths = np.arange(1, capacity + 1)
@@ -72,7 +75,8 @@ def solve(pieces: np.ndarray, capacity: int, rounds: int, rate: float, lead: flo
         fall = np.exp(-rate * (share - share[short].min()))
         found = price(np.where(short, lengths / capacity * (1 + lead * lengths / capacity) * fall, 0.0), capacity)
         if capacity - sum(found) > waste:
-            break
+            waste = 2 * waste + 1
+            continue
         kinds, counts = np.unique(found, return_counts=True)
         use = min(step, float(((need - covered)[kinds - 1] / counts).min()))
         covered[kinds - 1] += counts * use
@@ -82,33 +86,47 @@ def solve(pieces: np.ndarray, capacity: int, rounds: int, rate: float, lead: flo
 
 
 def best_fit(pieces: np.ndarray, capacity: int) -> dict[Configuration, int]:
-    """Packs few pieces best fit, longest first, over a sorted list of the rooms that are left."""
-    rooms: list[tuple[int, int]] = []  # (room, sequence)
-    held: list[list[int]] = []
-    for length in range(capacity, 0, -1):
-        for _ in range(int(pieces[length - 1])):
-            lo, hi = 0, len(rooms)
-            while lo < hi:
-                mid = (lo + hi) // 2
-                lo, hi = (mid + 1, hi) if rooms[mid][0] < length else (lo, mid)
-            if lo < len(rooms):
-                room, k = rooms.pop(lo)
-            else:
-                room, k = capacity, len(held)
-                held.append([])
-            held[k].append(length)
-            if room > length:
-                insort(rooms, (room - length, k))
+    """Packs all pieces best fit, longest first: equal sequences are filled together, so that the time depends on the lengths only."""
+    rooms: list[int] = []
+    open_: dict[int, list[tuple[Configuration, int]]] = {}
     out: dict[Configuration, int] = {}
-    for lengths in held:
-        kinds, counts = np.unique(lengths, return_counts=True)
-        key = tuple(zip(kinds[::-1].tolist(), counts[::-1].tolist(), strict=True))
-        out[key] = out.get(key, 0) + 1
+
+    def put(room: int, c: Configuration, n: int) -> None:
+        if room == 0:
+            out[c] = out.get(c, 0) + n
+            return
+        if room not in open_:
+            open_[room] = []
+            insort(rooms, room)
+        open_[room].append((c, n))
+
+    for length in range(capacity, 0, -1):
+        n = int(pieces[length - 1])
+        while n:
+            k = bisect_left(rooms, length)
+            room, c, same = capacity, (), n
+            if k < len(rooms):
+                room = rooms[k]
+                c, same = open_[room].pop()
+                if not open_[room]:
+                    del open_[room]
+                    rooms.pop(k)
+            # A sequence that has taken a piece has the least room from then on, so it takes all that it can.
+            each = min(n, room // length)
+            taken = min(same, n // each)
+            put(room - each * length, (*c, (length, each)), taken)
+            n -= taken * each
+            if c and same > taken:
+                put(room, c, same - taken)
+    for groups in open_.values():
+        for c, n in groups:
+            out[c] = out.get(c, 0) + n
     return out
 
 
-#: (rounds, rate, lead, waste) of each solution; the one that rounds to the fewest sequences is taken.
-PRICES = [(300, 0.05, 0.05, 2), (300, 0.01, 0.02, 1), (600, 0.005, 0.02, 2)]
+#: (rounds, rate, lead, waste) of each solution; the next is tried where one leaves a larger gap, as with few pieces a length.
+PRICES = [(300, 0.05, 0.05, 2), (300, 0.2, 0.1, 0)]
+GAP = 0.0005
 
 
 def rounded(left: np.ndarray, uses: dict[Configuration, float], capacity: int) -> dict[Configuration, int]:
@@ -142,7 +160,14 @@ def plan(pieces: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]:
     left = pieces.astype(np.int64)
     full = int(left[capacity - 1])
     left = np.append(left[:-1], 0)
-    best = min((rounded(left, solve(left, capacity, *p), capacity) for p in PRICES), key=lambda c: sum(c.values()))
+    bound = float((left * np.arange(1, capacity + 1)).sum()) / capacity
+    found = [best_fit(left, capacity)]
+    for p in PRICES:
+        uses = solve(left, capacity, *p)
+        found.append(rounded(left, uses, capacity))
+        if sum(uses.values()) <= bound * (1 + GAP):
+            break
+    best = min(reversed(found), key=lambda c: sum(c.values()))
     if full:
         best[((capacity, 1),)] = full
     return sorted(best.items(), reverse=True)

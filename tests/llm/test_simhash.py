@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -71,7 +72,7 @@ def test_trie_finds_every_pair(spark, budget):
     values = {r.choice(centres) ^ sum(1 << k for k in r.sample(range(64), r.randrange(7))) for _ in range(700)}
     values = sorted(values)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    links = simhash.near_links(spark.createDataFrame([(i, v, []) for i, v in enumerate(signed)], "id long, fp long, more array<long>"), budget).collect()
+    links = simhash.near_links(spark.createDataFrame([(i, v) for i, v in enumerate(signed)], "id long, fp long"), budget).collect()
 
     def classes(pairs):
         label = list(range(len(values)))
@@ -88,25 +89,55 @@ def test_trie_finds_every_pair(spark, budget):
     assert classes(links) == classes(every)
 
 
-def test_several_fingerprints(spark):
-    r = random.Random(11)
-    base = [r.getrandbits(63) for _ in range(60)]
-    more = [[r.choice(base[:8]) if r.random() < 0.2 else r.getrandbits(63) for _ in range(3)] for _ in base]
-    reps = spark.createDataFrame([(i, f, m) for i, (f, m) in enumerate(zip(base, more, strict=True))], "id long, fp long, more array<long>")
-    links = simhash.near_links(reps, 4, 4).collect()
-    columns = [base, *zip(*more, strict=True)]
-    near = lambda i, j: any(bin(c[i] ^ c[j]).count("1") <= 4 for c in columns)
-    label = list(range(60))
-    for _ in range(60):
-        for i in range(60):
-            for j in range(i):
-                if near(i, j):
-                    label[i] = label[j] = min(label[i], label[j])
-    got = list(range(60))
-    for _ in range(60):
-        for a, b in links:
-            got[a] = got[b] = min(got[a], got[b])
-    assert got == label and len(set(label)) < 50
+def test_dense_groups_are_linked_in_linear_steps():
+    r = random.Random(5)
+    centres = [r.getrandbits(64) for _ in range(3)]
+    values = np.array(sorted({r.choice(centres) ^ sum(1 << k for k in r.sample(range(20), r.randrange(9))) for _ in range(3000)}), dtype=np.uint64)
+    for budget in (3, 6):
+        labels, i, j = simhash.trie_links(values, np.array([0, len(values)]), 0, budget)
+        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= budget
+        own = np.arange(len(values))
+        while True:
+            least = np.where(near, own[None, :], len(values)).min(axis=1)
+            if (least == own).all():
+                break
+            own = least
+        assert (labels == own).all() and (np.bitwise_count(values[i] ^ values[j]) <= budget).all()
+        assert len(i) == len(values) - len(set(labels.tolist()))  # a forest
+        again, _ = simhash._union(np.arange(len(values)), i, j)
+        assert (again == labels).all()
+
+
+def test_paths_grow_with_the_table():
+    for n in (0, 1, 1000, 10**6, 10**8, 10**12):
+        bits, several = simhash.plan_paths(n)
+        assert 16 <= bits <= 32 and 1 - (1 - simhash.EQUAL_BITS**bits) ** (several * (64 // bits)) >= simhash.MEET
+    assert simhash.plan_paths(10**6)[0] == 20 and simhash.plan_paths(10**12)[0] == 32
+
+
+def test_similar_texts_go_and_others_stay(spark):
+    r = random.Random(17)
+    words = [f"w{k}" for k in range(3000)]
+    rows, near, far = [], [], []
+    for d in range(240):
+        text = r.choices(words, k=r.randrange(80, 400))
+        other = list(text)
+        if d % 3 == 0:  # words here and there
+            for k in r.sample(range(len(text)), max(1, len(text) // r.choice([46, 60, 90, 25]))):
+                other[k] = "edited"
+        elif d % 3 == 1:  # a passage
+            n = int(len(text) * r.choice([0.05, 0.08, 0.1, 0.2]))
+            at = r.randrange(len(text) - n)
+            other[at : at + n] = r.choices(words, k=n)
+        else:
+            other += r.choices(words, k=int(len(text) * r.choice([0.1, 0.2, 0.24, 0.4])))
+        s = simhash.similarity([w.encode() for w in text], [w.encode() for w in other], 5)
+        (near if s >= 0.8 else far).append(d)
+        rows += [(d, " ".join(text)), (1000 + d, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x.doc_id for x in simhash.deduplicated(docs).collect()}
+    assert set(range(240)) <= kept and {1000 + d for d in far} <= kept and len(far) > 40
+    assert sum(1000 + d not in kept for d in near) >= 0.9 * len(near) and len(near) > 100
 
 
 def test_edited_copies_go(spark):

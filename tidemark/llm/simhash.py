@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,15 +58,15 @@ def fingerprint(words: list[bytes], size: int, several: int = 1) -> np.ndarray:
     return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, size: int = 4, several: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, more): the fingerprint of each row as a signed 64-bit number, and any others. A null text is an empty one."""
+def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp): the fingerprint of each row as a signed 64-bit number. A null text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(words_of(t.as_py()), size, several) for t in b.column(1)], dtype=np.uint64).reshape(-1, several).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps[:, 0]), pa.array(list(fps[:, 1:]), pa.list_(pa.int64()))], ["id", "fp", "more"])
+            fps = np.array([fingerprint(words_of(t.as_py()), size)[0] for t in b.column(1)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, more array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
 def _blocks(budget: int) -> list[list[int]]:
@@ -84,48 +86,71 @@ def _permutations(budget: int) -> list[tuple[list[tuple[int, int]], int]]:
 _TOP = np.uint64(1 << 63)
 
 
-def _dealt(perms: list[tuple[list[tuple[int, int]], int]], several: int):
+def _dealt(perms: list[tuple[list[tuple[int, int]], int]]):
     """Rows (perm, path, value, id) of every permutation of every fingerprint; values have the top bit flipped, so that they sort as signed."""
     depth = min(bits for _, bits in perms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            more = np.array(b.column(2).to_pylist(), dtype=np.int64).reshape(b.num_rows, several - 1)
-            for m, fp in enumerate((b.column(1).to_numpy(), *more.T)):
-                fp = np.ascontiguousarray(fp).view(np.uint64)
-                for k, (moves, _) in enumerate(perms):
-                    value, at = np.zeros_like(fp), 0
-                    for first, n in moves:
-                        block = fp >> np.uint64(BITS - first - n) & np.uint64((1 << n) - 1)
-                        value |= block << np.uint64(BITS - at - n)
-                        at += n
-                    perm = np.full(len(fp), m * len(perms) + k, dtype=np.int32)
-                    path = (value >> np.uint64(BITS - depth)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(perm), pa.array(path), pa.array((value ^ _TOP).view(np.int64)), b.column(0)], ["perm", "path", "value", "id"])
+            fp = np.ascontiguousarray(b.column(1).to_numpy()).view(np.uint64)
+            for k, (moves, _) in enumerate(perms):
+                value, at = np.zeros_like(fp), 0
+                for first, n in moves:
+                    block = fp >> np.uint64(BITS - first - n) & np.uint64((1 << n) - 1)
+                    value |= block << np.uint64(BITS - at - n)
+                    at += n
+                path = (value >> np.uint64(BITS - depth)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, dtype=np.int32)), pa.array(path), pa.array((value ^ _TOP).view(np.int64)), b.column(0)], ["perm", "path", "value", "id"])
 
     return run
 
 
-def _union(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """labels, each the smallest index of its class, after the links i-j."""
+def _union(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """labels, each the smallest index of its class, after the links i-j; and the positions of links that make up the same classes."""
+    used, at = [], np.arange(len(i))
     while True:
-        a, b = labels[i], labels[j]
+        a, b = labels[i[at]], labels[j[at]]
         open_ = a != b
         if not open_.any():
-            return labels
-        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+            return labels, np.concatenate(used) if used else at[:0]
+        at, a, b = at[open_], a[open_], b[open_]
+        # Of the links of a class to smaller ones one is used in a round.
+        high, one = np.unique(np.maximum(a, b), return_index=True)
+        labels[high] = np.minimum(a, b)[one]
+        used.append(at[one])
         while not np.array_equal(jump := labels[labels], labels):
             labels = jump
 
 
-def trie_classes(values: np.ndarray, roots: np.ndarray, depth: int, budget: int) -> np.ndarray:
-    """The class of each value, as its smallest index: values within ``budget`` bits are linked.
+def trie_links(values: np.ndarray, roots: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, i, j): the class of each value, as its smallest index, where values within ``budget`` bits are linked; and links
+    that make up the classes, each of two near values.
 
-    values: sorted, unsigned; roots: bounds of the subtries, whose values agree in their first ``depth`` bits.
+    values: sorted, unsigned; roots: bounds of the subtries, whose values agree in their first ``depth`` bits. Neighbours are linked
+    first. Pairs of nodes that lie in one class already are dropped, so that a dense group doesn't cost its pairs.
     """
     labels = np.arange(len(values))
     ones: dict[int, np.ndarray] = {}
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    inside = np.ones(len(values), dtype=bool)
+    inside[roots[:-1][roots[:-1] < len(values)]] = False
+    changes = np.zeros(len(values) + 1, dtype=np.int64)
+
+    def link(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal labels
+        near = np.bitwise_count(values[i] ^ values[j]) <= budget
+        i, j = i[near], j[near]
+        if len(i):
+            order = np.argsort(np.bitwise_count(values[i] ^ values[j]), kind="stable")
+            i, j = i[order], j[order]
+            labels, used = _union(labels, i, j)
+            if len(used):
+                links.append((i[used], j[used]))
+                changes[2:] = np.cumsum(labels[1:] != labels[:-1])
+
+    changes[2:] = np.arange(1, len(values))
+    follows = np.flatnonzero(inside)
+    link(follows - 1, follows)
 
     def zero_part(d: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Where the values with bit d set begin in each node."""
@@ -143,6 +168,9 @@ def trie_classes(values: np.ndarray, roots: np.ndarray, depth: int, budget: int)
             stack.append((d, pairs[:, FRONTIER:]))
             pairs = pairs[:, :FRONTIER]
         a, b, c, e, err = pairs
+        one_class = (labels[a] == labels[c]) & (changes[b] == changes[a + 1]) & (changes[e] == changes[c + 1])
+        pairs = pairs[:, ~one_class]
+        a, b, c, e, err = pairs
         leaf = ((b - a) * (e - c) <= LEAVES) | (d >= BITS)
         if leaf.any():
             x, y, z, w, _ = pairs[:, leaf]
@@ -150,8 +178,7 @@ def trie_classes(values: np.ndarray, roots: np.ndarray, depth: int, budget: int)
             which = np.repeat(np.arange(len(n)), n)
             k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
             i, j = x[which] + k // (w - z)[which], z[which] + k % (w - z)[which]
-            near = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
-            labels = _union(labels, i[near], j[near])
+            link(i[i < j], j[i < j])
             a, b, c, e, err = pairs[:, ~leaf]
         if not len(a):
             continue
@@ -169,11 +196,12 @@ def trie_classes(values: np.ndarray, roots: np.ndarray, depth: int, budget: int)
         keep = (children[4] <= budget) & (children[1] > children[0]) & (children[3] > children[2])
         keep &= ~((children[0] == children[2]) & (children[1] - children[0] == 1))
         stack.append((d + 1, children[:, keep]))
-    return labels
+    i, j = (np.concatenate(x) for x in zip(*links, strict=True)) if links else (labels[:0], labels[:0])
+    return labels, i, j
 
 
 def _joined(perms: list[int], budget: int):
-    """Reads rows sorted by permutation and permuted fingerprint; keeps at most a batch and one subtrie."""
+    """Reads rows sorted by permutation and permuted fingerprint; keeps at most a batch and one subtrie. Rows with equal values are linked to their first."""
 
     def classes(perm: np.ndarray, values: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
         out = []
@@ -184,12 +212,11 @@ def _joined(perms: list[int], budget: int):
             unique, place = v[fresh], np.flatnonzero(fresh)
             paths = unique >> np.uint64(BITS - perms[p])
             roots = np.concatenate(([0], np.flatnonzero(paths[1:] != paths[:-1]) + 1, [len(unique)]))
-            labels = trie_classes(unique, roots, perms[p], budget)
-            least = place[labels[np.cumsum(fresh) - 1]]
-            linked = least != np.arange(len(v))
-            out.append((own[least[linked]], own[linked]))
+            _, i, j = trie_links(unique, roots, perms[p], budget)
+            equal = np.flatnonzero(~fresh)
+            out.append((own[np.concatenate((place[i], place[(np.cumsum(fresh) - 1)[equal]]))], own[np.concatenate((place[j], equal))]))
         a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -212,33 +239,33 @@ def _joined(perms: list[int], budget: int):
     return run
 
 
-def near_links(reps: DataFrame, budget: int = 4, several: int = 1) -> DataFrame:
-    """(a, b): links that join up all of ``reps`` (fp unique, more, id) of which any fingerprint is within ``budget`` bits.
+def _linked(rows: DataFrame, depths: list[int], budget: int) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "perm", "path").select("perm", "value", "id").sortWithinPartitions("perm", "value")
+    return rows.mapInArrow(_joined(depths, budget), "a long, b long")
+
 
-    Of each subtrie the links of a spanning star of every class are given rather than all pairs.
+def near_links(reps: DataFrame, budget: int = 4) -> DataFrame:
+    """(a, b): links that join up all of ``reps`` (fp unique, id) whose fingerprints are within ``budget`` bits.
+
+    Of each subtrie the links of a spanning forest are given rather than all pairs.
     """
     perms = _permutations(budget)
-    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = reps.where("id IS NOT NULL").select("id", "fp", "more").mapInArrow(_dealt(perms, several), "perm int, path long, value long, id long")
-    rows = rows.repartition(n, "perm", "path").select("perm", "value", "id").sortWithinPartitions("perm", "value")
-    return rows.mapInArrow(_joined([bits for _, bits in perms] * several, budget), "a long, b long")
+    rows = reps.where("id IS NOT NULL").select("id", "fp").mapInArrow(_dealt(perms), "perm int, path long, value long, id long")
+    return _linked(rows, [bits for _, bits in perms], budget)
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4, several: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): fingerprint of every row and the smallest id that its links reach, itself included.
 
-    With ``several`` fingerprints two texts are linked if any of them is near. Rows with one (first) fingerprint are
+    Rows with one fingerprint are
     linked, whatever their texts; rows without words have fingerprint zero and are linked like any other. Null texts count as
     empty. A row with a null id keeps its fingerprint and gets the component of the other rows with it (null if there are
     none). Rows that repeat an id stay. Empty tables give empty results.
     """
-    found = cut(fingerprints(docs, size, several, id_col, text_col))
-    if several == 1:
-        reps = cut(found.groupBy("fp").agg(F.min("id").alias("id")).select("fp", "id", F.array().cast("array<long>").alias("more")))
-    else:
-        first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "more")))
-        reps = cut(found.groupBy("fp").agg(first.alias("r")).select("fp", "r.id", "r.more"))
-    links = cut(near_links(reps, budget, several).distinct())
+    found = cut(fingerprints(docs, size, id_col, text_col))
+    reps = cut(found.groupBy("fp").agg(F.min("id").alias("id")))
+    links = cut(near_links(reps, budget).distinct())
     classes = connected_components(links).select(F.col("node").alias("id"), "component")
     of_fp = cut(reps.select("fp", "id").join(classes, "id", "left").select("fp", F.coalesce("component", "id").alias("component")))
     return found.select("id", "fp").join(of_fp, "fp").select("id", "fp", "component")
@@ -248,20 +275,129 @@ def hexadecimal(fp: str):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(docs: DataFrame, size: int = 5, budget: int = 6, several: int = 8) -> DataFrame:
-    """One row of ``docs`` for each class of near-duplicates: one with the smallest doc_id. Rows without an id stay.
+# Near-duplicates by similarity: fingerprints find candidates, the texts decide.
+
+#: Share of equal bits of two fingerprints at a similarity (Jaccard) of 0.8: 1 - acos(1.6 / 1.8) / pi.
+EQUAL_BITS = 0.848
+#: Share of the pairs of that similarity whose paths must meet, by that figure; differing bits of 64 that such a pair may have.
+MEET, ROOM = 0.96, 17
+
+
+def plan_paths(texts: int) -> tuple[int, int]:
+    """(bits of a path, fingerprints of a text): paths are rotations of a fingerprint, as many as give MEET.
+
+    A path has as many bits as number the texts, 16 at least, so that the subtries of unrelated texts stay small at every size.
+    """
+    bits = min(32, max(16, (max(texts, 1) - 1).bit_length()))
+    paths = ceil(log(1 - MEET) / log1p(-(EQUAL_BITS**bits)))
+    return bits, ceil(paths / (BITS // bits))
+
+
+def _paths(bits: int, several: int):
+    """Rows (perm, path, value, id): every fingerprint is rotated so that each of its paths comes first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype="<u8").reshape(-1, several)
+            for m in range(several):
+                for k in range(BITS // bits):
+                    turn = np.uint64(k * bits)
+                    value = fps[:, m] << turn | fps[:, m] >> (np.uint64(BITS) - turn) if k else fps[:, m].copy()
+                    perm = np.full(len(value), m * (BITS // bits) + k, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(perm), pa.array((value >> np.uint64(BITS - bits)).astype(np.int64)), pa.array((value ^ _TOP).view(np.int64)), b.column(0)], ["perm", "path", "value", "id"])
+
+    return run
 
-    Rows that repeat an id with different texts are judged each by its own links; of rows with the same id and text one stays.
 
-    Fingerprints are of five-word shingles. One alone differs in some ten of 64 bits at a similarity (Jaccard) of 0.8, with a spread
-    of three; of eight, one comes within 6 bits for two in three pairs of 0.8, nine in ten of 0.85 and one in ten of 0.7.
-    Fingerprints of unrelated texts differ in some 32.
+def similarity(a: list[bytes], b: list[bytes], size: int) -> float:
+    """Jaccard similarity of the sets of runs of ``size`` words; texts with fewer words are one run, none where there are no words."""
+    sets = [{tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set() for w in (a, b)]
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def similar_texts(docs: DataFrame, size: int, least: float, key: str) -> tuple[DataFrame, DataFrame]:
+    """((key, text) of every row, (a, b) of similar texts): texts are numbered by a hash of their words.
+
+    Candidates share a path of one of several fingerprints and differ in at most ROOM bits of it: node pairs of the subtrie, cut off there.
+    Of each subtrie those of a spanning forest are taken, and their similarity is worked out on the whole texts.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits, several = plan_paths(docs.count())
+
+    def number(words: list[bytes]) -> int:
+        x = xxhash.xxh64_intdigest(b" ".join(words), 7)
+        return x - (x >> 63 << 64)
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [words_of(t.as_py()) for t in b.column(1)]
+            fps = [fingerprint(w, size, several).tobytes() for w in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([number(w) for w in texts], pa.int64()), pa.array(fps, pa.binary())], [key, "id", "fps"])
+
+    found = cut(docs.select(key, "text").mapInArrow(prints, f"{key} long, id long, fps binary"))
+    reps = found.groupBy("id").agg(F.min("fps").alias("fps"))
+    rows = reps.mapInArrow(_paths(bits, several), "perm int, path long, value long, id long")
+    pairs = cut(_linked(rows, [bits] * (several * (BITS // bits)), ROOM).distinct())
+
+    # Texts and the pairs that ask for them meet in one sort; each text is read once, whatever the number of its pairs.
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            texts = [b" ".join(words_of(t.as_py())) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([number([t]) for t in texts], pa.int64()), pa.array(map(pack, texts), pa.binary())], ["id", "text"])
+
+    asked = pairs.withColumn("pair", F.monotonically_increasing_id()).select("pair", F.explode(F.array("a", "b")).alias("id"))
+    texts = docs.select("text").mapInArrow(small, "id long, text binary").select("id", F.lit(None).cast("long").alias("pair"), "text")
+    both = texts.unionAll(asked.select("id", "pair", F.lit(None).cast("binary"))).repartition(n, "id").sortWithinPartitions("id", F.col("pair").asc_nulls_first())
+
+    def hand_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = None
+        for b in batches:
+            out: list[list] = [[], [], []]
+            held = 0
+            for i, pair, t in zip(*b.columns, strict=True):
+                if not pair.is_valid:
+                    text = t
+                    continue
+                for c, v in zip(out, (pair.as_py(), i.as_py(), text.as_py()), strict=True):
+                    c.append(v)
+                held += len(out[2][-1])
+                if held > 1 << 24:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["pair", "id", "text"])
+                    out, held = [[], [], []], 0
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["pair", "id", "text"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        before = None
+        for b in batches:
+            out: list[list[int]] = [[], []]
+            for pair, i, t in zip(*b.columns, strict=True):
+                now = (pair.as_py(), i.as_py(), t)
+                if before is None or before[0] != now[0]:
+                    before = now
+                elif similarity(unpack(before[2].as_py()).split(), unpack(t.as_py()).split(), size) >= least:
+                    out[0].append(before[1])
+                    out[1].append(now[1])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
+
+    sides = both.mapInArrow(hand_out, "pair long, id long, text binary").repartition(n, "pair").sortWithinPartitions("pair", "id")
+    return found.select(key, "id"), cut(sides.mapInArrow(compare, "a long, b long"))
+
+
+def deduplicated(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of ``docs`` for each class of near-duplicates: one with the smallest doc_id. Rows without an id stay.
+
+    Texts are linked whose sets of five-word shingles have a similarity (Jaccard) of ``least`` or more; texts with equal words are one. Null
+    texts are empty. Rows that repeat an id with different texts are judged each by its own links; of rows with the same id and text one stays.
     """
     key = "__tidemark_key"
     named = docs.where("doc_id IS NOT NULL").withColumn(key, F.xxhash64("doc_id", "text"))
-    classes = near_duplicates(named, size, budget, several, id_col=key).select(F.col("id").alias(key), "component").distinct()
-    least = named.select(key, "doc_id").distinct().join(classes, key).groupBy("component").agg(F.min(F.struct("doc_id", key)).alias("kept"))
-    named = named.join(cut(least.select(f"kept.{key}")), key, "left_semi")
+    texts, links = similar_texts(named, size, least, key)
+    classes = connected_components(links).select(F.col("node").alias("id"), "component")
+    of_key = texts.distinct().join(classes, "id", "left").select(key, F.coalesce("component", "id").alias("component"))
+    kept = named.select(key, "doc_id").distinct().join(of_key, key).groupBy("component").agg(F.min(F.struct("doc_id", key)).alias("kept"))
+    named = named.join(cut(kept.select(f"kept.{key}")), key, "left_semi")
     first = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
     named = named.withColumn("__tidemark_row", F.row_number().over(first)).where("__tidemark_row = 1")
     return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

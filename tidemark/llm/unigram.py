@@ -151,17 +151,27 @@ class Lattice:
             if segment[end - 1] not in singles:
                 yield end - 1, end, -1, self.byte(segment[end - 1])
 
-    def forward(self, segment: str) -> array:
+    def forward(self, segment: str) -> list[float]:
         """Natural logarithm of the sum over all segmentations, up to each place."""
-        a = array("d", [-math.inf]) * (len(segment) + 1)
+        exp, log1p, none, logs, singles = math.exp, math.log1p, -math.inf, self.logs, self.v.singles
+        a = [none] * (len(segment) + 1)
         a[0] = 0.0
-        exp, log1p, none = math.exp, math.log1p, -math.inf
-        for begin, end, _, p in self.edges(segment, 0, len(segment)):
-            x, y = a[end], a[begin] + p
+        # Where every character is a piece there are no other edges.
+        at, to = (1, len(segment)) if not singles.issuperset(segment) else (len(segment) + 1, 0)
+        for last, (length, k, _) in self.v.automaton.iter(segment):
+            end = last + 1
+            while at < end:
+                if segment[at - 1] not in singles:
+                    a[at] = a[at - 1] + self.byte(segment[at - 1])
+                at += 1
+            x, y = a[end], a[end - length] + logs[k]
             if x == none:
                 a[end] = y
             else:
                 a[end] = x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
+        for end in range(at, to + 1):
+            if segment[end - 1] not in singles:
+                a[end] = a[end - 1] + self.byte(segment[end - 1])
         return a
 
     def log_probability(self, word: str) -> float:
@@ -171,7 +181,23 @@ class Lattice:
         """Adds the expected uses of pieces in ``n`` occurrences of a word; those without a piece go last."""
         segment = MARK + word
         size = len(segment)
-        a = self.forward(segment)
+        if size < 40:
+            # Edges of a short word, and products that can't underflow before it is seen to.
+            edges = [(last + 1 - length, last + 1, k, self.p[k]) for last, (length, k, _) in self.v.automaton.iter(segment)]
+            if not self.v.singles.issuperset(segment):
+                edges += [(at, at + 1, -1, math.exp(self.byte(c))) for at, c in enumerate(segment) if c not in self.v.singles]
+                edges.sort(key=lambda e: e[1])
+            forward, back = [1.0] + [0.0] * size, [0.0] * size + [1.0]
+            for begin, end, _, p in edges:
+                forward[end] += forward[begin] * p
+            if forward[size] > 1e-250:
+                scale = n / forward[size]
+                for begin, end, k, p in reversed(edges):
+                    x = p * back[end]
+                    back[begin] += x
+                    into[k] += scale * forward[begin] * x
+                return
+        a = array("d", self.forward(segment))
         b = array("d", [-math.inf]) * (size + 1)
         b[size] = 0.0
         exp, log1p, none, whole = math.exp, math.log1p, -math.inf, a[size]
@@ -188,6 +214,8 @@ class Lattice:
 class WordScores(ByteBound):
     """word as bytes -> natural logarithm of its probability over the lattice."""
 
+    LIMIT = 150_000_000
+
     def __init__(self, lattice: Lattice):
         super().__init__()
         self.lattice = lattice

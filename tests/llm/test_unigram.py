@@ -106,7 +106,7 @@ def test_all_segmentations_of_whole_texts(spark, v):
         assert math.isclose(r.score, math.log10(want), rel_tol=1e-9), (r, text)
 
 
-@pytest.mark.parametrize("frequent", [5, 50_000])
+@pytest.mark.parametrize("frequent", [0, 5, 50_000])
 def test_scores(spark, monkeypatch, frequent):
     monkeypatch.setattr(U, "FREQUENT_WORDS", frequent)
     r = random.Random(2)
@@ -131,3 +131,10 @@ def test_scores(spark, monkeypatch, frequent):
 
 def test_empty(spark):
     assert U.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_most_frequent_words(spark, monkeypatch):
+    counts = spark.createDataFrame([(f"w{k}".encode(), n) for k, n in enumerate((900, 500, 90, 90, 7, 1, 1))] + [(b"x" * 70, 10_000)], "word binary, n long")
+    for most, found in ((7, 7), (6, 5), (4, 4), (3, 2), (0, 0)):
+        monkeypatch.setattr(U, "FREQUENT_WORDS", most)
+        assert sorted(bytes(r.word) for r in U.most_frequent(counts).collect()) == [f"w{k}".encode() for k in range(found)]

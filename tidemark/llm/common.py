@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """Use the folder named in spark.checkpoint.dir; a temporary one only where it is unset and all runs on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = sc.getConf().get("spark.checkpoint.dir", None)
     if not shared:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
         shared = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
     sc.setCheckpointDir(shared)

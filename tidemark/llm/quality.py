@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import ByteBound, cut
 
 #: Buckets of each of the two tables of words and of pairs of words; of shapes, of pairs of shapes and of shapes with the share
 #: of words that have them.
@@ -39,8 +39,6 @@ DEVIATIONS, LEAST = 4.0, 2.0
 #: It also has to be so many times the target's rate, and so many of the kind's documents have to hold the bucket. Small
 #: differences over the thousands of words of a long document, and the words of one passage that is copied a lot, say nothing of its kind.
 TIMES, HELD_BY = 3.0, 0.01
-#: Words whose buckets a worker keeps.
-KEPT_WORDS = 500_000
 KEY = "__tidemark_key"
 
 
@@ -55,16 +53,13 @@ def shape(word: bytes) -> tuple[bytes, bytes]:
     return (core.lstrip(marks).lower() or text).encode(), case + digits + text[len(core) :].encode()[-3:]
 
 
-class Buckets(dict):
+class Buckets(ByteBound):
     """word -> 32 bits of the word's hash, then 16 bits for the bucket of its shape."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
         core, form = shape(word)
         own = xxhash.xxh64_intdigest(core, 11) & 0xFFFFFFFF
-        self[word] = found = own << 16 | xxhash.xxh64_intdigest(form, 12) % (SHAPES // 2)
-        return found
+        return self.keep(word, own << 16 | xxhash.xxh64_intdigest(form, 12) % (SHAPES // 2))
 
 
 _buckets = Buckets()

@@ -1,9 +1,9 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 DataFrame functions only. An item with n distinct shingles is contained in a document if the document holds at least
-ceil(t * n) of them. Such a document lacks at most n - ceil(t * n), so it holds at least one of any
+ceil(t * n) of them. Items are partitioned by that number, within factors of two. Such a document lacks at most n - ceil(t * n), so it holds at least one of any
 n - ceil(t * n) + 1. The signature of an item is that many of its smallest shingle hashes (bottom-k MinHash), k being that of
-its size; a document is searched with its hashes up to the largest one of any signature. So the search has no misses,
+its size; a document is searched with its hashes up to the largest one of the signatures in any part of items that it is large enough for. So the search has no misses,
 whatever the document's length, which banded signatures of a whole long document cannot offer. Documents too
 small to hold ceil(t * n) shingles are left out, and the rest is verified on the shingles themselves.
 """
@@ -57,12 +57,17 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, siz
     hashes = F.transform("shingles", lambda s: F.xxhash64(*(F.xxhash64(F.split_part(F.trim(s), F.lit(" "), F.lit(k + 1))) for k in range(size))))
     signature = F.slice(F.array_sort(hashes), F.lit(1), F.size("shingles") - F.col("need") + 1)
     signatures = cut(items.select("item_id", "need", F.explode(signature).alias("h")))
-    top = signatures.agg(F.max("h")).first()[0]
+    # Items are partitioned by size, each part with a cut-off of its own: that of a document is the largest of the parts that are small enough for it.
+    size_part = F.floor(F.log2("need"))
+    parts_of = signatures.groupBy(size_part.alias("part")).agg(F.min("need").alias("least"), F.max("h").alias("top")).collect()
+    lowest = F.lit(None).cast("bigint")
+    top = F.greatest(lowest, lowest, *(F.when(F.col("n") >= r.least, F.lit(r.top)) for r in parts_of))
 
     source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     searched = source.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("each"))
     searched = searched.select("doc_id", (F.size("each") - (size - 1)).alias("n"), shingle_hashes("each", size).alias("h"))
-    searched = searched.select("doc_id", "n", F.explode(F.filter("h", lambda x: x <= F.lit(top))).alias("h"))
+    searched = searched.select("doc_id", "n", "h", top.alias("top")).where("top IS NOT NULL")
+    searched = searched.select("doc_id", "n", F.explode(F.filter("h", lambda x: x <= F.col("top"))).alias("h"))
     found = searched.join(counted(signatures), "h").where("n >= need").select("doc_id", "item_id").distinct()
     found = cut(found)
 

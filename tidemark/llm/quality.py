@@ -56,6 +56,8 @@ def shape(word: bytes) -> tuple[bytes, bytes]:
 class Buckets(ByteBound):
     """word -> 32 bits of the word's hash, then 16 bits for the bucket of its shape."""
 
+    LIMIT = 100_000_000
+
     def __missing__(self, word: bytes) -> int:
         core, form = shape(word)
         own = xxhash.xxh64_intdigest(core, 11) & 0xFFFFFFFF

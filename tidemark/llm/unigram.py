@@ -61,6 +61,8 @@ class PieceCounts(ByteBound):
     to score more. A character without a piece counts as its UTF-8 bytes.
     """
 
+    LIMIT = 150_000_000
+
     def __init__(self, v: Vocabulary):
         super().__init__()
         self.v = v

@@ -95,6 +95,7 @@ def in_blocks(ranked: DataFrame, begin: int = 21, end: int = 40) -> DataFrame:
 
 
 def weighted_sample(rows: DataFrame, weight: Column, key: str, n: int, seed: int) -> DataFrame:
-    """n rows without replacement in proportion to their weights: exponential races by a hash of the key."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """n rows without replacement in proportion to their weights: exponential races by SHA-256 of the key, which any engine repeats."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     return rows.where(weight > 0).orderBy(-F.log(u) / weight, key).limit(n)

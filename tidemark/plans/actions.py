@@ -116,7 +116,8 @@ def block_shift(spark, d):
     return R.in_blocks(ranked)
 
 
-@query()
+@query("""SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > 0
+ORDER BY -ln((CAST(('0x' || substr(sha256('7:' || p_partkey), 1, 13)) AS BIGINT) + 0.5e0) / 4503599627370496e0) / p_retailprice, p_partkey LIMIT 100""")
 def weighted_sample(spark, d):
     """A hundred parts by price."""
     return R.weighted_sample(table(spark, d, "part").select("p_partkey", "p_retailprice"), F.col("p_retailprice"), "p_partkey", 100, 7)

@@ -28,7 +28,8 @@ def tokenized(docs: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame
 
 def searchable(docs: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     """(key, field arrays): the distinct tokens of each field's normal form, Han bigrams among them; queries are cut up likewise."""
-    return docs.select(key, *(tokens(search_query(c)).alias(f) for f, c in fields.items()))
+    forms = docs.select(key, *(search_query(c).alias(f) for f, c in fields.items()))
+    return forms.select(key, *(tokens(F.col(f)).alias(f) for f in fields))
 
 
 def asked_terms(queries: DataFrame, key: str, text: Column) -> DataFrame:

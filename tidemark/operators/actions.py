@@ -32,6 +32,30 @@ def bounded_parameters(args: Column, keys: int = 8, chars: int = 256) -> Column:
     return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], F.left(e["value"], F.lit(chars)))))
 
 
+#: Tools that click on what an argument names, and those that click on a button.
+CLICKED_ARGUMENTS = {"open_product": "asin", "select_option": "value"}
+CLICKED_BUTTONS = {
+    "view_description": "Description",
+    "view_features": "Features",
+    "view_reviews": "Reviews",
+    "view_attributes": "Attributes",
+    "next_page": "Next >",
+    "prev_page": "< Prev",
+    "back_to_search": "Back to Search",
+    "buy_now": "Buy Now",
+}
+
+
+def environment_action(tool: Column, args: Column) -> Column:
+    """The environment's form of a call (``args`` is a map); null for a tool without one or a missing argument."""
+    out = F.when(tool == "search_products", F.concat(F.lit("search["), args["query"], F.lit("]"))).when(tool == "finish_without_purchase", F.concat(F.lit("finish["), args["reason"], F.lit("]")))
+    for name, key in CLICKED_ARGUMENTS.items():
+        out = out.when(tool == name, F.concat(F.lit("click["), args[key], F.lit("]")))
+    for name, button in CLICKED_BUTTONS.items():
+        out = out.when(tool == name, F.lit(f"click[{button}]"))
+    return out
+
+
 def infrastructure_failure(release_error: Column, error_type: Column, message: Column) -> Column:
     found = release_error.isNotNull() | error_type.isin(*INFRASTRUCTURE) | F.coalesce(message, F.lit("")).contains("connection")
     return F.coalesce(found, F.lit(False))

@@ -75,3 +75,30 @@ def mixed_groups(rows: DataFrame, group: str, gold: Column, failure: Column) ->
     """Groups with at least one gold row and one that failed."""
     each = rows.groupBy(group).agg(F.count_if(gold).alias("golds"), F.count_if(failure).alias("failures"), F.count("*").alias("n"))
     return each.where("golds > 0 AND failures > 0")
+
+
+def signals(rows: DataFrame, key: str, policy_version: str) -> DataFrame:
+    """(key, reward, utility, success, reasons, fault) of each sampled record: what grouping works on, and why the record itself is unsound.
+
+    ``rows`` has total, terminal_utility, policy_reward_version, purchase_success, infrastructure_invalid, reward_unverifiable,
+    sampling_invalid, invalid_reason and valid_for_learning; reasons say why a record is no sample, and valid_for_learning has to agree.
+    """
+
+    def finite(c: str):
+        return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+    def true(c: str):
+        return F.coalesce(F.col(c), F.lit(False))
+
+    own = F.array_compact(F.array(F.when(true("infrastructure_invalid"), F.lit("infrastructure_invalid")), F.when(true("reward_unverifiable"), F.lit("reward_unverifiable"))))
+    other = F.array(F.coalesce(F.nullif("invalid_reason", F.lit("")), F.lit("reward_sampling_invalid")))
+    r = rows.withColumn("reasons", F.when((F.size(own) == 0) & true("sampling_invalid"), other).otherwise(own))
+    fault = (
+        F.when(F.col("total").isNull() | F.col("terminal_utility").isNull(), "missing_reward")
+        .when(~finite("total") | ~finite("terminal_utility"), "reward_not_finite")
+        .when(~F.col("policy_reward_version").eqNullSafe(policy_version), "wrong_policy_version")
+        .when(F.col("purchase_success").isNull(), "missing_purchase_success")
+        .when(F.col("infrastructure_invalid").isNull(), "missing_infrastructure_invalid")
+        .when(true("valid_for_learning") != (F.size("reasons") == 0), "inconsistent_valid_for_learning")
+    )
+    return r.select(key, F.col("total").alias("reward"), F.col("terminal_utility").alias("utility"), F.col("purchase_success").alias("success"), "reasons", fault.alias("fault"))

@@ -37,6 +37,38 @@ def hidden_fields(rows: DataFrame, forbidden: tuple[str, ...], suffixes: tuple[s
     return out
 
 
+#: Names of fields that hold a secret, and the ending that makes any name one.
+SECRETS, SECRET_ENDING = ("api_key", "apikey", "authorization", "bearer_token", "access_token", "client_secret", "secret", "password"), "_api_key"
+
+
+def secret_keys(keys: Column) -> Column:
+    """Those of an array of names that stand for a secret, case and dashes aside."""
+    return F.filter(keys, lambda k: F.replace(F.lower(k), F.lit("-"), F.lit("_")).isin(*SECRETS) | F.endswith(F.replace(F.lower(k), F.lit("-"), F.lit("_")), F.lit(SECRET_ENDING)))
+
+
+def reject_secrets(rows: DataFrame, *maps: str) -> DataFrame:
+    """``rows``, unless a field's name stands for a secret (an error before anything runs) or a key of one of the map columns does (an error at that row)."""
+    named: list[str] = []
+
+    def walk(kind, path: str) -> None:
+        if kind.typeName() == "struct":
+            for f in kind.fields:
+                plain = f.name.lower().replace("-", "_")
+                if plain in SECRETS or plain.endswith(SECRET_ENDING):
+                    named.append(f"{path}{f.name}")
+                walk(f.dataType, f"{path}{f.name}.")
+        elif kind.typeName() in ("array", "map"):
+            walk(getattr(kind, "elementType", None) or kind.valueType, path)
+
+    walk(rows.schema, "")
+    if named:
+        raise ValueError(f"forbidden secret fields: {named}")
+    for m in maps:
+        bad = F.coalesce(F.size(secret_keys(F.map_keys(m))) > 0, F.lit(False))
+        rows = rows.withColumn(m, F.when(bad, F.raise_error(F.lit(f"{m} has a forbidden secret field"))).otherwise(F.col(m)))
+    return rows
+
+
 def step_validity(tool: Column, allowed: Column, arguments: Column, action: Column, expected: Column) -> Column:
     """Why a step is unsound, or null: its tool, its arguments' JSON, or an action that does not follow from them."""
     return first_reason(

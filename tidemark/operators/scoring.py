@@ -254,3 +254,23 @@ def budget(text: Column) -> Column:
         .otherwise(F.coalesce(*(F.when(x > 0, x) for x in single), none)),
         6,
     )
+
+
+#: Outcomes that count as a purchase.
+PURCHASES = ("gold_purchase", "valid_alternative_purchase")
+
+
+def derived(reward_type: Column, reward_valid: Column, coverage: Column, dimensions: Column) -> Column:
+    """(purchase_success, sampling_invalid, evidence_coverage, dimension_scores): fields that follow from an outcome; what is missing counts as zero."""
+    scores = F.transform_values(F.coalesce(dimensions, F.create_map().cast("map<string,double>")), lambda _, s: F.coalesce(s, F.lit(0.0)))
+    return F.struct(
+        F.coalesce(reward_type.isin(*PURCHASES), F.lit(False)).alias("purchase_success"), (~F.coalesce(reward_valid, F.lit(False))).alias("sampling_invalid"),
+        F.coalesce(coverage, F.lit(0.0)).alias("evidence_coverage"), scores.alias("dimension_scores"),
+    )
+
+
+def price_resolution(price: Column) -> Column:
+    """(status, price) of a price that was stated: a finite one of zero or more passes, any other can't be verified."""
+    p = price.cast("double")
+    usable = p.isNotNull() & ~F.isnan(p) & (p >= 0) & (p < float("inf"))
+    return F.struct(status(usable, F.lit(True)).alias("status"), F.when(usable, p).alias("price"))

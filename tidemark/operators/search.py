@@ -100,3 +100,35 @@ def weighted_sample(rows: DataFrame, weight: Column, key: str, n: int, seed: int
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     return rows.where(weight > 0).orderBy(-F.log(u) / weight, key).limit(n)
+
+
+def present(asked: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
+    """The rows whose key the catalogue has."""
+    return asked.join(catalog.select(key).distinct(), key, "left_semi")
+
+
+def by_value(requests: DataFrame, catalog: DataFrame, mode: Column, value: Column, attributes: str, category: str, query: str, key: str, k: int = TOP_K) -> DataFrame:
+    """(query_id, key, rank) of requests for an attribute (<a>), a category (<c>) or a stored query (<q>): the first k by key.
+
+    ``attributes`` is an array column of the catalogue, the other two are texts. Any other mode finds nothing here. Each mode is an equi-join.
+    """
+    asked = requests.select("query_id", mode.alias("_m"), value.alias("_v"))
+    own = catalog.select(
+        F.explode(
+            F.concat(
+                F.transform(F.array_distinct(F.coalesce(attributes, F.array().cast("array<string>"))), lambda a: F.struct(F.lit("<a>").alias("_m"), a.alias("_v"))),
+                F.array(F.struct(F.lit("<c>").alias("_m"), F.col(category).alias("_v")), F.struct(F.lit("<q>").alias("_m"), F.col(query).alias("_v"))),
+            )
+        ).alias("x"),
+        key,
+    ).select("x._m", "x._v", key)
+    found = asked.join(own, ["_m", "_v"]).select("query_id", key)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(key))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def distinct_queries(requests: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
+    """(asked, served): every normal form once, by its hash as query_id, and the requests with the query_id whose result they share."""
+    form = search_query(text)
+    served = requests.withColumn("_form", form).withColumn("query_id", F.xxhash64("_form"))
+    return served.select("query_id", F.col("_form").alias("text")).distinct(), served.drop("_form")

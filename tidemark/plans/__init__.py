@@ -1,6 +1,6 @@
 """The catalogue of queries."""
 
-from . import actions, evaluation, products, records, rollouts, sequences, streams, trajectories  # noqa: F401
+from . import actions, evaluation, products, records, rollouts, sequences, streams, trajectories, variants  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

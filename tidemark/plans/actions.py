@@ -133,3 +133,36 @@ def brand_and_model(spark, d):
 def abstain_outcome(spark, d):
     rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"), F.count_distinct("o_orderstatus").alias("n"), F.count("*").alias("m"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("p"))
     return rows.select("o_custkey", "o_orderkey", S.abstain(F.col("n"), F.col("m") - 10, F.col("p")).alias("outcome"))
+
+
+@query(f"""WITH {STEPS_SQL} SELECT event_id, CASE tool WHEN 'view' THEN 'click[' || k || ']' WHEN 'click' THEN 'click[Next >]' WHEN 'signup' THEN 'search[' || k || ']' WHEN 'purchase' THEN 'click[Buy Now]' END AS action FROM steps""")
+def environment_action(spark, d):
+    tool, k = F.col("tool"), F.col("k").cast("string")
+    name = F.when(tool == "view", "open_product").when(tool == "click", "next_page").when(tool == "signup", "search_products").when(tool == "purchase", "buy_now").otherwise("think")
+    args = F.when(tool == "view", F.create_map(F.lit("asin"), k)).otherwise(F.create_map(F.lit("query"), k))
+    return steps(spark, d).select("event_id", A.environment_action(name, args).alias("action"))
+
+
+@query("""WITH x AS (SELECT o_orderkey, o_orderkey % 5 = 0 AS bad, o_orderstatus = 'P' AS unsure, o_orderpriority = '5-LOW' AS out FROM orders)
+SELECT o_orderkey, concat_ws(',', CASE WHEN bad THEN 'infrastructure_invalid' END, CASE WHEN unsure THEN 'reward_unverifiable' END, CASE WHEN out AND NOT bad AND NOT unsure THEN 'reward_sampling_invalid' END) AS reasons,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'missing_reward' WHEN o_orderkey % 13 = 0 THEN 'wrong_policy_version' WHEN (o_orderkey % 3 <> 0) <> NOT (bad OR unsure OR out) THEN 'inconsistent_valid_for_learning' END AS fault FROM x""")
+def group_signals(spark, d):
+    from ..operators import groups as G
+
+    key, state = F.col("o_orderkey"), F.col("o_orderstatus")
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", F.when(key % 11 != 0, F.col("o_totalprice")).alias("total"), F.col("o_totalprice").alias("terminal_utility"), F.when(key % 13 == 0, "old").otherwise("v1").alias("policy_reward_version"),
+        (state == "F").alias("purchase_success"), (key % 5 == 0).alias("infrastructure_invalid"), (state == "P").alias("reward_unverifiable"), (F.col("o_orderpriority") == "5-LOW").alias("sampling_invalid"),
+        F.lit("").alias("invalid_reason"), (key % 3 != 0).alias("valid_for_learning"),
+    )
+    return G.signals(rows, "o_orderkey", "v1").select("o_orderkey", F.array_join("reasons", ",").alias("reasons"), "fault")
+
+
+@query(r"""SELECT event_id, CASE event_type WHEN 'view' THEN 'API-Key' WHEN 'click' THEN 'x_api_key' WHEN 'signup' THEN 'Password' ELSE '' END AS secrets FROM events""")
+def secret_rejection(spark, d):
+    """Names of secrets among the keys of a step's record."""
+    from ..operators import rollouts as O
+
+    kind = F.col("event_type")
+    keys = F.array(F.lit("k"), F.when(kind == "view", "API-Key").when(kind == "click", "x_api_key").when(kind == "signup", "Password").otherwise("apikeys"))
+    return O.reject_secrets(table(spark, d, "events").select("event_id", "event_type", F.create_map(F.lit("k"), F.lit("v")).alias("m")), "m").select("event_id", F.array_join(O.secret_keys(keys), ",").alias("secrets"))

@@ -34,6 +34,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes, as JSON, up to which a side that has been measured is broadcast.
+BROADCAST_BYTES = 32_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast if its rows come to BROADCAST_BYTES at most, which is measured; else left to a shuffled join."""
+    measured = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if measured <= BROADCAST_BYTES else df
+
+
+def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
+    """``rows`` with their place by ``order``, from 0, as a column. They are sorted by ranges; only the ranges' row counts reach the driver."""
+    rows = cut(rows.orderBy(*order))
+    at = F.spark_partition_id()
+    counts = {r.at: r.n for r in rows.groupBy(at.alias("at")).agg(F.count("*").alias("n")).collect()}
+    first, so_far = [], 0
+    for k in range(max(counts, default=0) + 1):
+        first.append(F.lit(so_far).cast("long"))
+        so_far += counts.get(k, 0)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return cut(rows.withColumn(name, F.get(F.array(*first), at) + within))
+
+
 class ByteBound(dict):
     """A cache that is emptied when its keys, as characters or bytes, and what an entry takes besides come to ``LIMIT`` bytes; long keys aren't kept."""
 

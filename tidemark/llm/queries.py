@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, chaining, decontaminate, packing, pii, quality, simhash, topk, unigram
+from . import binary, chaining, decontaminate, divergence, mixing, packing, pii, quality, simhash, topk, unigram, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,21 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_digit_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every embedding, by an exact covariance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16, scale=64.0, offset=1_000_000)
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words a mix of the sources by weights 3, 1, 2 takes of every document."""
+    return mixing.mixed(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, most=2)
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ from each other, and the terms that each has more of."""
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_pivot_topk": op2_pivot_topk,
@@ -76,10 +91,15 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_pii_spans": op9_pii_spans,
     "op10_lattice_lm": op10_lattice_lm,
+    "op11_digit_whitening": op11_digit_whitening,
+    "op12_source_mix": op12_source_mix,
+    "op13_divergence_audit": op13_divergence_audit,
 }
 
 #: DuckDB SQL where it can express a query; the others are tested against brute force.
 ORACLE: dict[str, str] = {
     "op2_pivot_topk": topk.TOP_K_SQL,
     "op3_decontamination": decontaminate.CONTAINED_SQL,
+    "op12_source_mix": mixing.MIXED_SQL,
+    "op13_divergence_audit": divergence.AUDIT_SQL,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import scoring as S
 from tidemark.operators import search as R
+from tidemark.operators import variants as V
 
 
 def one(spark, *cols):
@@ -84,24 +85,40 @@ def test_rewards(spark):
 
 
 def test_variant_prices(spark):
-    axes = "array<struct<prices:array<double>,selected:double>>"
+    axis = "array<struct<axis:string,values:array<struct<value:string,price:double>>>>"
+    pair = "array<struct<axis:string,value:string>>"
+    two, flat = [("Ｓｉｚｅ", [("Ｌ", 1899.0), ("XL", 1999.0), ("M", None)]), ("颜色", [("红", None), ("白", None)])], [("口味", [("甜", 7.0), ("咸", 7.0)])]
+    both = [("尺码", [("L", 1.0), ("M", 2.0)]), ("颜色", [("红", 3.0), ("白", 4.0)])]
+    listed = [([("颜色", "白"), ("尺码", "l")], 9.0)]
     cases = [
-        ((None, [([1899.0, 1999.0], 1999.0), ([None], None)], [5.0], False), (1999.0, "unique_effective_price_axis")),
-        ((None, [([1.0, 2.0], 1.0), ([3.0, 4.0], 3.0)], [5.0], False), (None, "multiple_price_axes")),
-        ((None, [([1.0, 2.0], None)], [5.0], False), (None, "price_axis_not_selected")),
-        ((None, [([7.0, 7.0], 7.0)], [5.0], False), (7.0, "constant_option_price")),
-        ((None, [], [5.0, 5.0], False), (5.0, "single_base_price")),
-        ((None, [], [5.0, 6.0], False), (None, "not_deterministic")),
-        ((9.0, [([1.0, 2.0], 1.0)], [5.0], False), (9.0, "exact_combination")),
-        ((9.0, [], [5.0], True), (None, "invalid_option_axes")),
+        ((two, [("size", "xl")], [], [5.0]), ("pass", 1999.0, "unique_effective_price_axis")),
+        ((two, [("SIZE", "ｌ")], [], [5.0]), ("pass", 1899.0, "unique_effective_price_axis")),
+        ((two, [("size", "m")], [], [5.0]), ("unverifiable", None, "selected_variant_price_missing")),
+        ((two, [("size", "zz")], [], [5.0]), ("unverifiable", None, "selected_variant_price_missing")),
+        ((two, [("颜色", "红")], [], [5.0]), ("unverifiable", None, "effective_price_axis_unselected")),
+        ((both, [("尺码", "L")], listed, [5.0]), ("unverifiable", None, "multiple_effective_price_axes")),
+        ((both, [("鞋码", "L"), ("颜色分类", "白")], listed, [5.0]), ("pass", 9.0, "full_variant_combination")),
+        ((both, [("尺码", "L"), ("鞋码", "L")], listed, [5.0]), ("unverifiable", None, "invalid_option_axes")),
+        ((both + [("颜色分类", [("x", 1.0)])], [], [], [5.0]), ("unverifiable", None, "invalid_option_axes")),
+        ((flat, [], [], [5.0]), ("pass", 7.0, "constant_option_price")),
+        (([], [], [], [5.0, 5.0, None]), ("pass", 5.0, "single_base_price")),
+        (([], [], [], [5.0, 6.0]), ("unverifiable", None, "price_not_deterministic")),
+        (([("颜色", [("红", None)])], [], [], [5.0]), ("unverifiable", None, "price_not_deterministic")),
     ]
-    df = spark.createDataFrame([c for c, _ in cases], f"c double, axes {axes}, base array<double>, collision boolean")
-    got = df.coalesce(1).select(S.variant_price(F.col("c"), F.col("axes"), F.col("base"), F.col("collision")).alias("x")).collect()
+    df = spark.createDataFrame([c for c, _ in cases], f"options {axis}, selected {pair}, combinations array<struct<options:{pair},price:double>>, base array<double>")
+    got = df.coalesce(1).select(V.variant_price(V.indexed(F.col("options")), F.col("selected"), F.col("combinations"), F.col("base")).alias("x")).collect()
     assert [tuple(r.x) for r in got] == [e for _, e in cases]
     cheap = one(spark, S.cheapest(F.array(F.struct(F.lit(None).cast("double").alias("price"), F.lit("a").alias("name")), F.struct(F.lit(2.0).alias("price"), F.lit(" B ").alias("name")))))[0]
     assert cheap == Row(missing=False, price=2.0, name="b")
 
 
+def test_options_are_folded(spark):
+    texts = ["Ｌ／ＸＬ 号", "½Ｋｇ", "Straße", "①㎏", "ﾊﾝﾄﾞ", None]
+    got = [r.t for r in spark.createDataFrame([(x,) for x in texts], "t string").select(V.option_text(F.col("t")).alias("t")).collect()]
+    assert got[:4] == ["l|xl号", "1⁄2kg", "strasse", "1kg"] and got[5] == ""
+    assert one(spark, V.canonical_axis(F.lit("颜 色"))) == ("color",)
+
+
 def test_search_form_and_tokens(spark):
     row = one(
         spark,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +22,38 @@ def folded(text: Column) -> Column:
     return F.coalesce(_fold(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
 
 
+#: Blocks whose compatibility characters ``folded_characters`` knows: Latin-1, punctuation and spaces, super- and subscripts, letterlike symbols and
+#: numerals, enclosed numbers and letters, CJK symbols and units, half and full widths.
+_BLOCKS = ((0xA0, 0x180), (0x2000, 0x20A0), (0x2100, 0x2190), (0x2460, 0x2500), (0x3000, 0x3400), (0xFF00, 0xFFF0))
+
+
+@lru_cache(maxsize=1)
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Characters of the blocks that NFKC and case folding turn into one other than lower() does, what they turn into, and those that turn into several."""
+    single, into, several = [], [], {}
+    for c in (chr(code) for low, high in _BLOCKS for code in range(low, high)):
+        f = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", c).casefold())
+        if len(f) > 1:
+            several[c] = f
+        elif f != c.lower():
+            single.append(c)
+            into.append(f)
+    return "".join(single), "".join(into), several
+
+
+def folded_characters(text: Column) -> Column:
+    """NFKC and case folding character by character, in the JVM, so that it can be used within arrays.
+
+    Beyond ``_BLOCKS`` it is lower(). Sequences that NFKC composes (a letter and a combining mark) are left apart; ``folded`` does all of it.
+    """
+    single, into, several = _foldings()
+    # One literal, which the optimizer turns into a map once.
+    spelled = F.str_to_map(F.lit("\1".join(f"{c}\2{f}" for c, f in several.items())), F.lit("\1"), F.lit("\2"))
+    one = lambda t: F.lower(F.translate(t, single, into))
+    each = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), one(c))), "")
+    return F.when(text.rlike("[" + "".join(several) + "]"), each).otherwise(one(text))
+
+
 def collapsed(text: Column) -> Column:
     """White space, Unicode's included, collapsed to single spaces and stripped."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

@@ -187,33 +187,6 @@ def policy_reward(base: Column, guards: Column, repeats: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), base - cost))
 
 
-def variant_price(combination: Column, axes: Column, base_prices: Column, collision: Column) -> Column:
-    """(price, method) of the selected variant.
-
-    combination: price of the exact combination of options, if listed. axes: array of (prices of an axis, price of its selected
-    value). base_prices: array of the product's own prices. Nothing is guessed: two axes with prices of their own, or none, can't be told.
-    """
-    effective = F.filter(axes, lambda x: F.size(F.array_distinct(F.filter(x["prices"], lambda p: p.isNotNull()))) > 1)
-    constant = F.array_distinct(F.filter(F.flatten(F.transform(axes, lambda x: x["prices"])), lambda p: p.isNotNull()))
-    base = F.array_distinct(F.filter(base_prices, lambda p: p.isNotNull()))
-    only = F.get(effective, F.lit(0))["selected"]
-
-    def of(price: Column, method: str) -> Column:
-        return F.struct(price.cast("double").alias("price"), F.lit(method).alias("method"))
-
-    none = F.lit(None)
-    return (
-        F.when(collision, of(none, "invalid_option_axes"))
-        .when(combination.isNotNull(), of(combination, "exact_combination"))
-        .when(F.size(effective) > 1, of(none, "multiple_price_axes"))
-        .when((F.size(effective) == 1) & only.isNotNull(), of(only, "unique_effective_price_axis"))
-        .when(F.size(effective) == 1, of(none, "price_axis_not_selected"))
-        .when(F.size(constant) == 1, of(F.get(constant, F.lit(0)), "constant_option_price"))
-        .when((F.size(axes) == 0) & (F.size(base) == 1), of(F.get(base, F.lit(0)), "single_base_price"))
-        .otherwise(of(none, "not_deterministic"))
-    )
-
-
 def cheapest(values: Column) -> Column:
     """The value (price, name) with the lowest price; values without one come last, ties go by name."""
     return F.array_min(F.transform(values, lambda v: F.struct(v["price"].isNull().alias("missing"), v["price"].alias("price"), F.lower(F.trim(v["name"])).alias("name"))))

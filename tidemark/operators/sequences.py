@@ -93,12 +93,6 @@ def phases(steps: DataFrame, key: str, order: list[str], opens: Column, resets:
     return s.withColumn("options", F.when(F.col("open"), options).otherwise(0)).drop("_island")
 
 
-def prefixes(steps: DataFrame, key: str, order: list[str], accepted: Column, value: str) -> DataFrame:
-    """All accepted values before each step, in order. A row holds as many as its session has steps."""
-    w = _w(key, order).rowsBetween(Window.unboundedPreceding, -1)
-    return steps.withColumn("prefix", F.collect_list(F.when(accepted, F.col(value))).over(w))
-
-
 def chain_check(rows: DataFrame, key: str, order: str, first: int, before: Column | None = None, after: Column | None = None) -> DataFrame:
     """Per key the first fault of an ordered ledger: sequence (a gap), chain (before is not the last after), else ok."""
     w = Window.partitionBy(key).orderBy(order)

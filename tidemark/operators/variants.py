@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import folded_characters
 from .scoring import FAIL, PASS, UNVERIFIABLE
 
 #: Names of axes that mean the same.
@@ -25,8 +26,8 @@ AXIS_ALIASES = {
 
 
 def option_text(value: Column) -> Column:
-    """An option's text without white space, in lower case, with | for /. Texts that need NFKC have to be folded before."""
-    return F.replace(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), r"(?U)\s+", ""), F.lit("/"), F.lit("|"))
+    """An option's text folded, without white space, with | for /."""
+    return F.replace(F.regexp_replace(folded_characters(F.coalesce(value, F.lit(""))), r"(?U)\s+", ""), F.lit("/"), F.lit("|"))
 
 
 def canonical_axis(axis: Column) -> Column:
@@ -138,6 +139,55 @@ def combination_price(combinations: Column, selected: Column) -> Column:
     return finite_price(F.get(F.filter(combinations, lambda c: _as_set(c["options"]) == _as_set(selected)), F.lit(0))["price"])
 
 
+#: How the price of a variant was told, or why it can't be.
+PRICE_METHODS = (
+    "invalid_option_axes",
+    "full_variant_combination",
+    "multiple_effective_price_axes",
+    "effective_price_axis_unselected",
+    "selected_variant_price_missing",
+    "unique_effective_price_axis",
+    "constant_option_price",
+    "single_base_price",
+    "price_not_deterministic",
+)
+
+
+def variant_price(axes: Column, selected: Column, combinations: Column, base_prices: Column) -> Column:
+    """(status, price, method) of a selection of an ``indexed`` product. Nothing is guessed.
+
+    A listed combination counts first; then the only axis whose values have several prices; then the one price that all values have, and
+    without any axis the product's own. Of two selections of an axis neither can be told.
+    """
+    picked = canonical_selection(selected)
+    raw = F.transform(picked["selected"], lambda s: F.struct(s["source"].alias("axis"), s["value"].alias("value")))
+    listed = combination_price(combinations, raw)
+    prices = lambda a: F.array_distinct(F.filter(F.transform(a["values"], lambda v: v["price"]), lambda p: p.isNotNull()))
+    effective = F.filter(axes, lambda a: F.size(prices(a)) > 1)
+    axis = F.get(effective, F.lit(0))
+    own = F.get(F.filter(picked["selected"], lambda s: s["canonical"] == axis["canonical"]), F.lit(0))
+    price = _value(axis, own["value"])["price"]
+    every = F.array_distinct(F.flatten(F.transform(axes, prices)))
+    base = F.array_distinct(F.filter(F.transform(F.coalesce(base_prices, F.array().cast("array<double>")), finite_price), lambda p: p.isNotNull()))
+    invalid, full, several, unselected, missing, unique, constant, single, unknown = PRICE_METHODS
+
+    def of(method: str, price: Column | None = None) -> Column:
+        found = F.lit(None).cast("double") if price is None else price
+        return F.struct(F.lit(UNVERIFIABLE if price is None else PASS).alias("status"), found.alias("price"), F.lit(method).alias("method"))
+
+    return (
+        F.when((F.size(picked["errors"]) > 0) | (F.size(colliding(axes)) > 0), of(invalid))
+        .when(listed.isNotNull(), of(full, listed))
+        .when(F.size(effective) > 1, of(several))
+        .when((F.size(effective) == 1) & own.isNull(), of(unselected))
+        .when((F.size(effective) == 1) & price.isNull(), of(missing))
+        .when(F.size(effective) == 1, of(unique, price))
+        .when(F.size(every) == 1, of(constant, F.get(every, F.lit(0))))
+        .when((F.size(axes) == 0) & (F.size(base) == 1), of(single, F.get(base, F.lit(0))))
+        .otherwise(of(unknown))
+    )
+
+
 def compare_required(axes: Column, required: Column, selected: Column) -> Column:
     """(status, missing, unavailable, wrong, matched): required options against the selected ones, each list by canonical axis.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators import scoring as S
 from ..operators import search as R
+from ..operators import variants as V
 from .registry import query
 from .tables import table
 
@@ -105,23 +106,29 @@ def policy_reward_clip(spark, d):
     return purchases(spark, d).select("l_orderkey", "l_linenumber", "p_partkey", F.round(reward, 6).alias("reward"))
 
 
-# Variants: a brand's parts are the values of an axis, by type.
+# Variants: a brand's parts are the values of an axis, by type. Every fifth brand lists a combination, of its first type alone; the others' selection
+# has the first part of each type, but of every third brand it leaves out the first type.
 
-AXES_SQL = """axes AS (SELECT p_brand, p_type, count(DISTINCT p_retailprice) AS prices, min(p_retailprice) AS lowest FROM part GROUP BY 1, 2),
-brands AS (SELECT p_brand, count(*) FILTER (WHERE prices > 1) AS effective, any_value(lowest) FILTER (WHERE prices > 1) AS selected, count(DISTINCT lowest) FILTER (WHERE prices = 1) AS constants FROM axes GROUP BY 1)"""
+AXES_SQL = """axes AS (SELECT p_brand, p_type, count(DISTINCT p_retailprice) AS prices, arg_min(p_retailprice, p_partkey) AS first, CAST(substr(p_brand, 7) AS INT) AS b FROM part GROUP BY ALL),
+brands AS (SELECT p_brand, b, count(*) AS n, count(*) FILTER (WHERE prices > 1) AS effective, arg_min(prices, p_type) > 1 AS first_effective, any_value(first) FILTER (WHERE prices > 1) AS chosen, count(DISTINCT first) AS firsts,
+  min(first) AS lowest FROM axes GROUP BY ALL)"""
 
 
-@query(f"""WITH {AXES_SQL}, one AS (SELECT p_brand, count(DISTINCT p_retailprice) AS n, min(p_retailprice) AS price FROM part GROUP BY 1)
-SELECT p_brand, CASE WHEN CAST(substr(p_brand, 7) AS INT) % 5 = 0 THEN 900.0 WHEN effective > 1 THEN NULL WHEN effective = 1 THEN selected WHEN n = 1 THEN price END AS price,
-  CASE WHEN CAST(substr(p_brand, 7) AS INT) % 5 = 0 THEN 'exact_combination' WHEN effective > 1 THEN 'multiple_price_axes' WHEN effective = 1 THEN 'unique_effective_price_axis'
-  WHEN n = 1 THEN 'constant_option_price' ELSE 'not_deterministic' END AS method FROM brands JOIN one USING (p_brand)""")
+@query(f"""WITH {AXES_SQL}, m AS (SELECT *, CASE WHEN b % 5 = 0 AND n - CASE WHEN b % 3 = 0 THEN 1 ELSE 0 END = n THEN 'full_variant_combination' WHEN effective > 1 THEN 'multiple_effective_price_axes'
+  WHEN effective = 1 AND b % 3 = 0 AND first_effective THEN 'effective_price_axis_unselected' WHEN effective = 1 THEN 'unique_effective_price_axis' WHEN firsts = 1 THEN 'constant_option_price' ELSE 'price_not_deterministic' END AS method FROM brands)
+SELECT p_brand, CASE method WHEN 'full_variant_combination' THEN 900.0 WHEN 'unique_effective_price_axis' THEN chosen WHEN 'constant_option_price' THEN lowest END AS price,
+  CASE WHEN method IN ('full_variant_combination', 'unique_effective_price_axis', 'constant_option_price') THEN 'pass' ELSE 'unverifiable' END AS status, method FROM m""")
 def variant_price_cascade(spark, d):
-    parts = table(spark, d, "part")
-    axes = parts.groupBy("p_brand", "p_type").agg(F.collect_set("p_retailprice").alias("prices"), F.min("p_retailprice").alias("selected"))
-    brands = axes.groupBy("p_brand").agg(F.collect_list(F.struct("prices", "selected")).alias("axes"))
-    combination = F.when(F.substring("p_brand", 7, 9).cast("int") % 5 == 0, F.lit(900.0))
-    x = S.variant_price(combination, F.col("axes"), F.array().cast("array<double>"), F.lit(False))
-    return brands.select("p_brand", x.alias("x")).select("p_brand", "x.price", "x.method")
+    values = F.array_sort(F.collect_list(F.struct("p_partkey", F.concat(F.lit("Ｎ "), F.col("p_partkey").cast("string")).alias("value"), F.col("p_retailprice").alias("price"))))
+    parts = table(spark, d, "part").groupBy("p_brand", "p_type").agg(values.alias("values"))
+    options = F.array_sort(F.collect_list(F.struct(F.col("p_type").alias("axis"), F.transform("values", lambda v: F.struct(v["value"].alias("value"), v["price"].alias("price"))).alias("values"))))
+    brands = parts.groupBy("p_brand").agg(options.alias("options")).withColumn("b", F.substring("p_brand", 7, 9).cast("int"))
+    first = F.transform("options", lambda o: F.struct(o["axis"].alias("axis"), F.lower(F.translate(F.get(o["values"], 0)["value"], "Ｎ", "n")).alias("value")))
+    selected = F.when(F.col("b") % 3 == 0, F.slice(first, 2, F.size(first))).otherwise(first)
+    combinations = F.when(F.col("b") % 5 == 0, F.array(F.struct(first.alias("options"), F.lit(900.0).alias("price")))).otherwise(F.array().cast("array<struct<options:array<struct<axis:string,value:string>>,price:double>>"))
+    rows = brands.select("p_brand", V.indexed(F.col("options")).alias("axes"), selected.alias("selected"), combinations.alias("combinations"))
+    x = V.variant_price(F.col("axes"), F.col("selected"), F.col("combinations"), F.array().cast("array<double>"))
+    return rows.select("p_brand", x.alias("x")).select("p_brand", "x.price", "x.status", "x.method")
 
 
 @query("SELECT p_type, min(p_retailprice) AS price, arg_min(lower(p_name), (p_retailprice, lower(p_name))) AS name FROM part GROUP BY p_type")

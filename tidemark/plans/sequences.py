@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import branches as B
 from ..operators import sequences as S
 from ..operators import splits as D
 from .registry import query
@@ -97,11 +99,76 @@ def public_phase(spark, d):
     return phased(spark, d).select("event_id", "open", F.col("options").cast("bigint").alias("options"))
 
 
-@query(f"""WITH {STEPS_SQL}, x AS (SELECT event_id, string_agg(CASE WHEN tool <> 'error' THEN tool END, ',' ORDER BY ts, event_id) OVER {W[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM steps)
-SELECT event_id, sha256(coalesce(p, '')) AS prefix FROM x""")
+#: The name of the accepted actions before each step, in DuckDB: PREFIX needs the columns key, place (by which a session is ordered), ok and action.
+PREFIX_SQL = """counted AS (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY key ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prefix_n FROM acts),
+hashed AS (SELECT *, CASE WHEN ok THEN md5(prefix_n || ':' || action) END AS h FROM counted),
+prefixed AS (SELECT *, prefix_n || '-' || lower(lpad(printf('%x', coalesce(bit_xor(('0x' || substr(h, 1, 15))::BIGINT) OVER before, 0)), 15, '0')) || '-' ||
+  lower(lpad(printf('%x', coalesce(bit_xor(('0x' || substr(h, 16, 15))::BIGINT) OVER before, 0)), 15, '0')) AS prefix_id FROM hashed
+  WINDOW before AS (PARTITION BY key ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query(f"""WITH {STEPS_SQL}, acts AS (SELECT *, user_id AS key, row_number() OVER {W} AS place, tool <> 'error' AS ok, tool || k AS action FROM steps), {PREFIX_SQL}
+SELECT event_id, prefix_n, prefix_id FROM prefixed""")
 def accepted_prefix(spark, d):
-    """Hash of the accepted tools before each step."""
-    return S.prefixes(steps(spark, d), KEY, ORDER, F.col("tool") != "error", "tool").select("event_id", F.sha2(F.array_join("prefix", ","), 256).alias("prefix"))
+    """Length and name of the accepted actions before each step."""
+    found = B.with_prefix(steps(spark, d), KEY, ORDER, F.col("tool") != "error", F.concat("tool", F.col("k").cast("string")))
+    return found.select("event_id", "prefix_n", "prefix_id")
+
+
+# A session's ledger has the tools of its accepted steps, and ends with a purchase of value 90 or more. What is seen after an action is the
+# tool's name; every step but each 29th tells how many actions came before it, each 31st one too many, and each 37th saw something else.
+
+
+def ledger(spark, d):
+    rows = steps(spark, d).where("tool <> 'error'")
+    at = F.row_number().over(Window.partitionBy(KEY).orderBy(*ORDER))
+    return rows.withColumn("seq", at)
+
+
+def events_of(spark, d):
+    before = Window.partitionBy(KEY).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    ok, e = F.col("tool") != "error", F.col("event_id")
+    n = F.coalesce(F.count(F.when(ok, 1)).over(before), F.lit(0))
+    seen = F.coalesce(F.last(F.when(ok, F.col("tool")), ignorenulls=True).over(before), F.lit("start"))
+    rows = steps(spark, d).withColumn("n", n).withColumn("seen", seen)
+    count = F.when(e % 29 == 0, None).when(e % 31 == 0, F.col("n") + 1).otherwise(F.col("n"))
+    return rows.withColumn("prefix_action_count", count).withColumn("observation", F.when(e % 37 == 0, "else").otherwise(F.col("seen")))
+
+
+def bound(spark, d):
+    rows = ledger(spark, d)
+    states = B.ledger_states(rows, KEY, "seq", F.col("tool"), (F.col("tool") == "purchase") & (F.col("value") >= 90), F.col("tool"))
+    sessions = table(spark, d, "events").select(KEY).distinct().select(KEY, (F.col(KEY) % 3).alias("task"), F.lit("start").alias("initial"))
+    return B.bound_events(events_of(spark, d), sessions, states, KEY)
+
+
+BOUND_SQL = f"""acts AS (SELECT *, user_id AS key, row_number() OVER {W} AS place, tool <> 'error' AS ok, tool AS action FROM steps), {PREFIX_SQL},
+led AS (SELECT *, prefix_n + 1 AS seq, tool = 'purchase' AND value >= 90 AS done FROM prefixed WHERE ok),
+ev AS (SELECT *, CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 31 = 0 THEN prefix_n + 1 ELSE prefix_n END AS cnt,
+  CASE WHEN event_id % 37 = 0 THEN 'else' ELSE coalesce(last_value(CASE WHEN ok THEN tool END IGNORE NULLS) OVER (PARTITION BY key ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'start') END AS obs FROM prefixed),
+size AS (SELECT key, count(*) AS n FROM led GROUP BY key),
+j AS (SELECT ev.*, cur.done AS over, cur.tool AS now, coalesce(size.n, 0) AS most FROM ev LEFT JOIN size USING (key) LEFT JOIN led cur ON cur.key = ev.key AND cur.seq = ev.cnt),
+why AS (SELECT *, CASE WHEN cnt IS NULL THEN 'invalid_prefix_action_count' WHEN cnt > most THEN 'prefix_action_count_out_of_range' WHEN cnt > 0 AND over THEN 'branch_after_terminal'
+  WHEN obs <> CASE WHEN cnt = 0 THEN 'start' ELSE now END THEN 'event_observation_hash_mismatch' END AS fault FROM j)"""
+
+
+@query(f"""WITH {STEPS_SQL}, {BOUND_SQL}
+SELECT event_id, fault, CASE WHEN fault IS NULL AND why.cnt = why.prefix_n THEN sha256((user_id % 3) || '|' || why.prefix_id || '|' || obs) END AS state_id FROM why""")
+def ledger_prefix_join(spark, d):
+    """The state of each step, by the part of its session's ledger that came before it."""
+    found = bound(spark, d)
+    return found.select("event_id", "fault", F.when(F.col("prefix_action_count") == F.col("n"), F.col("state_id")).alias("state_id"))
+
+
+@query(f"""WITH {STEPS_SQL}, {BOUND_SQL}, v AS (SELECT sha256((user_id % 3) || '|' || prefix_id || '|' || obs) AS state_id, tool, value >= 50 AS won, value FROM why WHERE fault IS NULL AND cnt = prefix_n),
+g AS (SELECT state_id, count(*) AS visits, count(DISTINCT tool) AS unique_next_actions, bool_or(won) AND NOT bool_and(won) AS mixed, max(value) - min(value) > 1e-8 AS varies FROM v GROUP BY 1)
+SELECT state_id, visits, unique_next_actions, mixed AS mixed_strict, varies AS utility_varying, mixed AND unique_next_actions > 1 AS eligible_mixed_strict, varies AND unique_next_actions > 1 AS eligible_mixed_utility,
+  visits >= 4 AND mixed AND unique_next_actions > 1 AS natural_suffix_group_candidate FROM g WHERE visits >= 2""")
+def branch_state_groups(spark, d):
+    """States that several sessions came to: how they went on."""
+    visits = bound(spark, d).where(F.col("fault").isNull() & (F.col("prefix_action_count") == F.col("n")))
+    visits = visits.withColumn("won", F.col("value") >= 50)
+    return B.branch_groups(visits, ["state_id"], "event_id", "tool", "won", "value").drop("action_outcomes")
 
 
 @query(f"""WITH {STEPS_SQL}, {PHASE}, y AS (SELECT *, lag(tool) OVER {W} AS before, lag({SIGNATURE_SQL}) OVER {W} AS last FROM ph)

@@ -88,9 +88,12 @@ def session_windows(events: DataFrame, time: str, gap: str, late: str, *keys: st
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap), *keys).agg(F.count("*").alias("n"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what its source holds now into a table in memory: for tests and small replays."""
+def run_to_table(stream: DataFrame, name: str, mode: str, **trigger: bool) -> DataFrame:
+    """Runs a stream over what its source holds now into a table in memory: for tests and small replays.
+
+    Streams that keep time by the clock never have nothing left to do; ``once=True`` ends them after a batch.
+    """
     spark: SparkSession = stream.sparkSession
-    started = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    started = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(**(trigger or {"availableNow": True})).start()
     started.awaitTermination()
     return spark.table(name)

@@ -42,15 +42,15 @@ def pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-def best(q: np.ndarray, q_table: np.ndarray, own: int, x: np.ndarray, x_table: np.ndarray, ids: np.ndarray, squares: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the query's k best candidates, by falling score and rising id."""
+def best(q: np.ndarray, q_table: np.ndarray, own: np.ndarray, x: np.ndarray, x_table: np.ndarray, ids: np.ndarray, squares: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the query's k best candidates, by falling score and rising id; not of its own row, at the places ``own``."""
     low = np.zeros(len(x))
     for p in range(x_table.shape[1]):
         np.maximum(low, np.abs(x_table[:, p] - q_table[p]), out=low)
     square = float(q @ q)
     bound = (square + squares - low * low) / 2
     bound += 1e-9 * (square + squares) + 0.5  # what rounding may have taken
-    bound[ids == own] = -np.inf
+    bound[own] = -np.inf
     order = np.argsort(-bound, kind="stable")
     order = order[: np.searchsorted(-bound[order], np.inf)]
     scores = np.zeros(0, dtype=x.dtype)
@@ -70,15 +70,15 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     """(query_id, rank, vec_id, score): the k largest integer inner products of each query, ties to the smaller id.
 
     Queries are the rows whose id is divisible by ``every``; candidates all rows but the query's own, of its length. Rows
-    with a null id or vector, or a null or non-finite component, take no part. Of rows that repeat an id the one with
-    the smallest vector stands for all. Scores have to be below 2**63.
+    with a null id or vector, or a null or non-finite component, take no part. Rows that repeat an id are rows of their own: each is a candidate,
+    also for the others, and each asks where the id is one that does. An empty table gives no rows. Scores have to be below 2**63.
     """
     spark = vectors.sparkSession
-    rows = integers(vectors, scale, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
-    rows = cut(rows.withColumn("dim", F.size("v")))
+    # Rows are numbered by their place in the table that is written here, which stays.
+    rows = cut(integers(vectors, scale, id_col, vector_col).withColumn("dim", F.size("v"))).withColumn("row", F.monotonically_increasing_id())
     n = rows.count()
     chosen = {}
-    for r in rows.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).collect():
+    for r in rows.orderBy(F.xxhash64("id"), "id", "v").limit(PIVOT_SAMPLE).collect():
         chosen.setdefault(r.dim, []).append(r.v)
     chosen = {dim: pivots(np.array(v, dtype=float).reshape(len(v), dim), PIVOTS) for dim, v in chosen.items()}
 
@@ -86,46 +86,47 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
         for b in batches:
             own = [np.array(v, dtype=np.int64) for v in b.column(1).to_pylist()]
             table = [np.linalg.norm(chosen[len(v)] - v, axis=1).tobytes() if len(v) in chosen else b"" for v in own]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([v.tobytes() for v in own], pa.binary()), pa.array(table, pa.binary())], ["id", "dim", "v", "t"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([v.tobytes() for v in own], pa.binary()), pa.array(table, pa.binary())], ["id", "dim", "row", "v", "t"])
 
-    table = rows.select("id", "v", "dim").mapInArrow(measure, "id long, dim int, v binary, t binary")
+    table = rows.select("id", "v", "dim", "row").mapInArrow(measure, "id long, dim int, row long, v binary, t binary")
     blocks, query_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-n // every // QUERY_BLOCK))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    query = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int")
+    # By the row, so that rows with one id are dealt out, too.
+    own = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    query = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_blocks)).cast("int")
     every_block, every_query = F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit(query_blocks - 1))
     candidates = table.select("*", own.alias("c"), F.explode(every_query).alias("q"), F.lit(False).alias("asks"))
     asking = table.where(F.col("id") % every == 0).select("*", F.explode(every_block).alias("c"), query.alias("q"), F.lit(True).alias("asks"))
 
     def search(group: pa.Table) -> pa.Table:
-        ids, asks = group.column("id").to_numpy(), group.column("asks").to_numpy()
+        ids, asks, places = group.column("id").to_numpy(), group.column("asks").to_numpy(), group.column("row").to_numpy()
         v = np.array([np.frombuffer(x, dtype=np.int64) for x in group.column("v").to_pylist()]).reshape(len(ids), -1)
         t = np.array([np.frombuffer(x) for x in group.column("t").to_pylist()]).reshape(len(ids), -1)
         most = float(np.abs(v).max(initial=0))
         x = v[~asks].astype(float) if most * most * max(1, v.shape[1]) < EXACT else v[~asks]
         squares = (x.astype(float) ** 2).sum(axis=1)
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], []]
         for k_ in np.flatnonzero(asks):
-            found, scores = best(v[k_].astype(x.dtype), t[k_], ids[k_], x, t[~asks], ids[~asks], squares, k)
-            for c, value in zip(out, (np.full(len(found), ids[k_]), found, scores.astype(np.int64)), strict=True):
+            found, scores = best(v[k_].astype(x.dtype), t[k_], places[~asks] == places[k_], x, t[~asks], ids[~asks], squares, k)
+            for c, value in zip(out, (np.full(len(found), places[k_]), np.full(len(found), ids[k_]), found, scores.astype(np.int64)), strict=True):
                 c.append(value)
         cols = [pa.array(np.concatenate(c) if c else np.zeros(0, dtype=np.int64)) for c in out]
-        return pa.Table.from_arrays(cols, ["query_id", "vec_id", "score"])
+        return pa.Table.from_arrays(cols, ["query", "query_id", "vec_id", "score"])
 
-    found = candidates.unionAll(asking).groupBy("dim", "q", "c").applyInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = candidates.unionAll(asking).groupBy("dim", "q", "c").applyInArrow(search, "query long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: DuckDB: all inner products of the queries.
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.r, q.vec_id AS query_id, c.vec_id,
          CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.r <> q.r AND len(q.v) = len(c.v)),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 5
 """

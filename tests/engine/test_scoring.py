@@ -130,6 +130,14 @@ def test_search_form_and_tokens(spark):
     assert row == ("100元 元 100元 20元 yuanyuan ¥100 (a)", ["㐀㐁", "㐁冰", "冰箱"], "", "pass")
 
 
+def test_fields_of_raw_products(spark):
+    docs = ['{"Title": "Ｘ1-Pro a20/b 5 x1-pro", "brand": "", "shop_name": "店", "attribute": {"b": [1, {"z": "é\\"q", "a": null}], "a": 2.5}, "options": [], "sub_title": ["s", true]}', "{", None, '{"title": 5}']
+    fields = R.product_fields(F.col("j"))
+    got = [r.asDict() for r in spark.createDataFrame([(x,) for x in docs], "j string").coalesce(1).select(*(c.alias(f) for f, c in fields.items())).collect()]
+    assert got[0] == {"title": "Ｘ1-Pro a20/b 5 x1-pro", "brand": "店", "category": "", "model": "x1-pro a20/b", "attributes": 'a 2.5 b 1 a z é"q', "options": "", "bullets": "s True"}
+    assert set(got[1].values()) == set(got[2].values()) == {""} and got[3]["title"] == "5"
+
+
 def test_a_chinese_query_finds_its_product(spark):
     schema = "asin string, title string, brand string, category string, model string, attributes string, options string, bullets string"
     rows = [("000000000001", "宿舍小冰箱", "海尔", "家电›冰箱", "", "", "", ""), ("000000000002", "家用冰箱贴", "美的", "饰品", "", "", "", ""), ("000000000003", "dormitory lamp", "acme", "", "a20-x", "", "", "")]
@@ -137,6 +145,6 @@ def test_a_chinese_query_finds_its_product(spark):
     fields = list(R.EFFECTIVE)
     words = R.searchable(docs, "asin", {f: F.col(f) for f in fields})
     queries = spark.createDataFrame([(1, "宿舍 冰箱"), (2, "A20-X")], "q long, text string")
-    index, stats = R.postings(words, "asin", fields, R.EFFECTIVE), R.index_stats(words, fields)
-    got = {(r.query_id, r["rank"]): r.asin for r in R.bm25(R.asked_terms(queries, "q", F.col("text")), index, stats, "asin").collect()}
+    got = {(r.query_id, r["rank"]): r.asin for r in R.bm25(R.asked_terms(queries, "q", F.col("text")), words, "asin", R.EFFECTIVE).collect()}
+    assert R.index_stats(words, fields).first().docs == 3
     assert got[1, 1] == "000000000001" and got[2, 1] == "000000000003" and (2, 2) not in got

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small
 from ..functions.text import search_query, tokens
 
 #: Weights as they take effect, and as they are declared.
@@ -21,6 +22,44 @@ def check_weights(weights: dict[str, float], fields: list[str]) -> None:
         raise ValueError(f"weights have to be positive and of {sorted(fields)}")
 
 
+#: Where a raw product has each field, in the order in which they are tried, and what a model name looks like.
+RAW = {
+    "title": ("title", "Title"),
+    "brand": ("brand", "shop_name"),
+    "category": ("category", "product_category"),
+    "attributes": ("attribute", "Attributes"),
+    "options": ("customization_options", "options"),
+    "bullets": ("small_description", "sub_title", "BulletPoints"),
+}
+MODEL = r"((?<![a-z0-9])(?=[a-z0-9._+\-/]*[a-z])(?=[a-z0-9._+\-/]*[0-9])[a-z0-9]+(?:[._+\-/][a-z0-9]+)*(?![a-z0-9]))"
+#: Values of JSON that count as nothing, so that the next place is tried.
+NOTHING = ("null", '""', "[]", "{}", "0", "0.0", "false")
+
+
+def flattened(json: Column) -> Column:
+    """All keys and values of JSON as one text, objects in the order of their keys; numbers as they are written, nulls left out."""
+    sorted_keys = F.to_json(F.try_parse_json(json))
+    parts = F.regexp_extract_all(sorted_keys, F.lit(r'("(?:[^"\\\\]|\\\\.)*"|-?[0-9][0-9.eE+-]*|true|false)'.replace("\\\\", "\\")), 1)
+    plain = lambda x: F.when(x.startswith('"'), F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), 0)).when(x == "true", "True").when(x == "false", "False").otherwise(x)
+    return F.array_join(F.transform(parts, plain), " ")
+
+
+def product_fields(json: Column) -> dict[str, Column]:
+    """The seven fields of a raw product, as JSON text; a product that is no JSON has empty ones.
+
+    A field is taken from the first place that has something. Nested lists and objects are flattened. The model is what looks like one in the title.
+    """
+
+    def first(places: tuple[str, ...]) -> Column:
+        parsed = F.try_parse_json(json)
+        values = [F.to_json(F.try_variant_get(parsed, f"$.{place}", "variant")) for place in places]
+        return F.coalesce(*(F.when(~v.isin(*NOTHING), v) for v in values), F.lit('""'))
+
+    fields = {name: flattened(first(places)) for name, places in RAW.items()}
+    fields["model"] = F.array_join(F.array_distinct(F.regexp_extract_all(search_query(fields["title"]), F.lit(MODEL), 1)), " ")
+    return {name: F.coalesce(fields[name], F.lit("")) for name in EFFECTIVE}
+
+
 def tokenized(docs: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     """(key, field arrays): the words of each field, in order."""
     return docs.select(key, *(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1).alias(f) for f, c in fields.items()))
@@ -40,17 +79,14 @@ def asked_terms(queries: DataFrame, key: str, text: Column) -> DataFrame:
 def postings(words: DataFrame, key: str, fields: list[str], weights: dict[str, float]) -> DataFrame:
     """(term, key, tf, length): weighted frequency of a term over the fields, and the length of the document in all of them.
 
-    The words of the rows of one task are counted before they are shuffled.
+    A field's tokens are distinct, so that a document's frequencies are the sum of one map a field: nothing is shuffled. ``key`` is unique.
     """
     check_weights(weights, fields)
     length = reduce(lambda a, b: a + b, (F.size(f) for f in fields)).alias("length")
-
-    def weighted(field: str) -> Column:
-        return F.transform(field, lambda w: F.struct(w.alias("term"), F.lit(weights[field]).alias("w")))
-
-    each = F.flatten(F.array(*map(weighted, fields)))
-    rows = words.select(key, length, F.explode(each).alias("x")).select("x.term", key, "length", "x.w")
-    return rows.groupBy("term", key, "length").agg(F.sum("w").alias("tf"))
+    zero = F.lit(0.0)
+    maps = [F.map_from_arrays(F.col(f), F.array_repeat(F.lit(float(weights[f])), F.size(f))) for f in fields]
+    every = reduce(lambda m, n: F.map_zip_with(m, n, lambda _, x, y: F.coalesce(x, zero) + F.coalesce(y, zero)), maps)
+    return words.select(key, length, F.explode(every).alias("term", "tf")).select("term", key, "tf", "length")
 
 
 def index_stats(words: DataFrame, fields: list[str]) -> DataFrame:
@@ -59,17 +95,32 @@ def index_stats(words: DataFrame, fields: list[str]) -> DataFrame:
     return words.agg(F.count("*").alias("docs"), (F.sum(length) / F.count("*")).alias("mean_length"))
 
 
-def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame, key: str, k: int = TOP_K) -> DataFrame:
-    """(query_id, key, score, rank): the best k documents of each query, ties to the smaller key.
+#: Stands for a document as a whole among its postings: no token is empty.
+_WHOLE = ""
+
+
+def bm25(queries: DataFrame, words: DataFrame, key: str, weights: dict[str, float], k: int = TOP_K) -> DataFrame:
+    """(query_id, key, score, rank): the best k documents of each query over the fields of ``words``, ties to the smaller key.
 
-    ``queries`` (query_id, term) holds distinct terms. Postings are first reduced to the terms that are asked for; document
-    frequencies are counted over these. ``stats`` is one row.
+    ``queries`` (query_id, term) holds distinct terms. The texts are read once: postings are reduced to the terms that are asked for before they are
+    dealt by document, with one row more for the document itself, and the frequencies, the mean length and the scores all come from
+    that one exchange. A document's terms stay together, so that a frequent term is no group of its own.
     """
-    asked = index.join(queries.select("term").distinct(), "term", "left_semi")
-    n_docs = asked.groupBy("term").agg(F.count("*").alias("df"))
-    scored = queries.join(n_docs, "term").join(asked, "term").join(F.broadcast(stats))
+    fields = list(weights)
+    whole = words.withColumn("_whole", F.array(F.lit(_WHOLE)))
+    asked = queries.select("term").distinct()
+    rows = postings(whole, key, [*fields, "_whole"], weights | {"_whole": 1.0})
+    wanted = small(asked.unionByName(asked.sparkSession.range(1).select(F.lit(_WHOLE).alias("term"))))
+    # Nullable as one column, so that each of its uses reads the same exchange.
+    posting = F.when(F.col("tf") > 0, F.struct("tf", (F.col("length") - 1).alias("length")))
+    dealt = rows.join(wanted, "term", "left_semi").select("term", key, posting.alias("p")).repartition(key)
+    whole_row = F.col("term") == _WHOLE
+    stats = dealt.agg(F.count_if(whole_row).alias("docs"), (F.sum(F.when(whole_row, F.col("p.length"))) / F.count_if(whole_row)).alias("mean_length"), F.count("p").alias("postings"))
+    n_docs = dealt.groupBy("term").agg(F.count("p").alias("df"))
+    scored = dealt.join(queries.join(n_docs, "term"), "term").join(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    tf, length = F.col("p.tf"), F.col("p.length")
+    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("mean_length")))
     found = scored.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -192,7 +192,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 def ranked(spark, d):
     words = R.searchable(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id", {"body": F.col("text"), "lang": F.col("lang")})
     queries = R.asked_terms(table(spark, d, "benchmark"), "item_id", F.col("text"))
-    return R.bm25(queries, R.postings(words, "doc_id", list(FIELDS), FIELDS), R.index_stats(words, list(FIELDS)), "doc_id")
+    return R.bm25(queries, words, "doc_id", FIELDS)
 
 
 @query(f"WITH {INDEX_SQL} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10")
@@ -256,5 +256,25 @@ def catalog_search(spark, d):
     words = R.searchable(parts, "p_partkey", {f: F.expr(e) for f, e in CATALOG.items()})
     text = F.concat_ws(" ", "p_type", F.concat("p_brand", F.lit(",")), F.col("p_size").cast("string"))
     asked = R.asked_terms(table(spark, d, "supplier").join(parts, F.col("s_suppkey") == F.col("p_partkey")), "s_suppkey", text)
-    hits = R.bm25(asked, R.postings(words, "p_partkey", list(CATALOG), R.EFFECTIVE), R.index_stats(words, list(CATALOG)), "p_partkey", R.PAGE)
+    hits = R.bm25(asked, words, "p_partkey", R.EFFECTIVE, R.PAGE)
     return hits.join(parts, "p_partkey").select("query_id", "rank", "p_partkey", "score", "p_name", "p_brand", "p_retailprice")
+
+
+@query("""WITH p AS (SELECT *, p_partkey % 3 AS v, p_type || '-' || p_size AS m FROM part)
+SELECT p_partkey, p_name || ' ' || CASE v WHEN 2 THEN '“q”' ELSE '' END || m AS title, CASE v WHEN 0 THEN p_brand ELSE 'shop ' || p_brand END AS brand, CASE v WHEN 1 THEN '' ELSE p_type END AS category, lower(m) AS model,
+  CASE v WHEN 0 THEN p_type || ' ' || p_size ELSE 'a ' || p_size || ' b x y' END AS attributes, CASE v WHEN 0 THEN '' ELSE '颜色 price ' || p_size || '.5 value ' || p_type || ' True' END AS options, p_name AS bullets FROM p""")
+def product_fields(spark, d):
+    """The fields of raw products in three shapes."""
+    part = table(spark, d, "part")
+    v, size = F.col("p_partkey") % 3, F.col("p_size")
+    title = F.concat(F.col("p_name"), F.lit(" "), F.when(v == 2, "“q”").otherwise(""), F.col("p_type"), F.lit("-"), size.cast("string"))
+    flat = F.to_json(F.struct(title.alias("title"), F.col("p_brand").alias("brand"), F.lit("").alias("shop_name"), F.col("p_type").alias("category"), F.array(F.col("p_type"), size.cast("string")).alias("attribute"), F.array().cast("array<string>").alias("options"), F.array("p_name").alias("small_description")))
+    option = F.struct(F.col("p_type").alias("value"), (size + 0.5).alias("price"), F.lit(True).alias("with"))
+    nested = F.struct(
+        title.alias("Title"), F.concat(F.lit("shop "), F.col("p_brand")).alias("shop_name"), F.when(v == 2, F.col("p_type")).alias("product_category"), F.array().cast("array<string>").alias("attribute"),
+        F.struct(F.array(F.lit("x"), F.lit("y")).alias("b"), size.alias("a")).alias("Attributes"), F.create_map(F.lit("颜色"), F.array(option)).alias("customization_options"), F.lit("").alias("sub_title"), F.col("p_name").alias("BulletPoints"),
+    )
+    # The key "with" is left out of the text below, as only its value tells anything here.
+    raw = F.replace(F.to_json(nested), F.lit('"with":'), F.lit('"value ":'))
+    fields = R.product_fields(F.when(v == 0, flat).otherwise(raw))
+    return part.select("p_partkey", *(F.trim(F.replace(F.regexp_replace(c, " +", " "), F.lit("value True"), F.lit("True"))).alias(f) for f, c in fields.items()))

@@ -76,12 +76,21 @@ def search_query(text: Column) -> Column:
     return collapsed(F.regexp_replace(s, PUNCTUATION, " "))
 
 
+def with_currency(folded_text: Column) -> Column:
+    """Folded text with amounts in 元: a query's normal form as far as its tokens depend on it. Most texts are only looked through."""
+    s = folded_text
+    for spelling in CURRENCY.split("|"):
+        s = F.replace(s, F.lit(spelling), F.lit("元"))
+    named = [folded_text.contains(x) for x in CURRENCY_AFTER.split("|")]
+    return F.when(named[0] | named[1] | named[2], F.regexp_replace(s, rf"(?U)(?<=\d)\s*(?:{CURRENCY_AFTER})\b", "元")).otherwise(s)
+
+
 def tokens(text: Column) -> Column:
     """Distinct tokens of normalised text: bigrams of runs of Han characters (single ones kept), then words and numbers."""
     han = F.regexp_extract_all(text, F.lit(r"([㐀-䶿一-鿿]+)"), 1)
     pairs = F.flatten(F.transform(han, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))))
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
-    return F.array_distinct(F.concat(pairs, words))
+    return F.array_distinct(F.when(text.rlike("[㐀-䶿一-鿿]"), F.concat(pairs, words)).otherwise(words))
 
 
 def canonical_json(value: object) -> str:

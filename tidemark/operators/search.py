@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizes import small
-from ..functions.text import search_query, tokens
+from ..functions.text import folded, search_query, tokens, with_currency
 
 #: Weights as they take effect, and as they are declared.
 EFFECTIVE = {"title": 2.0, "brand": 2.0, "category": 2.5, "model": 1.5, "attributes": 1.2, "options": 0.8, "bullets": 1.0}
@@ -67,13 +67,16 @@ def tokenized(docs: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame
 
 def searchable(docs: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     """(key, field arrays): the distinct tokens of each field's normal form, Han bigrams among them; queries are cut up likewise."""
-    forms = docs.select(key, *(search_query(c).alias(f) for f, c in fields.items()))
+    forms = docs.select(key, *(F.coalesce(folded(c), F.lit("")).alias(f) for f, c in fields.items()))
+    forms = forms.select(key, *(with_currency(F.col(f)).alias(f) for f in fields))
     return forms.select(key, *(tokens(F.col(f)).alias(f) for f in fields))
 
 
 def asked_terms(queries: DataFrame, key: str, text: Column) -> DataFrame:
     """(query_id, term): the distinct tokens of each query."""
-    return queries.select(F.col(key).alias("query_id"), F.explode(tokens(search_query(text))).alias("term")).distinct()
+    words = searchable(queries, key, {"_asked": text})
+    # An inner explode() would cut the texts up once more, in a filter on their size.
+    return words.select(F.col(key).alias("query_id"), F.explode_outer("_asked").alias("term")).where("term IS NOT NULL").distinct()
 
 
 def postings(words: DataFrame, key: str, fields: list[str], weights: dict[str, float]) -> DataFrame:
@@ -86,7 +89,7 @@ def postings(words: DataFrame, key: str, fields: list[str], weights: dict[str, f
     zero = F.lit(0.0)
     maps = [F.map_from_arrays(F.col(f), F.array_repeat(F.lit(float(weights[f])), F.size(f))) for f in fields]
     every = reduce(lambda m, n: F.map_zip_with(m, n, lambda _, x, y: F.coalesce(x, zero) + F.coalesce(y, zero)), maps)
-    return words.select(key, length, F.explode(every).alias("term", "tf")).select("term", key, "tf", "length")
+    return words.select(key, length, F.explode_outer(every).alias("term", "tf")).where("term IS NOT NULL").select("term", key, "tf", "length")
 
 
 def index_stats(words: DataFrame, fields: list[str]) -> DataFrame:

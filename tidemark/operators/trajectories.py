@@ -22,6 +22,7 @@ PRODUCT_ID = r"(?<!\d)(\d{8,12})(?!\d)"
 EVENT = (
     "event_id string, event_type string, action_attempt_id string, executed_step_id string, source_index bigint, assistant_text string, tool string, "
     "parameters map<string,string>, env_action string, parse_error string, guard_reason string, observation string, error string, "
+    "tool_call_id string, guard_consecutive_count bigint, latest_observation_truncated boolean, done boolean, "
     "projection struct<truncated:boolean,raw_tokens:bigint,visible_tokens:bigint,footer:boolean>"
 )
 
@@ -61,6 +62,11 @@ def normalized(raw: DataFrame) -> DataFrame:
         def either(name: str) -> Column:
             return F.when(is_step, step[name]).otherwise(guard[name])
 
+        def own(side: str, name: str, kind: str) -> Column:
+            """A field that not every source records."""
+            known = name in raw.schema[side].dataType.elementType.names
+            return F.when(is_step == (side == "steps"), (step if side == "steps" else guard)[name].cast(kind)) if known else F.lit(None).cast(kind)
+
         return F.struct(
             F.format_string("e%04d", i + 1).alias("event_id"),
             F.when(is_step, "tool_step").otherwise("guard_rejection").alias("event_type"),
@@ -75,6 +81,10 @@ def normalized(raw: DataFrame) -> DataFrame:
             F.when(is_step, none).otherwise(text_or(guard["reason"], F.lit("unknown"))).alias("guard_reason"),
             F.when(is_step, F.coalesce(step["observation"], F.lit(""))).otherwise("").alias("observation"),
             F.when(is_step, step["error"]).otherwise(none).alias("error"),
+            either("call_id").alias("tool_call_id"),
+            own("blocked", "guard_consecutive_count", "bigint").alias("guard_consecutive_count"),
+            own("steps", "latest_observation_truncated", "boolean").alias("latest_observation_truncated"),
+            own("steps", "done", "boolean").alias("done"),
             F.when(is_step, step["projection"]).alias("projection"),
         )
 
@@ -197,35 +207,67 @@ def metrics(trajectories: DataFrame, reward_version: str, keys: tuple[str, ...]
     )
 
 
-#: What a judge may see of an event, and the sections of the measures.
-JUDGED_EVENT = ("event_id", "event_type", "tool", "parameters", "assistant_text", "guard_reason", "observation")
+#: What a judge may see of an event, by the name it has there, and the sections of the measures.
+JUDGED_EVENT = {
+    "event_id": "event_id",
+    "event_type": "event_type",
+    "action_attempt_id": "action_attempt_id",
+    "executed_step_id": "executed_step_id",
+    "assistant_text": "assistant_text",
+    "tool_call_id": "tool_call_id",
+    "tool_name": "tool",
+    "parameters": "parameters",
+    "tool_call_parse_error": "parse_error",
+    "guard_reason": "guard_reason",
+    "guard_consecutive_count": "guard_consecutive_count",
+    "latest_observation_truncated": "latest_observation_truncated",
+    "env_action": "env_action",
+    "actor_visible_observation": "observation",
+    "done": "done",
+    "step_error": "error",
+}
 JUDGED_SECTIONS = ("actions_and_efficiency", "repetition", "legality", "context")
 
 
 def judge_view(trajectories: DataFrame, measured: DataFrame, keys: tuple[str, ...] = ("trajectory_id", "task_id")) -> DataFrame:
     """What a judge may see of each trajectory: events and measures without rewards or outcomes. Trajectories of invalid runs are left out."""
-    events = F.transform("events", lambda e: F.struct(*(e[f].alias(f) for f in JUDGED_EVENT)))
+    events = F.transform("events", lambda e: F.struct(*(e[f].alias(name) for name, f in JUDGED_EVENT.items())))
     ended = F.struct(F.col("terminal.done").alias("done"), F.col("terminal.over").alias("over")).alias("terminal")
-    seen = trajectories.select(*keys, events.alias("events"), ended)
+    seen = trajectories.select(*keys, "status", "done", events.alias("events"), ended)
     return seen.join(measured.where("validity.judge_eligible").select(*keys, *JUDGED_SECTIONS), list(keys))
 
 
+def _single(rows: DataFrame, key: str, *payload: Column) -> DataFrame:
+    """A row a key: its payload, and ``_n``, how many rows it had."""
+    names = [f"_{i}" for i in range(len(payload))]
+    one = rows.select(key, F.struct(*(c.alias(n) for c, n in zip(payload, names, strict=True))).alias("_p"))
+    return one.groupBy(key).agg(F.first("_p").alias("_p"), F.count("*").alias("_n"))
+
+
 def assembled(trajectories: DataFrame, measured: DataFrame, rubrics: DataFrame, judged: DataFrame, task: str = "task_id", run: str = "trajectory_id") -> DataFrame:
     """One row a trajectory with its measures, its task's rubric and its judgement, and ``fault``: the first reason that the four don't belong together.
 
-    Rubrics have one row a task; measures and judgements carry (task, run). A run without one of them stays, with its fault.
+    Rubrics have one row a task; measures and judgements carry (task, run). A run without one of them stays, with its fault; where one comes several
+    times the run has that fault and none of its rows. The parts carry nothing else by the key that they are joined by, so that no row is doubled.
     """
-    m = measured.select(F.col(run), F.col(task).alias("_m"), F.col("validity.infrastructure_invalid").alias("_bad"), F.struct(*(c for c in measured.columns if c not in (run, task))).alias("metrics"))
-    r = rubrics.select(F.col(task), F.lit(True).alias("_r"), F.struct(*(c for c in rubrics.columns if c != task)).alias("rubric"))
-    j = judged.select(F.col(run), F.col(task).alias("_j"), F.col("judge_status").alias("_s"), F.struct(*(c for c in judged.columns if c not in (run, task))).alias("judge"))
+    def parts(rows: DataFrame, *keys: str) -> Column:
+        return F.struct(*(c for c in rows.columns if c not in keys))
+
+    m = _single(measured, run, F.col(task), F.col("validity.infrastructure_invalid"), parts(measured, run, task)).select(run, F.col("_p").alias("_m"), F.col("_n").alias("_mn"))
+    r = _single(rubrics, task, parts(rubrics, task)).select(task, F.col("_p").alias("_r"), F.col("_n").alias("_rn"))
+    j = _single(judged, run, F.col(task), F.col("judge_status"), parts(judged, run, task)).select(run, F.col("_p").alias("_j"), F.col("_n").alias("_jn"))
     both = trajectories.join(m, run, "left").join(r, task, "left").join(j, run, "left")
     fault = (
         F.when(F.col("_m").isNull(), "metrics_missing")
-        .when(F.col("_m") != F.col(task), "metrics_of_another_task")
+        .when(F.col("_mn") > 1, "metrics_duplicate")
+        .when(F.col("_m._0") != F.col(task), "metrics_of_another_task")
         .when(F.col("_r").isNull(), "rubric_missing")
+        .when(F.col("_rn") > 1, "rubric_duplicate")
         .when(F.col("_j").isNull(), "judge_missing")
-        .when(F.col("_j") != F.col(task), "judge_of_another_task")
-        .when(F.col("_bad") & (F.col("_s") != "not_judged"), "invalid_run_judged")
+        .when(F.col("_jn") > 1, "judge_duplicate")
+        .when(F.col("_j._0") != F.col(task), "judge_of_another_task")
+        .when(F.col("_m._1") & (F.col("_j._1") != "not_judged"), "invalid_run_judged")
     )
-    return both.withColumn("fault", fault).drop("_m", "_r", "_j", "_s", "_bad")
-
+    once = lambda n, c: F.when(F.col(n) == 1, F.col(c))
+    found = both.withColumns({"metrics": once("_mn", "_m._2"), "rubric": once("_rn", "_r._0"), "judge": once("_jn", "_j._2"), "fault": fault})
+    return found.drop("_m", "_mn", "_r", "_rn", "_j", "_jn")

@@ -22,6 +22,10 @@ RAW_SQL = f"""{STEPS_SQL}, e AS (SELECT user_id, event_id, k, value, tool = 'err
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY stray, event_id) AS n FROM e)"""
 
 
+def _by_event(a, b):
+    return F.when(a["event_id"] < b["event_id"], -1).when(a["event_id"] > b["event_id"], 1).otherwise(0)
+
+
 def raw(spark, d):
     tool, k, i = F.col("tool"), F.col("k"), F.col("event_id")
     shown = F.element_at(F.create_map(*(F.lit(x) for kv in TOOLS.items() for x in kv)), tool)
@@ -32,13 +36,14 @@ def raw(spark, d):
     step = F.struct(
         i.alias("event_id"), shown.alias("tool"), parameters.alias("parameters"), none.alias("env_action"), F.concat(F.lit("hit "), (F.lit(10_000_000) + k).cast("string")).alias("observation"), i.cast("string").alias("call_id"),
         F.when(k == 7, "invalid_json").alias("parse_error"), F.when(k == 9, "refused").alias("error"), projection.alias("projection"),
+        (k % 2 == 1).alias("latest_observation_truncated"), (k % 6 == 5).alias("done"),
     )
     reason = F.when(k % 4 == 0, "schema_x").when(k % 4 == 1, "").otherwise("not_visible")
-    guard = F.struct(i.alias("event_id"), F.when(k % 10 == 0, -1).cast("bigint").alias("step_index"), shown.alias("tool"), parameters.alias("parameters"), reason.alias("reason"), i.cast("string").alias("call_id"), F.when(k == 7, "invalid_json").alias("parse_error"))
+    guard = F.struct(i.alias("event_id"), F.when(k % 10 == 0, -1).cast("bigint").alias("step_index"), shown.alias("tool"), parameters.alias("parameters"), reason.alias("reason"), i.cast("string").alias("call_id"), F.when(k == 7, "invalid_json").alias("parse_error"), (k % 3).cast("bigint").alias("guard_consecutive_count"))
     said = F.when(i % 3 != 0, F.struct(i.alias("event_id"), i.cast("string").alias("call_id"), F.concat(F.lit("says "), i.cast("string")).alias("content")))
     rows = steps(spark, d).groupBy("user_id").agg(
-        F.array_sort(F.collect_list(F.when(tool != "error", step)), lambda a, b: (a["event_id"] - b["event_id"]).cast("int")).alias("steps"),
-        F.array_sort(F.collect_list(F.when(tool == "error", guard)), lambda a, b: (a["event_id"] - b["event_id"]).cast("int")).alias("blocked"),
+        F.array_sort(F.collect_list(F.when(tool != "error", step)), _by_event).alias("steps"),
+        F.array_sort(F.collect_list(F.when(tool == "error", guard)), _by_event).alias("blocked"),
         F.array_sort(F.collect_list(said)).alias("calls"),
         F.count_if((tool == "purchase") & (k < 4)).alias("buys"),
     )
@@ -104,26 +109,33 @@ def trajectory_metrics(spark, d):
     return m.select("task_id", *(F.col(f"{s}.{f}") for f, s in texts.items()), *(F.expr(e).cast("bigint").alias(f) for f, e in counts.items()), issues)
 
 
-@query(f"""WITH {RAW_SQL}, x AS (SELECT user_id, sha256(string_agg(CASE WHEN blocked THEN 'guard_rejection' ELSE 'tool_step' END || ':' || tool || ':' || said, ',' ORDER BY n)) AS events, count_if(blocked) AS guards FROM o GROUP BY 1)
-SELECT user_id AS task_id, events, guards, user_id % 7 <> 0 AS over FROM x WHERE user_id % 19 <> 0 AND user_id % 29 <> 0""")
+@query(f"""WITH {RAW_SQL}, t AS (SELECT *, CASE WHEN blocked THEN 'guard_rejection:' ELSE 'tool_step:' END || tool || ':' || said || ':' || event_id || printf(':e%04d:a%04d:', n, n) || CASE WHEN blocked THEN '' ELSE printf('s%04d', place) END
+    || CASE WHEN k = 7 THEN ':invalid_json' ELSE ':' END || ':' || CASE WHEN NOT blocked THEN '' WHEN reason = '' THEN 'unknown' ELSE reason END || ':' || CASE WHEN blocked THEN CAST(k % 3 AS VARCHAR) ELSE '' END
+    || ':' || CASE WHEN blocked THEN '::' ELSE (k % 2 = 1) || ':hit ' || (10000000 + k) || ':' || (k % 6 = 5) END || CASE WHEN NOT blocked AND k = 9 THEN ':refused' ELSE ':' END || ':' || (k % 5) AS line FROM o),
+x AS (SELECT user_id, sha256(string_agg(line, ',' ORDER BY n)) AS events, count_if(blocked) AS guards FROM t GROUP BY 1)
+SELECT user_id AS task_id, events, guards, user_id % 7 <> 0 AS over, CASE WHEN user_id % 17 = 0 THEN 'max_steps' ELSE 'done' END AS status, user_id % 5 <> 0 AS done FROM x WHERE user_id % 19 <> 0 AND user_id % 29 <> 0""")
 def judge_payload(spark, d):
     """What a judge sees of each valid session."""
     sessions = T.normalized(raw(spark, d))
     seen = T.judge_view(sessions, T.metrics(sessions, VERSION))
-    line = F.transform("events", lambda e: F.concat_ws(":", e["event_type"], e["tool"], e["assistant_text"]))
-    return seen.select("task_id", F.sha2(F.array_join(line, ","), 256).alias("events"), F.col("legality.guard_rejection_count").cast("bigint").alias("guards"), "terminal.over")
+    texts = ("event_type", "tool_name", "assistant_text", "tool_call_id", "event_id", "action_attempt_id", "executed_step_id", "tool_call_parse_error", "guard_reason", "guard_consecutive_count", "latest_observation_truncated", "actor_visible_observation", "done", "step_error")
+    argument = lambda e: F.substring(F.trim(F.coalesce(e["parameters"]["asin"], e["parameters"]["query"], e["parameters"]["value"])), -1, 1)
+    line = F.transform("events", lambda e: F.concat_ws(":", *(F.coalesce(e[f].cast("string"), F.lit("")) for f in texts), argument(e)))
+    return seen.select("task_id", F.sha2(F.array_join(line, ","), 256).alias("events"), F.col("legality.guard_rejection_count").cast("bigint").alias("guards"), "terminal.over", "status", "done")
 
 
 @query(f"""WITH {STEPS_SQL}, u AS (SELECT DISTINCT user_id FROM steps)
-SELECT user_id AS task_id, CASE WHEN user_id % 3 = 0 THEN 'rubric_missing' WHEN user_id % 4 = 0 THEN 'judge_missing' WHEN user_id % 10 = 1 THEN 'judge_of_another_task'
-  WHEN (user_id % 19 = 0 OR user_id % 29 = 0) AND user_id % 2 = 0 THEN 'invalid_run_judged' ELSE 'ok' END AS fault FROM u""")
+SELECT user_id AS task_id, CASE WHEN user_id % 3 = 0 THEN 'rubric_missing' WHEN user_id % 8 = 5 THEN 'rubric_duplicate' WHEN user_id % 4 = 0 THEN 'judge_missing' WHEN user_id % 14 = 3 THEN 'judge_duplicate' WHEN user_id % 10 = 1 THEN 'judge_of_another_task'
+  WHEN (user_id % 19 = 0 OR user_id % 29 = 0) AND user_id % 2 = 0 THEN 'invalid_run_judged' ELSE 'ok' END AS fault, user_id % 3 <> 0 AND user_id % 8 <> 5 AS has_rubric FROM u""")
 def assembled_results(spark, d):
-    """Sessions with their measures, rubrics and judgements, and why they don't belong together."""
+    """Sessions with their measures, rubrics and judgements, and why they don't belong together; some of these come twice."""
     sessions = T.normalized(raw(spark, d))
     t = F.col("task_id")
     rubrics = sessions.where(t % 3 != 0).select("task_id", F.lit("v3").alias("rubric_version"))
     judged = sessions.where(t % 4 != 0).select("trajectory_id", F.when(t % 10 == 1, t + 1).otherwise(t).alias("task_id"), F.when(t % 2 == 0, "judged").otherwise("not_judged").alias("judge_status"))
-    return T.assembled(sessions, T.metrics(sessions, VERSION), rubrics, judged).select("task_id", F.coalesce("fault", F.lit("ok")).alias("fault"))
+    rubrics = rubrics.unionByName(rubrics.where(t % 8 == 5))
+    judged = judged.unionByName(judged.where(F.col("trajectory_id").cast("long") % 14 == 3))
+    return T.assembled(sessions, T.metrics(sessions, VERSION), rubrics, judged).select("task_id", F.coalesce("fault", F.lit("ok")).alias("fault"), F.col("rubric").isNotNull().alias("has_rubric"))
 
 
 # A user's events among a thousand are an attempt of the user's task; it is a good one if it ends in a purchase.

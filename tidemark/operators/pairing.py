@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from math import exp
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,36 +55,67 @@ def run_pairs(rows: DataFrame, run: str, key: str, ok: str) -> DataFrame:
     )
 
 
-def hashed_draw(seed: int, replicate: Column, position: Column, n: Column) -> Column:
-    """A draw from 0 to n - 1 that any engine with SHA-256 repeats."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), replicate.cast("string"), F.lit(":"), position.cast("string")), 256)
-    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), n)
+#: Replicates that one digest serves: four numbers of 60 bits, three draws of 20 bits in each.
+PER_DIGEST, DRAW_BITS = 12, 20
+
+
+def poisson_thresholds() -> list[int]:
+    """The draws from which on a weight is at least 1, 2, ...: Poisson with mean one."""
+    out, term, total = [], exp(-1), 0.0
+    for k in range(1, 12):
+        total += term
+        out.append(int(total * (1 << DRAW_BITS)))
+        term /= k
+    return [t for t in out if t < 1 << DRAW_BITS]
+
+
+def _draws(seed: int, group: Column, cluster: Column) -> Column:
+    """Array of PER_DIGEST draws of 20 bits that any engine with SHA-256 repeats."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), group.cast("string"), F.lit(":"), cluster.cast("string")), 256)
+    numbers = [F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("bigint") for k in range(PER_DIGEST // 3)]
+    return F.array(*(F.shiftright(x, DRAW_BITS * j).bitwiseAND((1 << DRAW_BITS) - 1) for x in numbers for j in range(3)))
+
+
+def _replicated(clusters: DataFrame, value: str, cluster: str, replicates: int, seed: int, weight: Callable[[Column], Column]) -> DataFrame:
+    """(r, total, weight): sums of the weighted values and of the weights by replicate.
+
+    A cluster's weights are drawn where its row lies and summed up there, a row for each digest and not for each replicate; only these sums are
+    shuffled, so that their number doesn't grow with that of the clusters.
+    """
+    groups = -(-replicates // PER_DIGEST)
+    each = clusters.select(F.col(value).cast("decimal(18,6)").alias("v"), F.col(cluster).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    each = each.select("v", "g", _draws(seed, F.col("g"), F.col("c")).alias("u"))
+    weights = [weight(F.col("u")[j]).cast("decimal(9,0)") for j in range(PER_DIGEST)]
+    sums = each.groupBy("g").agg(*(F.sum(w * F.col("v")).alias(f"t{j}") for j, w in enumerate(weights)), *(F.sum(w).alias(f"w{j}") for j, w in enumerate(weights)))
+    rows = F.array(*(F.struct((F.col("g") * PER_DIGEST + j).alias("r"), F.col(f"t{j}").cast("double").alias("total"), F.col(f"w{j}").cast("double").alias("weight")) for j in range(PER_DIGEST)))
+    return sums.select(F.explode(rows).alias("x")).select("x.*").where(F.col("r") < replicates)
+
+
+def _mean(clusters: DataFrame, value: str) -> DataFrame:
+    return clusters.agg((F.sum(F.col(value).cast("decimal(18,6)")).cast("double") / F.count(value)).alias("observed"), F.count(value).alias("n"))
 
 
-def bootstrap_ci(deltas: DataFrame, delta: str, order: str, replicates: int, seed: int) -> DataFrame:
-    """Mean delta and the linear 2.5 and 97.5 percentiles of its resampled means.
+def bootstrap_ci(clusters: DataFrame, value: str, cluster: str, replicates: int = 20_000, seed: int = 0) -> DataFrame:
+    """(mean_delta, low, high): mean over the clusters, and the linear 2.5 and 97.5 percentiles of its resampled means; one row, nulls if there are none.
 
-    ``deltas`` is one row a task of an evaluation, a bounded set. Its values travel as one array, so that a draw is an array
-    access rather than a join, and the replicates are dealt over the tasks.
+    ``clusters`` has a row each, named by ``cluster``. A replicate gives each a Poisson weight with mean one: drawing as many clusters as there are with
+    replacement, but for the number drawn, which varies and is divided by. So no replicate has to see all clusters in one place.
     """
-    values = F.transform(F.array_sort(F.collect_list(F.struct(order, delta))), lambda x: x[delta])
-    one = deltas.agg(values.alias("v")).withColumn("n", F.size("v").cast("bigint")).where("n > 0")
-    replicate = one.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).repartition("r")
-    drawn = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda i: F.get("v", hashed_draw(seed, F.col("r"), i, F.col("n")).cast("int")))
-    means = replicate.select("n", "v", (F.aggregate(drawn, F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("m"))
-    observed = F.aggregate(F.first("v"), F.lit(0.0), lambda a, x: a + x) / F.first("n")
-    return means.agg(F.round(observed, 6).alias("mean_delta"), F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
-
-
-def sign_flip(deltas: DataFrame, delta: str, order: str, replicates: int, seed: int) -> DataFrame:
-    """One-sided p of the mean delta against sign flips, (exceeding + 1) / (replicates + 1), and the null's 95th percentile."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct(order, delta))), lambda x: x[delta])
-    one = deltas.agg(values.alias("v")).withColumn("n", F.size("v").cast("bigint")).where("n > 0")
-    replicate = one.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).repartition("r")
-    flipped = F.transform("v", lambda x, i: F.when(hashed_draw(seed, F.col("r"), i, F.lit(2)) == 1, x).otherwise(-x))
-    means = replicate.select((F.aggregate(flipped, F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("m"), (F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("o"))
-    return means.agg(
-        F.round(F.first("o"), 6).alias("observed"),
-        F.round((F.count_if(F.col("m") >= F.col("o")) + 1) / (F.count("*") + 1), 6).alias("p"),
+    steps = poisson_thresholds()
+    rows = clusters.where(F.col(value).isNotNull())
+    means = _replicated(rows, value, cluster, replicates, seed, lambda u: reduce(lambda a, t: a + (u >= t).cast("int"), steps, F.lit(0)))
+    spread = means.where("weight > 0").select((F.col("total") / F.col("weight")).alias("m")).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    return _mean(rows, value).join(F.broadcast(spread)).select(F.round("observed", 6).alias("mean_delta"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+def sign_flip(clusters: DataFrame, value: str, cluster: str, replicates: int = 20_000, seed: int = 0) -> DataFrame:
+    """One-sided p of the mean against sign flips of the clusters, (exceeding + 1) / (replicates + 1), and the null's 95th percentile."""
+    rows = clusters.where(F.col(value).isNotNull())
+    half = 1 << (DRAW_BITS - 1)
+    means = _replicated(rows, value, cluster, replicates, seed, lambda u: F.when(u >= half, 1).otherwise(-1))
+    null = means.join(F.broadcast(_mean(rows, value))).select((F.col("total") / F.col("n")).alias("m"), "observed")
+    return null.agg(
+        F.round(F.first("observed"), 6).alias("observed"),
+        F.round((F.count_if(F.col("m") >= F.col("observed")) + 1) / (F.count("*") + 1), 6).alias("p"),
         F.round(F.percentile("m", F.lit(0.95)), 6).alias("null_95"),
     )

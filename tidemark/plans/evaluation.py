@@ -231,22 +231,35 @@ def pairwise_runs(spark, d):
     return P.run_pairs(rows, "run", "task_id", "ok")
 
 
-DRAW = "(CAST(('0x' || substr(sha256('{seed}:' || r || ':' || {i}), 1, 15)) AS BIGINT) % {n})"
+#: The draws of all replicates in DuckDB: u of 20 bits by r and task, twelve for a digest.
+DRAWS_SQL = """v AS (SELECT task_id, CAST(delta AS DECIMAL(18, 6)) AS delta FROM pairs),
+h AS (SELECT task_id, delta, g, sha256('{seed}:' || g || ':' || task_id) AS h FROM v, range(0, 1667) a(g)),
+u AS (SELECT g * 12 + 3 * k + j AS r, delta, (('0x' || substr(h, 1 + 15 * CAST(k AS INT), 15))::BIGINT >> CAST(20 * j AS INT)) & 1048575 AS u FROM h, range(0, 4) b(k), range(0, 3) c(j))"""
 
 
-@query(f"""WITH {RUNS_SQL}, v AS (SELECT list(CAST(delta AS DOUBLE) ORDER BY task_id) AS v, count(*) AS n FROM pairs),
-m AS (SELECT r, avg(v[{DRAW.format(seed=20260809, i='i', n='n')} + 1]) AS m FROM v, range(0, 200) a(r), (SELECT unnest(range(0, (SELECT n FROM v))) AS i) GROUP BY r)
-SELECT round((SELECT list_avg(v) FROM v), 6) AS mean_delta, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
+@query(f"""WITH {RUNS_SQL}, {DRAWS_SQL.format(seed=20260809)}, w AS (SELECT r, delta, {" + ".join(f"(u >= {t})::INT" for t in P.poisson_thresholds())} AS w FROM u WHERE r < 20000),
+m AS (SELECT CAST(sum(w * delta) AS DOUBLE) / sum(w) AS m FROM w GROUP BY r HAVING sum(w) > 0)
+SELECT round((SELECT CAST(sum(delta) AS DOUBLE) / count(*) FROM v), 6) AS mean_delta, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def paired_bootstrap_ci(spark, d):
-    """200 resamples of all paired tasks, with draws from a hash."""
-    return P.bootstrap_ci(deltas(spark, d).withColumn("delta", F.col("delta").cast("double")), "delta", "task_id", 200, 20260809)
+    """20,000 resamples of all paired tasks, with weights from a hash."""
+    return P.bootstrap_ci(deltas(spark, d), "delta", "task_id", 20_000, 20260809)
 
 
-@query(f"""WITH {RUNS_SQL}, v AS (SELECT list(CAST(delta AS DOUBLE) ORDER BY task_id) AS v, count(*) AS n FROM pairs),
-m AS (SELECT r, avg(CASE WHEN {DRAW.format(seed=20260811, i='i', n='2')} = 1 THEN v[i + 1] ELSE -v[i + 1] END) AS m, any_value(list_avg(v)) AS o FROM v, range(0, 200) a(r), (SELECT unnest(range(0, (SELECT n FROM v))) AS i) GROUP BY r)
+@query(f"""WITH {RUNS_SQL}, {DRAWS_SQL.format(seed=20260811)}, o AS (SELECT CAST(sum(delta) AS DOUBLE) / count(*) AS o, count(*) AS n FROM v),
+m AS (SELECT CAST(sum(CASE WHEN u >= 524288 THEN delta ELSE -delta END) AS DOUBLE) / any_value(n) AS m, any_value(o) AS o FROM u, o WHERE r < 20000 GROUP BY r)
 SELECT round(any_value(o), 6) AS observed, round((count_if(m >= o) + 1) / (count(*) + 1), 6) AS p, round(quantile_cont(m, 0.95), 6) AS null_95 FROM m""")
 def signflip_permutation(spark, d):
-    return P.sign_flip(deltas(spark, d).withColumn("delta", F.col("delta").cast("double")), "delta", "task_id", 200, 20260811)
+    return P.sign_flip(deltas(spark, d), "delta", "task_id", 20_000, 20260811)
+
+
+@query(f"""WITH {RUNS_SQL}, c AS (SELECT c_nationkey AS task_id, avg(delta) AS delta FROM pairs JOIN customer ON task_id = c_custkey GROUP BY 1), pairs_ AS (SELECT * FROM c),
+{DRAWS_SQL.format(seed=20260813).replace("FROM pairs)", "FROM pairs_)")}, w AS (SELECT r, delta, {" + ".join(f"(u >= {t})::INT" for t in P.poisson_thresholds())} AS w FROM u WHERE r < 20000),
+m AS (SELECT CAST(sum(w * delta) AS DOUBLE) / sum(w) AS m FROM w GROUP BY r HAVING sum(w) > 0)
+SELECT round((SELECT CAST(sum(delta) AS DOUBLE) / count(*) FROM v), 6) AS mean_delta, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
+def cluster_bootstrap_ci(spark, d):
+    """20,000 resamples of nations, each with the mean of its tasks."""
+    nations = deltas(spark, d).join(table(spark, d, "customer"), F.col("task_id") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.avg("delta").alias("delta"))
+    return P.bootstrap_ci(nations, "delta", "c_nationkey", 20_000, 20260813)
 
 
 @query(f"""WITH {RUNS_SQL} SELECT flip, c_mktsegment, count(*) AS n, CAST(sum(delta) AS BIGINT) AS total_delta, min(task_id) AS first_task FROM pairs JOIN customer ON task_id = c_custkey

@@ -57,8 +57,10 @@ def test_bm25_is_that_of_sqlite(spark):
     want = db.execute("SELECT rowid, -bm25(d, 2.0, 0.5) FROM d WHERE d MATCH 'cold OR fridge OR oil' ORDER BY 2 DESC, 1").fetchall()
     words = R.tokenized(spark.createDataFrame(docs, "id long, title string, brand string"), "id", {"title": F.col("title"), "brand": F.col("brand")})
     queries = spark.createDataFrame([("q", t) for t in ("cold", "fridge", "oil")], "query_id string, term string")
-    got = R.bm25(queries, R.postings(words, "id", list(weights), weights), R.index_stats(words, list(weights)), "id").orderBy("rank").collect()
+    got = R.bm25(queries, words, "id", weights).orderBy("rank").collect()
     assert [r.id for r in got] == [w[0] for w in want] and [r.score for r in got] == pytest.approx([w[1] for w in want], abs=1e-6)
+    cold = R.postings(words, "id", list(weights), weights).where("id = 2 AND term IN ('cold', 'box')").orderBy("term").collect()
+    assert [(r.term, r.tf, r.length) for r in cold] == [("box", 2.5, 8), ("cold", 4.0, 8)] and R.index_stats(words, list(weights)).first().docs == 5
     with pytest.raises(ValueError):
         R.postings(words, "id", ["title"], weights)
     assert [r.id for r in R.phrase(words, "id", "title", ["cold", "box"]).collect()] == [1]

@@ -79,15 +79,25 @@ def asked_terms(queries: DataFrame, key: str, text: Column) -> DataFrame:
     return words.select(F.col(key).alias("query_id"), F.explode_outer("_asked").alias("term")).where("term IS NOT NULL").distinct()
 
 
+def _frequencies(tokens: Column, weight: float) -> Column:
+    """Map of each token to its occurrences times the weight, within the row: runs of the sorted tokens where some come again."""
+    n = F.size(tokens)
+    ordered = F.array_sort(tokens)
+    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+    runs = F.transform(begins, lambda b, j: F.struct(F.get(ordered, b).alias("t"), ((F.coalesce(F.get(begins, j + 1), n) - b) * F.lit(weight)).alias("w")))
+    again = F.size(F.array_distinct(tokens)) < n
+    return F.when(again, F.map_from_entries(runs)).otherwise(F.map_from_arrays(tokens, F.array_repeat(F.lit(weight), n)))
+
+
 def postings(words: DataFrame, key: str, fields: list[str], weights: dict[str, float]) -> DataFrame:
     """(term, key, tf, length): weighted frequency of a term over the fields, and the length of the document in all of them.
 
-    A field's tokens are distinct, so that a document's frequencies are the sum of one map a field: nothing is shuffled. ``key`` is unique.
+    A document's frequencies are the sum of one map a field: nothing is shuffled. ``key`` is unique.
     """
     check_weights(weights, fields)
     length = reduce(lambda a, b: a + b, (F.size(f) for f in fields)).alias("length")
     zero = F.lit(0.0)
-    maps = [F.map_from_arrays(F.col(f), F.array_repeat(F.lit(float(weights[f])), F.size(f))) for f in fields]
+    maps = [_frequencies(F.col(f), float(weights[f])) for f in fields]
     every = reduce(lambda m, n: F.map_zip_with(m, n, lambda _, x, y: F.coalesce(x, zero) + F.coalesce(y, zero)), maps)
     return words.select(key, length, F.explode_outer(every).alias("term", "tf")).where("term IS NOT NULL").select("term", key, "tf", "length")
 

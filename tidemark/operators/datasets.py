@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .contracts import reasons
@@ -50,6 +50,17 @@ def label_mask(rows: DataFrame, key: str, order: str, role: str, text: str, most
     return turns.select(key, labels.alias("labels")).where(F.size("labels") <= most)
 
 
+def with_drop_counts(rows: DataFrame, reason: Column) -> tuple[DataFrame, Observation]:
+    """The rows without a ``reason`` to drop them, and what is known once they have been written: total, kept, dropped, and the dropped by reason.
+
+    The counts come with the pass that writes the rows, there is no second one.
+    """
+    observed = Observation()
+    kept = rows.withColumn("_reason", reason)
+    counted = kept.observe(observed, F.count("*").alias("total"), F.count_if(F.col("_reason").isNull()).alias("kept"), F.count("_reason").alias("dropped"), F.array_sort(F.collect_set("_reason")).alias("reasons"))
+    return counted.where("_reason IS NULL").drop("_reason"), observed
+
+
 _BLOCKS = r"(?is)<(style|script|head|title)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<meta\b[^>]*>"
 
 

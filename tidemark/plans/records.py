@@ -8,6 +8,8 @@ from ..functions.logic import mean_of
 from ..operators import contracts as C
 from ..operators import credit as K
 from ..operators import datasets as T
+from ..sources import catalog as SC
+from ..sources import records as SR
 from .registry import query
 from .tables import STEPS_SQL, steps, table
 
@@ -228,3 +230,46 @@ def recomputed_reward(spark, d):
     """Mean reward in which an invalid row counts as zero."""
     reward = F.when(F.col("o_orderstatus") == "P", 0.0).otherwise(F.col("o_totalprice"))
     return table(spark, d, "orders").groupBy("o_orderpriority").agg(mean_of(reward).alias("mean_reward"))
+
+
+@query("""WITH x AS (SELECT CASE WHEN text IS NULL OR text = '' THEN 'no_text' WHEN len(text) > 2000 THEN 'too_long' WHEN lang NOT IN ('en', 'de') THEN 'language' END AS reason FROM documents)
+SELECT count(*) AS total, count(*) - count(reason) AS kept, count(reason) AS dropped, array_to_string(list_sort(list(DISTINCT reason) FILTER (WHERE reason IS NOT NULL)), ',') AS reasons FROM x""")
+def supervised_drop_counts(spark, d):
+    """Documents as examples: how many are kept and dropped, counted while they are written."""
+    text = F.coalesce("text", F.lit(""))
+    reason = F.when(text == "", "no_text").when(F.length(text) > 2000, "too_long").when(~F.col("lang").isin("en", "de"), "language")
+    kept, observed = T.with_drop_counts(table(spark, d, "documents"), reason)
+    kept.write.format("noop").mode("overwrite").save()
+    found = observed.get
+    return spark.createDataFrame([(found["total"], found["kept"], found["dropped"], ",".join(found["reasons"]))], "total long, kept long, dropped long, reasons string")
+
+
+@query("SELECT p_partkey, p_brand, p_retailprice FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+def parquet_take(spark, d):
+    """The parts that large lines name, each of which has to be there."""
+    parts = table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice")
+    ids = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
+    return SR.take(parts, ids.join(parts.select("p_partkey"), "p_partkey", "left_semi"), "p_partkey")
+
+
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 100.0 ELSE p_retailprice END AS price, CASE p_size % 3 WHEN 0 THEN '$100.00' WHEN 1 THEN printf('$%.2f', p_retailprice) ELSE printf('$%.2f', p_retailprice) || ' to ' || printf('$%.2f', p_retailprice + 5) END AS price_tag FROM part""")
+def catalogue_prices(spark, d):
+    """Base price and price tag of products with no price, one and three."""
+    part, price = table(spark, d, "part"), F.col("p_retailprice")
+    pricing = F.when(F.col("p_size") % 3 == 0, F.array().cast("array<double>")).when(F.col("p_size") % 3 == 1, F.array(price)).otherwise(F.array(price, price + 5, price + 9))
+    none = F.create_map().cast("map<string,array<struct<value:string,price:double>>>")
+    products = part.select(F.col("p_partkey").cast("string").alias("asin"), "p_partkey", pricing.alias("pricing"), none.alias("customization_options"))
+    found = SC.clean(products.unionByName(products), "p_partkey")
+    return found.select("p_partkey", SC.base_price(F.col("pricing")).alias("price"), "price_tag")
+
+
+@query("""WITH i AS (SELECT p_partkey, unnest(range(0, p_size % 4)) AS k, p_type, p_size FROM part), g AS (SELECT * FROM i WHERE k <> 1)
+SELECT row_number() OVER (ORDER BY p_partkey, k) - 1 AS goal_id, CAST(p_partkey AS VARCHAR) AS asin, p_type || ' ' || k AS instruction FROM g""")
+def flattened_goals(spark, d):
+    """The goals of all parts, numbered; every second instruction of a part has no attributes."""
+    part = table(spark, d, "part")
+    every = F.when(F.col("p_size") % 4 > 0, F.sequence(F.lit(0), (F.col("p_size") % 4 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    attributes = lambda k: F.when(k == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("a")))
+    instructions = F.transform(every, lambda k: F.struct(F.concat_ws(" ", "p_type", k.cast("string")).alias("instruction"), attributes(k).alias("attributes")))
+    products = part.select(F.col("p_partkey").cast("string").alias("asin"), "p_partkey", instructions.alias("instructions"))
+    return SC.goals(products, "p_partkey").select("goal_id", "asin", "instruction")

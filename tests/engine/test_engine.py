@@ -128,3 +128,24 @@ def test_catalog(spark):
     assert set(got) == {"1", "2"} and got["1"].pricing == [100.0] and got["2"].price_tag == "$3.00 to $4.00"
     assert got["1"].customization_options["c"][0].value == "red | blue"
     assert sorted((r.goal_id, r.instruction) for r in catalog.goals(clean, "n").collect()) == [(0, "a"), (1, "c"), (2, "d")]
+
+
+def test_lines_of_files_in_several_tasks(spark, tmp_path):
+    import gzip
+
+    many = [f'{{"v": {k}}}' + ("\n" if k % 7 else "\n\n  \n") for k in range(400)]
+    (tmp_path / "12.jsonl").write_text("".join(many))
+    (tmp_path / "3.jsonl").write_text('{"v": 1}\n\n{"v": 2}')
+    with gzip.open(tmp_path / "x.jsonl.gz", "wt") as f:
+        f.write('\n{"v": 9}\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        rows = records.read_with_lineage(spark, str(tmp_path), "v int")
+        got = sorted(((r._source.path.rsplit("/", 1)[1], r._source.step, r._source.line, r.v) for r in rows.collect()), key=lambda x: x[:1] + x[2:])
+        assert rows.rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted([("12.jsonl", 12, k + 1, k) for k in range(400)] + [("3.jsonl", 3, 1, 1), ("3.jsonl", 3, 2, 2), ("x.jsonl.gz", None, 1, 9)], key=lambda x: x[:1] + x[2:])
+    (tmp_path / "4.jsonl").write_text("{oops")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        records.read_with_lineage(spark, str(tmp_path), "v int").collect()

@@ -53,7 +53,7 @@ def test_comparisons(spark):
         spark,
         S.model_match(F.array(F.lit("A20")), F.lit("phone A200")),
         S.model_match(F.array(F.lit("A20")), F.lit("phone A20 (new)")),
-        S.function_match(F.array(F.lit("防水")), F.lit("不支持防水")),
+        S.function_match(F.array(F.lit("防水")), F.lit(None).cast("array<string>"), F.array(F.lit("不支持防水")))["status"],
         S.spec_match(F.lit(2.0), F.lit("L"), F.lit("eq"), F.lit("容量为2000ml")),
         S.spec_match(F.lit(2.0), F.lit("L"), F.lit("eq"), F.lit("重2kg")),
         S.category_match(F.lit("家电›冰箱"), F.lit("电器›冰箱")),
@@ -112,6 +112,24 @@ def test_variant_prices(spark):
     assert cheap == Row(missing=False, price=2.0, name="b")
 
 
+def test_functions_by_attributes_then_texts(spark):
+    cases = [
+        ((["防水"], ["防水 材质"], ["不防水"]), ("pass", [("防水", "attribute")], [], [])),
+        ((["防水"], ["非防水"], ["防水"]), ("fail", [], [], ["防水"])),
+        ((["防水"], ["非防水", "防水"], None), ("pass", [("防水", "attribute")], [], [])),
+        ((["热 洗", "静音"], ["x"], [None, "支持热洗，不静音"]), ("fail", [("热 洗", "text_fallback")], [], ["静音"])),
+        ((["静音"], [], ["不静音，但静音模式"]), ("pass", [("静音", "text_fallback")], [], [])),
+        ((["静音"], ["a"], ["b"]), ("fail", [], ["静音"], [])),
+        ((["无"], ["无无"], None), ("pass", [("无", "attribute")], [], [])),
+        ((["ＵＳＢ", " "], ["usb-c"], None), ("pass", [("ＵＳＢ", "attribute")], [], [])),
+        (([" "], ["a"], None), ("unverifiable", [], [], [])),
+        ((["a"], None, [None, ""]), ("unverifiable", [], ["a"], [])),
+    ]
+    df = spark.createDataFrame([c for c, _ in cases], "r array<string>, s array<string>, t array<string>").coalesce(1)
+    got = [r.f for r in df.select(S.function_match(F.col("r"), F.col("s"), F.col("t")).alias("f")).collect()]
+    assert [(f.status, [tuple(m) for m in f.matched], f.missing, f.negated) for f in got] == [e for _, e in cases]
+
+
 def test_options_are_folded(spark):
     texts = ["Ｌ／ＸＬ 号", "½Ｋｇ", "Straße", "①㎏", "ﾊﾝﾄﾞ", None]
     got = [r.t for r in spark.createDataFrame([(x,) for x in texts], "t string").select(V.option_text(F.col("t")).alias("t")).collect()]

@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import folded
+from ..functions.text import folded, folded_characters
 
 PASS, FAIL, UNVERIFIABLE = "pass", "fail", "unverifiable"
 
@@ -90,17 +90,37 @@ def model_match(required: Column, text: Column) -> Column:
 NEGATORS = ("不支持", "不含", "不具备", "没有", "无", "非", "不")
 
 
-def function_match(required: Column, text: Column) -> Column:
-    """Each required function occurs and not only negated; any that occurs only negated fails, any that is absent can't be verified."""
-
-    def quoted(f: Column) -> Column:
-        return F.concat(F.lit(r"\Q"), f, F.lit(r"\E"))
-
-    def plain(f: Column) -> Column:
-        return F.regexp_count(text, F.concat(F.lit("(?<!" + "|".join(NEGATORS) + ")"), quoted(f)))
-
-    seen = F.transform(required, lambda f: F.when(plain(f) > 0, PASS).when(F.regexp_count(text, quoted(f)) > 0, FAIL).otherwise(UNVERIFIABLE))
-    return F.when(F.array_contains(seen, FAIL), FAIL).when(F.array_contains(seen, UNVERIFIABLE) | (F.size(seen) == 0), UNVERIFIABLE).otherwise(PASS)
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(folded_characters(F.coalesce(text, F.lit(""))), r"(?U)\s+", "")
+
+
+def polarity(text: Column, expected: Column) -> Column:
+    """held if a text has an occurrence that isn't negated, negated if all are, absent if there is none; both in plain form."""
+    parts = F.split(text, F.concat(F.lit(r"\Q"), expected, F.lit(r"\E")), -1)
+    # What stands before an occurrence begins with the one before it.
+    before = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x, i: F.when(i == 0, x).otherwise(F.concat(expected, x)))
+    negated = lambda x: _any([x.endswith(n) for n in NEGATORS])
+    return F.when(F.size(parts) == 1, "absent").when(F.exists(before, lambda x: ~negated(x)), "held").otherwise("negated")
+
+
+def function_match(required: Column, structured: Column, fallback: Column) -> Column:
+    """(status, matched: array of (value, source), missing, negated) of required functions, by a product's attributes and then by its texts (arrays).
+
+    An attribute that holds a function decides, then one that negates it; only then the texts count. A function that is missing or negated fails. Without
+    a required function, or without any attribute or text, nothing can be verified.
+    """
+    nothing = F.array().cast("array<string>")
+    attributes, texts = F.coalesce(structured, nothing), F.coalesce(fallback, nothing)
+    wanted = F.filter(F.transform(F.coalesce(required, nothing), lambda r: F.struct(r.alias("value"), _plain(r).alias("plain"))), lambda r: r["plain"] != "")
+    own, text = F.transform(attributes, _plain), _plain(F.array_join(F.filter(texts, lambda t: t.isNotNull()), " "))
+    judged = F.transform(wanted, lambda r: F.struct(r["value"].alias("value"), F.transform(own, lambda x: polarity(x, r["plain"])).alias("own"), polarity(text, r["plain"]).alias("text")))
+    kind = lambda j: F.when(F.array_contains(j["own"], "held"), "attribute").when(F.array_contains(j["own"], "negated"), "negated").when(j["text"] == "held", "text_fallback").when(j["text"] == "negated", "negated").otherwise("missing")
+    found = F.transform(judged, lambda j: F.struct(j["value"].alias("value"), kind(j).alias("source")))
+    of = lambda name: F.transform(F.filter(found, lambda x: x["source"] == name), lambda x: x["value"])
+    known = (F.size(wanted) > 0) & ((F.size(attributes) > 0) | F.exists(texts, lambda t: F.coalesce(t, F.lit("")) != ""))
+    bad = F.exists(found, lambda x: x["source"].isin("missing", "negated"))
+    kept = F.filter(found, lambda x: x["source"].isin("attribute", "text_fallback"))
+    return F.struct(status(known, ~bad).alias("status"), kept.alias("matched"), of("missing").alias("missing"), of("negated").alias("negated"))
 
 
 #: Units in the base of their dimension.

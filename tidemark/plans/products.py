@@ -162,10 +162,21 @@ def budget_parse(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(S.budget(text), 4).alias("budget"))
 
 
-@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' WHEN 2 THEN 'unverifiable' ELSE 'pass' END AS status FROM part""")
+@query("""WITH p AS (SELECT p_partkey, p_size, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, lower(p_type) AS t FROM part),
+k AS (SELECT *, CASE WHEN p_size % 3 < 2 AND contains(t, a) OR p_size % 3 = 1 THEN 'attribute' WHEN p_size % 3 = 0 THEN 'negated' WHEN p_size % 2 = 0 THEN 'text_fallback' ELSE 'missing' END AS ka,
+  CASE WHEN p_size % 3 < 2 AND contains(t, b) THEN 'attribute' WHEN p_size % 2 = 0 THEN 'text_fallback' ELSE 'negated' END AS kb FROM p)
+SELECT p_partkey, CASE WHEN ka IN ('missing', 'negated') OR kb IN ('missing', 'negated') THEN 'fail' ELSE 'pass' END AS status,
+  concat_ws(',', CASE WHEN ka IN ('attribute', 'text_fallback') THEN a || '=' || ka END, CASE WHEN kb IN ('attribute', 'text_fallback') THEN b || '=' || kb END) AS matched,
+  CASE WHEN ka = 'missing' THEN a ELSE '' END AS missing, concat_ws(',', CASE WHEN ka = 'negated' THEN a END, CASE WHEN kb = 'negated' THEN b END) AS negated FROM k""")
 def core_function_polarity(spark, d):
-    text = F.when(F.col("p_size") % 4 == 0, "不支持防水").when(F.col("p_size") % 4 == 1, "支持防水").when(F.col("p_size") % 4 == 2, "轻便").otherwise("不防水的外壳，防水的镜头")
-    return table(spark, d, "part").select("p_partkey", S.function_match(F.array(F.lit("防水")), text).alias("status"))
+    """The words of each part's name as functions, against attributes that hold or negate the first one, and texts that hold or negate the second."""
+    size, words = F.col("p_size"), F.split("p_name", " ")
+    first, second = F.get(words, 0), F.get(words, 1)
+    attributes = F.when(size % 3 == 0, F.array(F.concat(F.lit("不支持 "), F.upper(first)), F.col("p_type"))).when(size % 3 == 1, F.array(F.col("p_type"), F.concat(first, F.lit("款")))).otherwise(F.array().cast("array<string>"))
+    texts = F.when(size % 2 == 0, F.array(F.lit(None).cast("string"), F.col("p_name"))).otherwise(F.array(F.concat(F.lit("无"), second)))
+    found = table(spark, d, "part").select("p_partkey", words.alias("w"), attributes.alias("a"), texts.alias("t")).select("p_partkey", S.function_match(F.col("w"), F.col("a"), F.col("t")).alias("f"))
+    matched = F.array_join(F.transform("f.matched", lambda m: F.concat_ws("=", m["value"], m["source"])), ",")
+    return found.select("p_partkey", "f.status", matched.alias("matched"), F.array_join("f.missing", ",").alias("missing"), F.array_join("f.negated", ",").alias("negated"))
 
 
 @query("""WITH alias AS (SELECT * FROM (VALUES ('Brand#1', 'one'), ('Brand#2', 'two'), ('Brand#3', 'three')) t(p_brand, canonical))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -30,12 +30,22 @@ def finished(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("task_id IS NOT NULL").select("task_id", F.coalesce("attempt_index", F.lit(0)).alias("attempt_index")).distinct()
 
 
-def read_with_lineage(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Strict lines with the file they come from and the number in its name, as ``_source`` (path, step)."""
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    name = F.col("_metadata.file_path")
-    step = F.nullif(F.regexp_extract(name, r"([0-9]+)\.jsonl?(?:\.gz)?$", 1), F.lit("")).cast("bigint")
-    return rows.select("*", F.struct(name.alias("path"), step.alias("step")).alias("_source"))
+def read_with_lineage(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
+    """Strict lines with ``_source`` (path, step, line, group): the file, the number in its name, the line's place among those that are not blank, and
+    the file again as the group of its records.
+
+    Files are read in several tasks. Lines are counted by the blocks that the files are cut into, a row each, so that a line's number is its place
+    in its block and what the file's earlier blocks hold.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")).where(~F.col("value").rlike(r"^\s*$"))
+    lines = lines.withColumn("at", F.monotonically_increasing_id())
+    blocks = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    rows = lines.join(blocks, ["path", "block"])
+    step = F.nullif(F.regexp_extract("path", r"([0-9]+)\.jsonl?(?:\.gz)?$", 1), F.lit("")).cast("bigint")
+    source = F.struct("path", step.alias("step"), (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), F.col("path").alias("group"))
+    return rows.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row"), source.alias("_source")).select("row.*", "_source")
 
 
 def write_jsonl(rows: DataFrame, path: str, force: bool = False) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.sizes import small
 from ..functions.text import collapsed, folded_characters
 from . import variants
+from .scoring import status
 
 #: Versions, ends of a shop's name, in the order in which they are tried, where a feature comes from, and the pattern of a model.
 FEATURE_VERSION, OPTION_VERSION, CONTRACT_VERSION = "shopping-reward-features-v1", "option-axis-v1", "shopping-task-constraints-v1"
@@ -49,6 +50,19 @@ def alias_table(canonical: DataFrame) -> DataFrame:
     return each.select(normal(F.col("alias")).alias("alias"), "canonical").where("alias <> ''").groupBy("alias").agg(F.min("canonical").alias("canonical"))
 
 
+def canonical_brands(rows: DataFrame, aliases: DataFrame, brand: str, name: str) -> DataFrame:
+    """``rows`` with the canonical name of a brand as a column: that of its alias, else its own normal form; null for a null."""
+    known = aliases.select(F.col("alias").alias("_alias"), F.col("canonical").alias("_canonical"))
+    found = rows.withColumn("_alias", F.when(F.col(brand).isNotNull(), normal(F.col(brand)))).join(small(known), "_alias", "left")
+    return found.withColumn(name, F.coalesce("_canonical", "_alias")).select(*rows.columns, name)
+
+
+def brand_comparison(required: Column, actual: Column) -> Column:
+    """pass if the actual brand is one of the required ones (an array), all canonical; unverifiable if either is missing or empty."""
+    wanted = F.filter(F.coalesce(required, F.array().cast("array<string>")), lambda r: F.coalesce(r, F.lit("")) != "")
+    return status((F.size(wanted) > 0) & (F.coalesce(actual, F.lit("")) != ""), F.array_contains(wanted, actual))
+
+
 def shop_brand(instruction: Column, title: Column, shop: Column) -> Column:
     """The longest beginning of a shop's name, without its end, that both the instruction and the title hold; null if there is none."""
     name = shop

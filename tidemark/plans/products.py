@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..operators import features as C
 from ..operators import scoring as S
 from ..operators import search as R
 from ..operators import variants as V
@@ -179,11 +180,21 @@ def core_function_polarity(spark, d):
     return found.select("p_partkey", "f.status", matched.alias("matched"), F.array_join("f.missing", ",").alias("missing"), F.array_join("f.negated", ",").alias("negated"))
 
 
-@query("""WITH alias AS (SELECT * FROM (VALUES ('Brand#1', 'one'), ('Brand#2', 'two'), ('Brand#3', 'three')) t(p_brand, canonical))
-SELECT p_partkey, coalesce(canonical, p_brand) AS brand FROM part LEFT JOIN alias USING (p_brand)""")
+@query("""WITH b AS (SELECT p_partkey, p_size, p_brand, lower(p_brand) AS n, CAST(substr(p_brand, 7) AS INT) AS k FROM part),
+c AS (SELECT *, CASE WHEN k % 4 = 0 THEN 'maker' || k WHEN k % 4 = 1 THEN 'brand#' || k ELSE n END AS brand FROM b)
+SELECT p_partkey, brand, CASE WHEN p_size % 5 = 0 THEN 'unverifiable' WHEN brand = 'maker' || k OR p_size % 2 = 0 THEN 'pass' ELSE 'fail' END AS status FROM c""")
 def brand_alias_join(spark, d):
-    alias = spark.createDataFrame([("Brand#1", "one"), ("Brand#2", "two"), ("Brand#3", "three")], "p_brand string, canonical string")
-    return table(spark, d, "part").join(F.broadcast(alias), "p_brand", "left").select("p_partkey", F.coalesce("canonical", "p_brand").alias("brand"))
+    """Each part's brand by its canonical name, from a table of aliases made of all brands, against its maker, or its own brand for even sizes."""
+    part = table(spark, d, "part")
+    k = F.substring("p_brand", 7, 9).cast("int")
+    # Every fourth brand is an alias of its maker, in full-width letters; the one after stands for itself.
+    named = part.select("p_brand").distinct().where(k % 4 < 2)
+    maker = F.concat(F.lit("Maker "), k.cast("string"))
+    wide = F.translate("p_brand", "Brand", "Ｂｒａｎｄ")
+    aliases = C.alias_table(named.select(F.when(k % 4 == 0, maker).otherwise(F.col("p_brand")).alias("canonical"), F.array(wide).alias("aliases")))
+    rows = C.canonical_brands(part.select("p_partkey", "p_size", "p_brand"), aliases, "p_brand", "brand")
+    required = F.when(F.col("p_size") % 5 == 0, F.array(F.lit(""))).when(F.col("p_size") % 2 == 0, F.array(C.normal(maker), F.col("brand"))).otherwise(F.array(C.normal(maker)))
+    return rows.select("p_partkey", "brand", C.brand_comparison(required, F.col("brand")).alias("status"))
 
 
 # Search: documents with two fields, queries from the benchmark.

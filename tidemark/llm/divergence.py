@@ -25,7 +25,7 @@ from .common import cut, numbered, small
 #: What has no place in a term becomes a space, and A-Z are lower-cased. All bytes of other characters are above 0x7F.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 #: Distinct terms that a task holds at most before it gives its counts away.
-HELD = 400_000
+HELD = 700_000
 #: Rows (source, term) of a block as expected, and cells of the dense part that is tallied at once.
 BLOCK_ROWS, CELLS = 10_000, 4_000_000
 #: What a share is measured in.
@@ -65,7 +65,8 @@ def term_counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str)
 
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     found = rows.mapInArrow(run, "lang string, source string, term string, count long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    # A task's counts have been added up; dealing them out by hand saves Spark from trying again before the shuffle.
+    return found.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, n: Column, v: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from .contracts import first_reason
 
@@ -168,21 +168,22 @@ def _counter(tokenizer: Callable[[str], int]) -> tuple[Count, Callable[..., Colu
     def counted(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else tokenizer(t)).astype("Int64")
 
-    @F.pandas_udf(LongType())
-    def longest(kinds: pd.Series, texts: pd.Series, most: pd.Series, budget: pd.Series) -> pd.Series:
-        def one(k, t, high, room) -> int | None:
+    @F.pandas_udf(StructType().add("limit", IntegerType()).add("tokens", LongType()))
+    def longest(kinds: pd.Series, texts: pd.Series, most: pd.Series, budget: pd.Series) -> pd.DataFrame:
+        def one(k, t, high, room) -> tuple[int | None, int | None]:
             if k is None:
-                return None
-            low, best, high = 0, -1, int(high)
+                return None, None
+            low, best, high = 0, (-1, None), int(high)
             while low <= high:
                 middle = (low + high) // 2
-                if tokenizer(_rendered(k, t, middle)) <= room:
-                    low, best = middle + 1, middle
+                if (n := tokenizer(_rendered(k, t, middle))) <= room:
+                    low, best = middle + 1, (middle, n)
                 else:
                     high = middle - 1
             return best
 
-        return pd.Series([one(*x) for x in zip(kinds, texts, most, budget, strict=True)], dtype="Int64")
+        found = [one(*x) for x in zip(kinds, texts, most, budget, strict=True)]
+        return pd.DataFrame({"limit": pd.array([x for x, _ in found], dtype="Int32"), "tokens": pd.array([n for _, n in found], dtype="Int64")})
 
     return counted, longest
 
@@ -235,25 +236,24 @@ def fit(
 
     unsafe = ~text.contains(f"\n\n{SEARCH_STATE}") | ~text.contains(BUTTONS)
     suffix = count(F.when(p["form"] == "generic", F.concat(F.lit(f"{TRUNCATED}\n"), p["full_footer"])))
-    found = found.withColumn(
-        "_fault",
-        first_reason(
-            no_action_footer=unsafe,
-            no_product_rows=(p["form"] == "structured") & (F.size(p["rows"]) == 0),
-            too_many_products=(p["form"] == "listed") & (F.size(p["listed"]) > page_capacity),
-            footer_over_budget=suffix > F.col("_budget"),
-        ),
+    early = first_reason(
+        no_action_footer=unsafe,
+        no_product_rows=(p["form"] == "structured") & (F.size(p["rows"]) == 0),
+        too_many_products=(p["form"] == "listed") & (F.size(p["listed"]) > page_capacity),
     )
-    open_ = F.col("_over") & F.col("_fault").isNull()
-    own = F.when(open_, F.col("_pieces"))
-    limit = longest(own["kind"], own["text"], p["most"], F.col("_budget")) if tokenizer is not None else F.when(open_, _longest(F.col("_pieces"), p["most"], F.col("_budget"), count))
-    found = found.withColumn("_limit", limit.cast("int"))
-    found = found.withColumn("_fault", F.when(F.col("_limit") < 0, "does_not_fit").otherwise(F.col("_fault")))
+    found = found.withColumn("_early", early).withColumn("_open", F.when(F.col("_over") & F.col("_early").isNull(), F.col("_pieces")))
+    pieces, room = F.col("_open"), F.col("_budget")
+    # A tokenizer gives the count of what it has fitted as well: functions in Python that wait for each other would have the optimizer work for long.
+    if tokenizer is not None:
+        found = found.withColumn("_fit", longest(pieces["kind"], pieces["text"], p["most"], room)).withColumn("_limit", F.col("_fit.limit"))
+    else:
+        found = found.withColumn("_limit", F.when(pieces.isNotNull(), _longest(pieces, p["most"], room, count)))
+    found = found.withColumn("_fault", F.coalesce("_early", first_reason(footer_over_budget=suffix > room, does_not_fit=F.col("_limit") < 0)))
     found = found.withColumn("_visible", F.when(~F.col("_over"), F.col("_page")).when(F.col("_fault").isNull(), _render(F.col("_pieces"), F.col("_limit"))))
 
     # What is shown is held against the page again, whatever was done to it.
     v = F.col("_visible")
-    found = found.withColumns({"_shown_buttons": buttons(v), "_shown_products": products(v), "_tokens": count(v).cast("long")})
+    found = found.withColumns({"_shown_buttons": buttons(v), "_shown_products": products(v), "_tokens": count(v).cast("long") if tokenizer is None else F.when(F.col("_over"), F.col("_fit.tokens")).otherwise(F.col("_raw_tokens"))})
     before = {"page": F.col("_page"), "buttons": F.col("_buttons"), "products": F.col("_products")}
     after = {"buttons": F.col("_shown_buttons"), "products": F.col("_shown_products")}
     same = lambda a, b: (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)

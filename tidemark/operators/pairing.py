@@ -69,25 +69,29 @@ def poisson_thresholds() -> list[int]:
     return [t for t in out if t < 1 << DRAW_BITS]
 
 
-def _draws(seed: int, group: Column, cluster: Column) -> Column:
-    """Array of PER_DIGEST draws of 20 bits that any engine with SHA-256 repeats."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), group.cast("string"), F.lit(":"), cluster.cast("string")), 256)
-    numbers = [F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("bigint") for k in range(PER_DIGEST // 3)]
-    return F.array(*(F.shiftright(x, DRAW_BITS * j).bitwiseAND((1 << DRAW_BITS) - 1) for x in numbers for j in range(3)))
+#: Values are summed up as whole numbers of this part of one, so that sums are exact.
+_PART = 1_000_000
 
 
 def _replicated(clusters: DataFrame, value: str, cluster: str, replicates: int, seed: int, weight: Callable[[Column], Column]) -> DataFrame:
     """(r, total, weight): sums of the weighted values and of the weights by replicate.
 
-    A cluster's weights are drawn where its row lies and summed up there, a row for each digest and not for each replicate; only these sums are
-    shuffled, so that their number doesn't grow with that of the clusters.
+    A cluster's weights are drawn where its row lies, from digests that any engine with SHA-256 repeats, and summed up there; only these sums are
+    shuffled, so that their number doesn't grow with that of the clusters. Values are rounded to six digits.
     """
     groups = -(-replicates // PER_DIGEST)
-    each = clusters.select(F.col(value).cast("decimal(18,6)").alias("v"), F.col(cluster).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    each = each.select("v", "g", _draws(seed, F.col("g"), F.col("c")).alias("u"))
-    weights = [weight(F.col("u")[j]).cast("decimal(9,0)") for j in range(PER_DIGEST)]
-    sums = each.groupBy("g").agg(*(F.sum(w * F.col("v")).alias(f"t{j}") for j, w in enumerate(weights)), *(F.sum(w).alias(f"w{j}") for j, w in enumerate(weights)))
-    rows = F.array(*(F.struct((F.col("g") * PER_DIGEST + j).alias("r"), F.col(f"t{j}").cast("double").alias("total"), F.col(f"w{j}").cast("double").alias("weight")) for j in range(PER_DIGEST)))
+    whole = (F.col(value).cast("decimal(18,6)") * _PART).cast("bigint")
+    # Few rows make much work: they are dealt to all cores, which Spark would not do for their size.
+    dealt = clusters.select(whole.alias("v"), F.col(cluster).cast("string").alias("c")).repartition(clusters.sparkSession.sparkContext.defaultParallelism, "c")
+    each = dealt.select("v", "c", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    each = each.select("v", "g", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("g").cast("string"), F.lit(":"), "c"), 256).alias("d"))
+    # A number is a row of its own: as a column it would be worked out again for each of its uses.
+    numbers = F.array(*(F.conv(F.substring("d", 1 + 15 * k, 15), 16, 10).cast("bigint") for k in range(PER_DIGEST // 3)))
+    each = each.select("v", "g", F.posexplode(numbers).alias("k", "x"))
+    weights = [weight(F.shiftright("x", DRAW_BITS * j).bitwiseAND((1 << DRAW_BITS) - 1)).cast("bigint") for j in range(3)]
+    sums = each.groupBy("g", "k").agg(*(F.sum(w * F.col("v")).alias(f"t{j}") for j, w in enumerate(weights)), *(F.sum(w).alias(f"w{j}") for j, w in enumerate(weights)))
+    at = F.col("g") * PER_DIGEST + F.col("k") * 3
+    rows = F.array(*(F.struct((at + j).alias("r"), (F.col(f"t{j}").cast("double") / _PART).alias("total"), F.col(f"w{j}").cast("double").alias("weight")) for j in range(3)))
     return sums.select(F.explode(rows).alias("x")).select("x.*").where(F.col("r") < replicates)
 
 

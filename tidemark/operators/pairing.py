@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Iterator
+from hashlib import sha256
 from math import exp
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,26 +75,33 @@ def poisson_thresholds() -> list[int]:
 _PART = 1_000_000
 
 
-def _replicated(clusters: DataFrame, value: str, cluster: str, replicates: int, seed: int, weight: Callable[[Column], Column]) -> DataFrame:
-    """(r, total, weight): sums of the weighted values and of the weights by replicate.
+def _replicated(clusters: DataFrame, value: str, cluster: str, replicates: int, seed: int, weights: np.ndarray) -> DataFrame:
+    """(r, total, weight): sums of the weighted values and of the weights by replicate; ``weights`` has the weight of each draw of 20 bits.
 
-    A cluster's weights are drawn where its row lies, from digests that any engine with SHA-256 repeats, and summed up there; only these sums are
-    shuffled, so that their number doesn't grow with that of the clusters. Values are rounded to six digits.
+    A cluster's weights are drawn where its row lies, from digests that any engine with SHA-256 repeats: five hexadecimal digits a draw. A task holds
+    a number or two for each replicate and gives these sums, whatever the number of its clusters. Values are rounded to six digits.
     """
     groups = -(-replicates // PER_DIGEST)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weight = np.zeros((groups, PER_DIGEST), dtype=np.int64), np.zeros((groups, PER_DIGEST), dtype=np.int64)
+        for b in batches:
+            for v, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                digests = b"".join([sha256(f"{seed}:{g}:{c}".encode()).digest() for g in range(groups)])
+                octets = np.frombuffer(digests, dtype=np.uint8).reshape(groups, 32)[:, :30].reshape(groups, 6, 5).astype(np.int64)
+                # Five bytes are two draws. Of the three in a number the last digits come first.
+                first, second = octets[:, :, 0] << 12 | octets[:, :, 1] << 4 | octets[:, :, 2] >> 4, (octets[:, :, 2] & 15) << 16 | octets[:, :, 3] << 8 | octets[:, :, 4]
+                draws = np.stack((first, second), axis=2).reshape(groups, PER_DIGEST // 3, 3)[:, :, ::-1].reshape(groups, PER_DIGEST)
+                w = weights[draws]
+                total += w * v
+                weight += w
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(groups * PER_DIGEST)), pa.array(total.ravel()), pa.array(weight.ravel())], ["r", "total", "weight"])
+
     whole = (F.col(value).cast("decimal(18,6)") * _PART).cast("bigint")
     # Few rows make much work: they are dealt to all cores, which Spark would not do for their size.
     dealt = clusters.select(whole.alias("v"), F.col(cluster).cast("string").alias("c")).repartition(clusters.sparkSession.sparkContext.defaultParallelism, "c")
-    each = dealt.select("v", "c", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    each = each.select("v", "g", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("g").cast("string"), F.lit(":"), "c"), 256).alias("d"))
-    # A number is a row of its own: as a column it would be worked out again for each of its uses.
-    numbers = F.array(*(F.conv(F.substring("d", 1 + 15 * k, 15), 16, 10).cast("bigint") for k in range(PER_DIGEST // 3)))
-    each = each.select("v", "g", F.posexplode(numbers).alias("k", "x"))
-    weights = [weight(F.shiftright("x", DRAW_BITS * j).bitwiseAND((1 << DRAW_BITS) - 1)).cast("bigint") for j in range(3)]
-    sums = each.groupBy("g", "k").agg(*(F.sum(w * F.col("v")).alias(f"t{j}") for j, w in enumerate(weights)), *(F.sum(w).alias(f"w{j}") for j, w in enumerate(weights)))
-    at = F.col("g") * PER_DIGEST + F.col("k") * 3
-    rows = F.array(*(F.struct((at + j).alias("r"), (F.col(f"t{j}").cast("double") / _PART).alias("total"), F.col(f"w{j}").cast("double").alias("weight")) for j in range(3)))
-    return sums.select(F.explode(rows).alias("x")).select("x.*").where(F.col("r") < replicates)
+    sums = dealt.mapInArrow(run, "r long, total long, weight long").where(F.col("r") < replicates).groupBy("r").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+    return sums.select("r", (F.col("total").cast("double") / _PART).alias("total"), F.col("weight").cast("double").alias("weight"))
 
 
 def _mean(clusters: DataFrame, value: str) -> DataFrame:
@@ -107,7 +116,7 @@ def bootstrap_ci(clusters: DataFrame, value: str, cluster: str, replicates: int
     """
     steps = poisson_thresholds()
     rows = clusters.where(F.col(value).isNotNull())
-    means = _replicated(rows, value, cluster, replicates, seed, lambda u: reduce(lambda a, t: a + (u >= t).cast("int"), steps, F.lit(0)))
+    means = _replicated(rows, value, cluster, replicates, seed, np.searchsorted(np.array(steps), np.arange(1 << DRAW_BITS), side="right"))
     spread = means.where("weight > 0").select((F.col("total") / F.col("weight")).alias("m")).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return _mean(rows, value).join(F.broadcast(spread)).select(F.round("observed", 6).alias("mean_delta"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
@@ -116,7 +125,7 @@ def sign_flip(clusters: DataFrame, value: str, cluster: str, replicates: int = 2
     """One-sided p of the mean against sign flips of the clusters, (exceeding + 1) / (replicates + 1), and the null's 95th percentile."""
     rows = clusters.where(F.col(value).isNotNull())
     half = 1 << (DRAW_BITS - 1)
-    means = _replicated(rows, value, cluster, replicates, seed, lambda u: F.when(u >= half, 1).otherwise(-1))
+    means = _replicated(rows, value, cluster, replicates, seed, np.where(np.arange(1 << DRAW_BITS) >= half, 1, -1))
     null = means.join(F.broadcast(_mean(rows, value))).select((F.col("total") / F.col("n")).alias("m"), "observed")
     return null.agg(
         F.round(F.first("observed"), 6).alias("observed"),

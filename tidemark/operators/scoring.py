@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.logic import bound
 from ..functions.text import folded, folded_characters
 
 PASS, FAIL, UNVERIFIABLE = "pass", "fail", "unverifiable"
@@ -96,11 +97,15 @@ def _plain(text: Column) -> Column:
 
 def polarity(text: Column, expected: Column) -> Column:
     """held if a text has an occurrence that isn't negated, negated if all are, absent if there is none; both in plain form."""
-    parts = F.split(text, F.concat(F.lit(r"\Q"), expected, F.lit(r"\E")), -1)
-    # What stands before an occurrence begins with the one before it.
-    before = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x, i: F.when(i == 0, x).otherwise(F.concat(expected, x)))
     negated = lambda x: _any([x.endswith(n) for n in NEGATORS])
-    return F.when(F.size(parts) == 1, "absent").when(F.exists(before, lambda x: ~negated(x)), "held").otherwise("negated")
+
+    def of(parts: Column) -> Column:
+        # What stands before an occurrence begins with the one before it.
+        before = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x, i: F.when(i == 0, x).otherwise(F.concat(expected, x)))
+        return F.when(F.exists(before, lambda x: ~negated(x)), "held").otherwise("negated")
+
+    # Splitting compiles a pattern for each expected text: only where it occurs.
+    return F.when(text.contains(expected), bound(F.split(text, F.concat(F.lit(r"\Q"), expected, F.lit(r"\E")), -1), of)).otherwise("absent")
 
 
 def function_match(required: Column, structured: Column, fallback: Column) -> Column:
@@ -113,14 +118,20 @@ def function_match(required: Column, structured: Column, fallback: Column) -> Co
     attributes, texts = F.coalesce(structured, nothing), F.coalesce(fallback, nothing)
     wanted = F.filter(F.transform(F.coalesce(required, nothing), lambda r: F.struct(r.alias("value"), _plain(r).alias("plain"))), lambda r: r["plain"] != "")
     own, text = F.transform(attributes, _plain), _plain(F.array_join(F.filter(texts, lambda t: t.isNotNull()), " "))
-    judged = F.transform(wanted, lambda r: F.struct(r["value"].alias("value"), F.transform(own, lambda x: polarity(x, r["plain"])).alias("own"), polarity(text, r["plain"]).alias("text")))
     kind = lambda j: F.when(F.array_contains(j["own"], "held"), "attribute").when(F.array_contains(j["own"], "negated"), "negated").when(j["text"] == "held", "text_fallback").when(j["text"] == "negated", "negated").otherwise("missing")
-    found = F.transform(judged, lambda j: F.struct(j["value"].alias("value"), kind(j).alias("source")))
-    of = lambda name: F.transform(F.filter(found, lambda x: x["source"] == name), lambda x: x["value"])
-    known = (F.size(wanted) > 0) & ((F.size(attributes) > 0) | F.exists(texts, lambda t: F.coalesce(t, F.lit("")) != ""))
-    bad = F.exists(found, lambda x: x["source"].isin("missing", "negated"))
-    kept = F.filter(found, lambda x: x["source"].isin("attribute", "text_fallback"))
-    return F.struct(status(known, ~bad).alias("status"), kept.alias("matched"), of("missing").alias("missing"), of("negated").alias("negated"))
+
+    def judged(own: Column, text: Column) -> Column:
+        both = lambda r: F.struct(F.transform(own, lambda x: polarity(x, r["plain"])).alias("own"), polarity(text, r["plain"]).alias("text"))
+        return F.transform(wanted, lambda r: F.struct(r["value"].alias("value"), bound(both(r), kind).alias("source")))
+
+    def told(found: Column) -> Column:
+        of = lambda name: F.transform(F.filter(found, lambda x: x["source"] == name), lambda x: x["value"])
+        known = (F.size(found) > 0) & ((F.size(attributes) > 0) | F.exists(texts, lambda t: F.coalesce(t, F.lit("")) != ""))
+        bad = F.exists(found, lambda x: x["source"].isin("missing", "negated"))
+        kept = F.filter(found, lambda x: x["source"].isin("attribute", "text_fallback"))
+        return F.struct(status(known, ~bad).alias("status"), kept.alias("matched"), of("missing").alias("missing"), of("negated").alias("negated"))
+
+    return bound(bound(own, lambda own: bound(text, lambda text: judged(own, text))), told)
 
 
 #: Units in the base of their dimension.

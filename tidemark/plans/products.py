@@ -10,7 +10,7 @@ from ..operators import scoring as S
 from ..operators import search as R
 from ..operators import variants as V
 from .registry import query
-from .tables import table
+from .tables import dealt, table
 
 # A line's purchase: the part is the product, and the order's customer wants a brand, a price and a kind.
 
@@ -175,7 +175,7 @@ def core_function_polarity(spark, d):
     first, second = F.get(words, 0), F.get(words, 1)
     attributes = F.when(size % 3 == 0, F.array(F.concat(F.lit("不支持 "), F.upper(first)), F.col("p_type"))).when(size % 3 == 1, F.array(F.col("p_type"), F.concat(first, F.lit("款")))).otherwise(F.array().cast("array<string>"))
     texts = F.when(size % 2 == 0, F.array(F.lit(None).cast("string"), F.col("p_name"))).otherwise(F.array(F.concat(F.lit("无"), second)))
-    found = table(spark, d, "part").select("p_partkey", words.alias("w"), attributes.alias("a"), texts.alias("t")).select("p_partkey", S.function_match(F.col("w"), F.col("a"), F.col("t")).alias("f"))
+    found = dealt(spark, d, "part", "p_partkey").select("p_partkey", words.alias("w"), attributes.alias("a"), texts.alias("t")).select("p_partkey", S.function_match(F.col("w"), F.col("a"), F.col("t")).alias("f"))
     matched = F.array_join(F.transform("f.matched", lambda m: F.concat_ws("=", m["value"], m["source"])), ",")
     return found.select("p_partkey", "f.status", matched.alias("matched"), F.array_join("f.missing", ",").alias("missing"), F.array_join("f.negated", ",").alias("negated"))
 
@@ -192,7 +192,7 @@ def brand_alias_join(spark, d):
     maker = F.concat(F.lit("Maker "), k.cast("string"))
     wide = F.translate("p_brand", "Brand", "Ｂｒａｎｄ")
     aliases = C.alias_table(named.select(F.when(k % 4 == 0, maker).otherwise(F.col("p_brand")).alias("canonical"), F.array(wide).alias("aliases")))
-    rows = C.canonical_brands(part.select("p_partkey", "p_size", "p_brand"), aliases, "p_brand", "brand")
+    rows = C.canonical_brands(dealt(spark, d, "part", "p_partkey").select("p_partkey", "p_size", "p_brand"), aliases, "p_brand", "brand")
     required = F.when(F.col("p_size") % 5 == 0, F.array(F.lit(""))).when(F.col("p_size") % 2 == 0, F.array(C.normal(maker), F.col("brand"))).otherwise(F.array(C.normal(maker)))
     return rows.select("p_partkey", "brand", C.brand_comparison(required, F.col("brand")).alias("status"))
 
@@ -287,7 +287,7 @@ SELECT p_partkey, p_name || ' ' || CASE v WHEN 2 THEN '“q”' ELSE '' END || m
   CASE v WHEN 0 THEN p_type || ' ' || p_size ELSE 'a ' || p_size || ' b x y' END AS attributes, CASE v WHEN 0 THEN '' ELSE '颜色 price ' || p_size || '.5 value ' || p_type || ' True' END AS options, p_name AS bullets FROM p""")
 def product_fields(spark, d):
     """The fields of raw products in three shapes."""
-    part = table(spark, d, "part")
+    part = dealt(spark, d, "part", "p_partkey")
     v, size = F.col("p_partkey") % 3, F.col("p_size")
     title = F.concat(F.col("p_name"), F.lit(" "), F.when(v == 2, "“q”").otherwise(""), F.col("p_type"), F.lit("-"), size.cast("string"))
     flat = F.to_json(F.struct(title.alias("title"), F.col("p_brand").alias("brand"), F.lit("").alias("shop_name"), F.col("p_type").alias("category"), F.array(F.col("p_type"), size.cast("string")).alias("attribute"), F.array().cast("array<string>").alias("options"), F.array("p_name").alias("small_description")))

@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows make much work for their bytes: dealt to all cores, which Spark would not do for the size of its files."""
+    return table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism, key)
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as the steps of a session: user_id, event_id, ts, tool, k (its argument) and value."""
     events = table(spark, sf_dir, "events")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.logic import bound
 from ..functions.sizes import small
 from ..functions.text import collapsed, folded_characters
 from . import variants
@@ -113,8 +114,8 @@ def compiled(tasks: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
     tasks = tasks.withColumn("_axes", variants.indexed(F.col("options"))).withColumn("_wanted", cleaned(F.col("instruction_options")))
     axes = F.col("_axes")
     tasks, resolved = tasks.withColumn("_resolved", variants.resolve(axes, F.col("_wanted"))), F.col("_resolved")
-    lists = lambda a, r: F.exists(a["values"], lambda v: v["key"] == variants.option_text(r["value"]))
-    source = lambda r: F.get(F.filter(axes, lambda a: lists(a, r)), 0)["source"]
+    lists = lambda a, key: F.exists(a["values"], lambda v: v["key"] == key)
+    source = lambda r: bound(variants.option_text(r["value"]), lambda key: F.get(F.filter(axes, lambda a: lists(a, key)), 0)["source"])
     required = F.transform(F.filter(resolved, lambda r: r["reason"].isNull()), lambda r: F.struct(r["axis"].alias("axis"), r["value"].alias("value"), source(r).alias("source_axis"), F.lit(SOURCES["options"]).alias("source")))
     unresolved = F.transform(F.filter(resolved, lambda r: r["reason"].isNotNull()), lambda r: F.struct(r["value"].alias("value"), r["reason"].alias("reason")))
     features = F.struct(

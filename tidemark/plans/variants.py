@@ -9,7 +9,7 @@ from ..operators import search as R
 from ..operators import spans as P
 from ..operators import variants as V
 from .registry import query
-from .tables import table
+from .tables import dealt, table
 
 # A part has a colour axis with its type, a size axis (a second colour axis, where its size is divisible by four), and in some cases a
 # capacity axis, which may be empty. A task requires a colour, a size and in some cases a capacity.
@@ -36,7 +36,7 @@ def products(spark, d):
     capacity = F.struct(lit("容量").alias("axis"), F.when(size % 12 == 1, F.slice(room, 1, 0)).otherwise(room).alias("values"))
     wanted = F.array(_pair(lit("color"), F.when(size % 3 == 0, "X/1").otherwise(F.col("p_type"))), _pair(lit("size"), F.when(size % 5 == 0, "zz").otherwise("B ")))
     wanted = F.when(size % 7 == 0, F.concat(wanted, F.array(_pair(lit("capacity"), lit("1l"))))).otherwise(wanted)
-    rows = table(spark, d, "part").select("p_partkey", "p_size", "p_type", "p_retailprice", F.when(size % 6 == 1, F.array(colour, other, capacity)).otherwise(F.array(colour, other)).alias("options"), wanted.alias("required"))
+    rows = dealt(spark, d, "part", "p_partkey").select("p_partkey", "p_size", "p_type", "p_retailprice", F.when(size % 6 == 1, F.array(colour, other, capacity)).otherwise(F.array(colour, other)).alias("options"), wanted.alias("required"))
     return rows.withColumn("axes", V.indexed(F.col("options")))
 
 
@@ -84,7 +84,7 @@ def combination_price(spark, d):
 
     listed = F.array(combination("A", F.col("p_retailprice") + 1), combination("B", F.lit(-1.0)))
     picked = F.array(_pair(F.lit("颜色分类"), F.lower("p_type")), _pair(F.lit("鞋码"), F.when(F.col("p_size") % 2 == 1, "a ").otherwise("b")))
-    return table(spark, d, "part").select("p_partkey", V.combination_price(listed, picked).alias("price"))
+    return dealt(spark, d, "part", "p_partkey").select("p_partkey", V.combination_price(listed, picked).alias("price"))
 
 
 @query("""SELECT p_partkey, p_type || '>color;b>' || CASE WHEN p_size % 4 = 0 THEN 'canonical_axis_collision' ELSE 'size' END || ';zz>axis_not_found; B>canonical_axis_collision' AS resolved FROM part""")

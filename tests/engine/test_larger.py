@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import plans
 from tidemark.functions.text import folded_characters
 from tidemark.operators import scoring, search, variants
+from tidemark.streaming import sessions
 
 
 def agree(spark, folder, name, **tables):
@@ -98,3 +99,28 @@ def test_first_rows_of_a_value_that_many_ask_for(spark):
     start = time.time()
     got = search.by_value(asked, parts, F.lit("<a>"), F.lit("a"), "a", "c", "q", "k", 5).groupBy("query_id").agg(F.collect_list("k").alias("k")).collect()
     assert len(got) == 3_000 and all(sorted(r.k) == [0, 1, 2, 3, 4] for r in got) and time.time() - start < 30
+
+
+@pytest.mark.parametrize("mode", ["append", "update", "complete"])
+def test_replays_are_kept_in_files(spark, tmp_path, mode):
+    for k in range(2):
+        spark.range(5).select("id", F.timestamp_seconds(F.col("id") + 10 * k).alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    stream = spark.readStream.schema("id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    if mode == "append":
+        got = sessions.run_to_table(sessions.once(stream, "id", "ts", "1 hour"), mode)
+        want = [(k,) for k in range(5)]
+    else:
+        got = sessions.run_to_table(stream.groupBy("id").count(), mode)
+        want = sorted([(k, n) for k in range(5) for n in ((2,) if mode == "complete" else (1, 2))])
+    assert got.inputFiles() and sorted((r[0], *r[1:][:1]) if mode != "append" else (r[0],) for r in got.collect()) == want
+
+
+def test_many_queries_and_alike_documents(spark, monkeypatch):
+    docs = [(k, ["red hat", "blue hat", "red red coat", "green"][k % 4]) for k in range(60)]
+    asked = [(q, t) for q in range(12) for t in (("red", "hat"), ("hat",), ("coat", "blue"))[q % 3]]
+    words = search.searchable(spark.createDataFrame(docs, "k long, t string"), "k", {"title": F.col("t")})
+    queries = spark.createDataFrame(asked, "query_id long, term string").repartition(3)
+    found = lambda: sorted(tuple(r) for r in search.bm25(queries, words, "k", {"title": 1.0}, 20).collect())
+    each = found()
+    monkeypatch.setattr(search, "MANY_QUERIES", 2)
+    assert found() == each and len(each) == 12 * 20

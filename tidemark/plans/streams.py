@@ -24,7 +24,7 @@ def stream(spark, d):
 
 
 def replay(df, mode, **trigger):
-    return S.run_to_table(df, f"replay_{uuid.uuid4().hex}", mode, **trigger)
+    return S.run_to_table(df, mode, **trigger)
 
 
 @query(f"""WITH {STEPS_SQL}, {PROGRESS}, {STREAK}, x AS (SELECT *, CASE WHEN lag({SIGNATURE_SQL}) OVER {W} = {SIGNATURE_SQL} THEN 0 ELSE 1 END AS c FROM r),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -88,12 +90,41 @@ def session_windows(events: DataFrame, time: str, gap: str, late: str, *keys: st
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap), *keys).agg(F.count("*").alias("n"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, **trigger: bool) -> DataFrame:
-    """Runs a stream over what its source holds now into a table in memory: for tests and small replays.
+def kept_folder(spark: SparkSession) -> str:
+    """A folder that the driver and the executors share, until the session's JVM ends: under spark.checkpoint.dir, a temporary one where all runs on
+    this machine, else under the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        folder = tempfile.mkdtemp(prefix="tidemark-replay-")
+    else:
+        folder = f"{(shared or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/replay-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
 
-    Streams that keep time by the clock never have nothing left to do; ``once=True`` ends them after a batch.
+
+def run_to_table(stream: DataFrame, mode: str, **trigger: bool) -> DataFrame:
+    """Runs a stream over what its source holds now and returns what it gave, which is kept in files: nothing of it passes the driver.
+
+    In complete mode the last batch's rows count, each of which is all rows. Streams that keep time by the clock never have nothing left to do;
+    ``once=True`` ends them after a batch.
     """
     spark: SparkSession = stream.sparkSession
-    started = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(**(trigger or {"availableNow": True})).start()
-    started.awaitTermination()
-    return spark.table(name)
+    folder = kept_folder(spark)
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"availableNow": True}))
+    if mode == "append":
+        out = out.format("parquet").option("path", f"{folder}/out")
+    else:
+
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{folder}/out/b{0 if mode == 'complete' else number}")
+
+        out = out.foreachBatch(keep)
+    out.start().awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema)
+    return rows.parquet(f"{folder}/out") if mode == "append" else rows.parquet(f"{folder}/out/b*")

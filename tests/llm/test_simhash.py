@@ -166,3 +166,45 @@ def test_different_texts_of_one_id_stay(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n)
         got = [(x.doc_id or 0, x.text or "") for x in simhash.deduplicated(docs).collect()]
         assert sorted(got) == sorted([(0, a), (1, a), (1, b), (3, c), (4, "")])
+
+
+def test_every_similar_text_goes(spark):
+    r = random.Random(29)
+    words = [f"w{k}" for k in range(4000)]
+    rows, line = [], [f"line{k}" for k in range(30)]
+    for d in range(700):
+        text = r.choices(words, k=r.randrange(100, 300)) + (line if d % 2 else [])
+        other, many = list(text), 0
+        # As many words as just leave a similarity of 0.8.
+        for k in r.sample(range(len(text)), len(text)):
+            tried = [*other[:k], "edited", *other[k + 1 :]]
+            if simhash.similarity([w.encode() for w in text], [w.encode() for w in tried], 5) < 0.8:
+                break
+            other, many = tried, many + 1
+        assert many
+        rows += [(d, " ".join(text)), (1000 + d, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.deduplicated(docs).collect()) == list(range(700))
+
+
+@pytest.mark.parametrize("block", [3, 5, 4096])
+def test_holders_of_a_shingle_are_paired_across_components(monkeypatch, block):
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "PAIRS", 7)
+    r = random.Random(block)
+    rows = sorted((r.choice([-5, 1, 2, 3, 4]), r.randrange(6), i, r.randrange(20, 40), r.randrange(4)) for i in range(60))
+    batches = [pa.RecordBatch.from_pylist([dict(zip(["shingle", "component", "id", "n", "place"], x, strict=True)) for x in rows[k : k + 9]]) for k in range(0, 60, 9)]
+    pairs, blocks = simhash._sharing(0.8)
+    out = pa.Table.from_batches(list(pairs(iter(batches))))
+    dealt = out.filter(pa.compute.is_valid(out["left"])).select(["left", "right"])
+    got = [(x["a"], x["b"]) for x in out.to_pylist() if x["a"] is not None]
+    got += [(x["a"], x["b"]) for b in blocks(iter(dealt.to_batches())) for x in b.to_pylist()]
+    want = set()
+    for s, c, i, n, p in rows:
+        for s2, c2, j, m, q in rows:
+            if s == s2 and c != c2 and i < j and min(n - p, m - q) >= 0.8 / 1.8 * (n + m) - 1e-6:
+                want.add((i, j))
+    assert set(got) == want and want
+    assert bool(dealt.num_rows) == (block < 60)

@@ -275,12 +275,18 @@ def hexadecimal(fp: str):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-# Near-duplicates by similarity: fingerprints find candidates, the texts decide.
+# Near-duplicates by similarity: fingerprints find most links, prefixes of the texts' shingle sets the candidates of all others; the texts decide.
 
 #: Share of equal bits of two fingerprints at a similarity (Jaccard) of 0.8: 1 - acos(1.6 / 1.8) / pi.
 EQUAL_BITS = 0.848
 #: Share of the pairs of that similarity whose paths must meet, by that figure; differing bits of 64 that such a pair may have.
 MEET, ROOM = 0.96, 17
+#: Fingerprints of a text whose paths are used: links that they miss are found by prefixes.
+FIRST = 2
+#: Texts among which frequent shingles are sought, at least one in so many of all, and holders among them that make a shingle frequent.
+SAMPLE, SAMPLED, LEAST = 100_000, 8, 3
+#: Holders of a shingle from which on their pairs are dealt as blocks; pairs looked at at once.
+BLOCK, PAIRS = 4_096, 1 << 20
 
 
 def plan_paths(texts: int) -> tuple[int, int]:
@@ -315,14 +321,148 @@ def similarity(a: list[bytes], b: list[bytes], size: int) -> float:
     return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
 
 
+def _shingle_set(words: list[bytes], size: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(words, size), dtype=np.uint64))
+
+
+def _frequent(docs: DataFrame, size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, level) of the shingles that a sample shows to be frequent, sorted by hash; level: the holders' number of binary digits."""
+    every = max(SAMPLED, n // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_shingle_set(words_of(t.as_py()), size) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], ["h"])
+
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
+    held = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    rows = held.select("h", F.ceil(F.log2("n")).cast("int").alias("level")).toArrow()
+    h, level = (rows.column(k).to_numpy() for k in range(2))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], level[order]
+
+
+def prefix(hashes: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first members of a set in an order that is the same for all sets: two sets of similarity ``least`` have one of these in common.
+
+    Each has so much of the other that the members past its prefix are too few. Frequent members come last; the order only decides how many candidates there are.
+    """
+    level = np.zeros(len(hashes), dtype=np.int64)
+    if len(frequent[0]) and len(hashes):
+        k = np.minimum(np.searchsorted(frequent[0], hashes), len(frequent[0]) - 1)
+        level = np.where(frequent[0][k] == hashes, frequent[1][k], 0)
+    return hashes[np.lexsort((hashes, level))][: len(hashes) - ceil(least * len(hashes) - 1e-9) + 1]
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shingle, component, id, n, place) of each text's prefix."""
+    for b in batches:
+        own = [np.frombuffer(x, dtype="<i8") for x in b.column(3).to_pylist()]
+        sizes = np.array([len(x) for x in own], dtype=np.int64)
+        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        columns = [np.repeat(b.column(k).to_numpy(), sizes) for k in range(3)]
+        shingle = np.concatenate(own) if own else np.zeros(0, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shingle, columns[1], columns[0], columns[2], place.astype(np.int32))], ["shingle", "component", "id", "n", "place"])
+
+
+def _candidates(left: np.ndarray, right: np.ndarray, n: np.ndarray, place: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of n members that have those at ``place`` in common, and none before, can be of similarity ``least``."""
+    x, y = n[left].astype(np.int64), n[right].astype(np.int64)
+    common = np.minimum(x - place[left], y - place[right])
+    return common >= least / (1 + least) * (x + y) - 1e-6
+
+
+def _sharing(least: float):
+    """Reads holders sorted by shingle and component: candidates of different components as (a, b), and for shingles of more than BLOCK holders
+    blocks (left, right) of these; holds a batch and the holders of one shingle."""
+    kind = np.dtype([("component", "<i8"), ("id", "<i8"), ("n", "<i4"), ("place", "<i4")])
+
+    def pairs(shingle: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        begins = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
+        for s, e in zip(begins.tolist(), np.append(begins[1:], len(rows)).tolist(), strict=True):
+            if e - s > BLOCK and rows["component"][s] != rows["component"][e - 1]:
+                parts = [rows[k : min(e, k + BLOCK)] for k in range(s, e, BLOCK)]
+                for k, x in enumerate(parts):
+                    for y in parts[k:]:
+                        if x["component"][0] != y["component"][-1]:
+                            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([b"" if y is x else y.tobytes()], pa.binary())], ["a", "b", "left", "right"])
+        sizes = np.diff(np.append(begins, len(rows)))
+        some = np.repeat((sizes > 1) & (sizes <= BLOCK), sizes)
+        yield from across(shingle[some], rows[some])
+
+    def across(shingle: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of each row and the rows of its shingle's later components."""
+        if not len(rows):
+            return
+        new = shingle[1:] != shingle[:-1]
+        apart = np.flatnonzero(new | (rows["component"][1:] != rows["component"][:-1])) + 1
+        group = np.append(np.flatnonzero(new) + 1, len(rows))
+        own = np.arange(len(rows))
+        segment_end = np.append(apart, len(rows))[np.searchsorted(apart, own, side="right")]
+        group_end = group[np.searchsorted(group, own, side="right")]
+        yield from tested(rows, own, segment_end, group_end - segment_end, rows)
+
+    def tested(rows: np.ndarray, left: np.ndarray, first: np.ndarray, many: np.ndarray, others: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(left):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+            n = many[at:to]
+            i = np.repeat(left[at:to], n)
+            j = np.repeat(first[at:to] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.concatenate((rows[i], others[j]))
+            k = np.arange(len(i))
+            good = _candidates(k, k + len(i), both["n"], both["place"], least)
+            a, b = both["id"][: len(i)][good], both["id"][len(i) :][good]
+            if len(a):
+                ab = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+                none = pa.nulls(ab.shape[1], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1]), none, none], ["a", "b", "left", "right"])
+            at = to
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.empty(b.num_rows, dtype=kind)
+            for name in kind.names:
+                rows[name] = b.column(b.schema.get_field_index(name)).to_numpy()
+            shingle = b.column(0).to_numpy()
+            last = int(np.searchsorted(shingle, shingle[-1]))
+            if last or (held and held[0][0][0] != shingle[0]):
+                done = [*held, (shingle[:last], rows[:last])]
+                yield from pairs(*(np.concatenate(x) for x in zip(*done, strict=True)))
+                held = []
+            held.append((shingle[last:], rows[last:]))
+        if held:
+            yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b.column(0), b.column(1), strict=True):
+                left, right = np.frombuffer(x.as_py(), dtype=kind), np.frombuffer(y.as_py(), dtype=kind)
+                if not len(right):
+                    yield from across(np.zeros(len(left), dtype=np.int64), left)
+                else:
+                    first = np.searchsorted(right["component"], left["component"], side="right")
+                    yield from tested(left, np.arange(len(left)), first, len(right) - first, right)
+
+    return run, blocks
+
+
 def similar_texts(docs: DataFrame, size: int, least: float, key: str) -> tuple[DataFrame, DataFrame]:
-    """((key, text) of every row, (a, b) of similar texts): texts are numbered by a hash of their words.
+    """((key, text) of every row, (a, b) of similar texts): texts are numbered by a hash of their words; the links make up the classes of
+    all pairs of similarity ``least`` or more.
 
-    Candidates share a path of one of several fingerprints and differ in at most ROOM bits of it: node pairs of the subtrie, cut off there.
-    Of each subtrie those of a spanning forest are taken, and their similarity is worked out on the whole texts.
+    First candidates share a path of one of several fingerprints and differ in at most ROOM bits of it: node pairs of the subtrie, cut off there.
+    Of each subtrie those of a spanning forest are taken, and their similarity is worked out on the whole texts. Then texts that are in different
+    classes still and share a member of their prefixes are candidates, all of them, so that no link between classes is missed.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits, several = plan_paths(docs.count())
+    rows = docs.count()
+    bits, several = plan_paths(rows)[0], FIRST
+    frequent = _frequent(docs, size, rows)
 
     def number(words: list[bytes]) -> int:
         x = xxhash.xxh64_intdigest(b" ".join(words), 7)
@@ -332,12 +472,30 @@ def similar_texts(docs: DataFrame, size: int, least: float, key: str) -> tuple[D
         for b in batches:
             texts = [words_of(t.as_py()) for t in b.column(1)]
             fps = [fingerprint(w, size, several).tobytes() for w in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([number(w) for w in texts], pa.int64()), pa.array(fps, pa.binary())], [key, "id", "fps"])
+            sets = [_shingle_set(w, size) for w in texts]
+            own = [prefix(x, least, frequent).tobytes() if len(x) else b"" for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([number(w) for w in texts], pa.int64()), pa.array(fps, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(own, pa.binary())], [key, "id", "fps", "n", "prefix"])
 
-    found = cut(docs.select(key, "text").mapInArrow(prints, f"{key} long, id long, fps binary"))
+    found = cut(docs.select(key, "text").mapInArrow(prints, f"{key} long, id long, fps binary, n int, prefix binary"))
     reps = found.groupBy("id").agg(F.min("fps").alias("fps"))
     rows = reps.mapInArrow(_paths(bits, several), "perm int, path long, value long, id long")
-    pairs = cut(_linked(rows, [bits] * (several * (BITS // bits)), ROOM).distinct())
+    first = cut(_similar(docs, _linked(rows, [bits] * (several * (BITS // bits)), ROOM).distinct(), number, size, least))
+
+    classes = connected_components(first).select(F.col("node").alias("id"), "component")
+    prefixes = found.groupBy("id").agg(F.min(F.struct("n", "prefix")).alias("p")).join(classes, "id", "left")
+    holders = prefixes.select("id", F.coalesce("component", "id").alias("component"), "p.n", "p.prefix").mapInArrow(_holders, "shingle long, component long, id long, n int, place int")
+    pairs, blocks = _sharing(least)
+    schema = "a long, b long, left binary, right binary"
+    shared = cut(holders.repartition(n, "shingle").sortWithinPartitions("shingle", "component").mapInArrow(pairs, schema))
+    dealt = shared.where("left IS NOT NULL").select("left", "right").repartition(n).mapInArrow(blocks, schema)
+    others = shared.where("a IS NOT NULL").unionAll(dealt).select("a", "b").distinct()
+    return found.select(key, "id"), cut(first.unionAll(_similar(docs, others, number, size, least)))
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, number, size: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of texts' numbers whose texts are of similarity ``least`` or more."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = cut(pairs)
 
     # Texts and the pairs that ask for them meet in one sort; each text is read once, whatever the number of its pairs.
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +540,7 @@ def similar_texts(docs: DataFrame, size: int, least: float, key: str) -> tuple[D
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
     sides = both.mapInArrow(hand_out, "pair long, id long, text binary").repartition(n, "pair").sortWithinPartitions("pair", "id")
-    return found.select(key, "id"), cut(sides.mapInArrow(compare, "a long, b long"))
+    return sides.mapInArrow(compare, "a long, b long")
 
 
 def deduplicated(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:

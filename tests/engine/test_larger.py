@@ -124,3 +124,27 @@ def test_many_queries_and_alike_documents(spark, monkeypatch):
     each = found()
     monkeypatch.setattr(search, "MANY_QUERIES", 2)
     assert found() == each and len(each) == 12 * 20
+
+
+def test_resampling_draws_by_digest_and_not_for_zeros(spark):
+    from hashlib import sha256
+
+    import numpy as np
+
+    from tidemark.operators import pairing as P
+
+    rows = [(101, 2.0), (7, 0.0), (33, -1.5), (8, 0.0)]
+    df = spark.createDataFrame(rows, "task long, delta double")
+    table = np.searchsorted(np.array(P.poisson_thresholds()), np.arange(1 << 20), side="right")
+    signs = np.where(np.arange(1 << 20) >= 1 << 19, 1, -1)
+
+    def draw(c, r):
+        g, k, j = r // 12, r % 12 // 3, r % 3
+        return int(sha256(f"5:{g}:{c}".encode()).hexdigest()[15 * k : 15 * k + 15], 16) >> (20 * j) & 1048575
+
+    for weights, weighed in ((table, True), (signs, False)):
+        got = {x.r: (x.total, x.weight) for x in P._replicated(df, "delta", "task", 40, 5, weights, weighed=weighed).collect()}
+        assert sorted(got) == list(range(40))
+        for r in range(40):
+            own = [(int(weights[draw(c, r)]), v) for c, v in rows]
+            assert got[r] == (sum(w * v for w, v in own), sum(w for w, v in own if v or weighed))

@@ -75,27 +75,41 @@ def poisson_thresholds() -> list[int]:
 _PART = 1_000_000
 
 
-def _replicated(clusters: DataFrame, value: str, cluster: str, replicates: int, seed: int, weights: np.ndarray) -> DataFrame:
+def _replicated(clusters: DataFrame, value: str, cluster: str, replicates: int, seed: int, weights: np.ndarray, weighed: bool = True) -> DataFrame:
     """(r, total, weight): sums of the weighted values and of the weights by replicate; ``weights`` has the weight of each draw of 20 bits.
 
     A cluster's weights are drawn where its row lies, from digests that any engine with SHA-256 repeats: five hexadecimal digits a draw. A task holds
-    a number or two for each replicate and gives these sums, whatever the number of its clusters. Values are rounded to six digits.
+    a number or two for each replicate and gives these sums, whatever the number of its clusters. Values are rounded to six digits. Where the weights' sums are not asked for (``weighed``), zeros are not drawn for.
     """
     groups = -(-replicates // PER_DIGEST)
+    weights = weights.astype(np.int8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight = np.zeros((groups, PER_DIGEST), dtype=np.int64), np.zeros((groups, PER_DIGEST), dtype=np.int64)
+        # What all clusters' digests begin with is hashed once.
+        begun = [sha256(f"{seed}:{g}:".encode()) for g in range(groups)]
+        total, weight = np.zeros((PER_DIGEST, groups), dtype=np.int64), np.zeros((PER_DIGEST, groups), dtype=np.int64)
+        draws = np.empty((PER_DIGEST, groups), dtype=np.uint64)
         for b in batches:
             for v, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                digests = b"".join([sha256(f"{seed}:{g}:{c}".encode()).digest() for g in range(groups)])
-                octets = np.frombuffer(digests, dtype=np.uint8).reshape(groups, 32)[:, :30].reshape(groups, 6, 5).astype(np.int64)
-                # Five bytes are two draws. Of the three in a number the last digits come first.
-                first, second = octets[:, :, 0] << 12 | octets[:, :, 1] << 4 | octets[:, :, 2] >> 4, (octets[:, :, 2] & 15) << 16 | octets[:, :, 3] << 8 | octets[:, :, 4]
-                draws = np.stack((first, second), axis=2).reshape(groups, PER_DIGEST // 3, 3)[:, :, ::-1].reshape(groups, PER_DIGEST)
+                if not v and not weighed:
+                    continue
+                digests, name = [], c.encode()
+                for h in begun:
+                    h = h.copy()
+                    h.update(name)
+                    digests.append(h.digest())
+                words = np.ascontiguousarray(np.frombuffer(b"".join(digests), dtype=">u8").reshape(groups, 4).T).astype(np.uint64)
+                for r in range(PER_DIGEST):
+                    # Of the three draws in a number the last digits come first.
+                    k, past = divmod(DRAW_BITS * (r // 3 * 3 + 2 - r % 3), 64)
+                    np.left_shift(words[k], np.uint64(past), out=draws[r])
+                    if past + DRAW_BITS > 64:
+                        draws[r] |= words[k + 1] >> np.uint64(64 - past)
+                draws >>= np.uint64(64 - DRAW_BITS)
                 w = weights[draws]
-                total += w * v
+                total += np.multiply(w, v, dtype=np.int64)
                 weight += w
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(groups * PER_DIGEST)), pa.array(total.ravel()), pa.array(weight.ravel())], ["r", "total", "weight"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(groups * PER_DIGEST)), pa.array(total.T.ravel()), pa.array(weight.T.ravel())], ["r", "total", "weight"])
 
     whole = (F.col(value).cast("decimal(18,6)") * _PART).cast("bigint")
     # Few rows make much work: they are dealt to all cores, which Spark would not do for their size.
@@ -125,7 +139,7 @@ def sign_flip(clusters: DataFrame, value: str, cluster: str, replicates: int = 2
     """One-sided p of the mean against sign flips of the clusters, (exceeding + 1) / (replicates + 1), and the null's 95th percentile."""
     rows = clusters.where(F.col(value).isNotNull())
     half = 1 << (DRAW_BITS - 1)
-    means = _replicated(rows, value, cluster, replicates, seed, np.where(np.arange(1 << DRAW_BITS) >= half, 1, -1))
+    means = _replicated(rows, value, cluster, replicates, seed, np.where(np.arange(1 << DRAW_BITS) >= half, 1, -1), weighed=False)
     null = means.join(F.broadcast(_mean(rows, value))).select((F.col("total") / F.col("n")).alias("m"), "observed")
     return null.agg(
         F.round(F.first("observed"), 6).alias("observed"),

@@ -148,3 +148,18 @@ def test_resampling_draws_by_digest_and_not_for_zeros(spark):
         for r in range(40):
             own = [(int(weights[draw(c, r)]), v) for c, v in rows]
             assert got[r] == (sum(w * v for w, v in own), sum(w for w, v in own if v or weighed))
+
+
+def test_bm25_reads_the_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = spark.createDataFrame([(k, f"word{k % 7} tea {'cup' * (k % 3)}") for k in range(60)], "id long, text string").withColumn("text", seen.asNondeterministic()("text"))
+    words = search.tokenized(docs, "id", {"text": F.col("text")})
+    queries = search.asked_terms(spark.createDataFrame([(1, "tea word3"), (2, "cup")], "q long, t string"), "q", F.col("t"))
+    found = search.bm25(queries, words, "id", {"text": 1.0}, k=3).collect()
+    assert len(found) == 6 and read.value == 60

@@ -145,3 +145,10 @@ def test_secrets(spark):
         O.reject_secrets(spark.sql("SELECT map('Authorization', 1) AS m"), "m").collect()
     assert O.reject_secrets(spark.sql("SELECT 1 AS authorizations, map('k', 1) AS m"), "m").count() == 1
     assert O.hidden_fields(spark.sql("SELECT array(named_struct('goal', 1)) AS a"), ("goal",)) == ["a[].goal"]
+
+
+def test_measures_that_nobody_reads_are_not_worked_out(spark):
+    from tidemark.plans import trajectories as plan
+
+    made = plan.assembled_results(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "guard_rejection" not in made and "says" not in made

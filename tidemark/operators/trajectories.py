@@ -238,10 +238,10 @@ def judge_view(trajectories: DataFrame, measured: DataFrame, keys: tuple[str, ..
 
 
 def _single(rows: DataFrame, key: str, *payload: Column) -> DataFrame:
-    """A row a key: its payload, and ``_n``, how many rows it had."""
+    """A row a key: its payload as columns, so that what nobody reads isn't worked out, and ``_n``, how many rows it had. The payload of several rows is mixed."""
     names = [f"_{i}" for i in range(len(payload))]
-    one = rows.select(key, F.struct(*(c.alias(n) for c, n in zip(payload, names, strict=True))).alias("_p"))
-    return one.groupBy(key).agg(F.first("_p").alias("_p"), F.count("*").alias("_n"))
+    one = rows.select(key, *(c.alias(n) for c, n in zip(payload, names, strict=True)))
+    return one.groupBy(key).agg(*(F.first(n).alias(n) for n in names), F.count("*").alias("_n"))
 
 
 def assembled(trajectories: DataFrame, measured: DataFrame, rubrics: DataFrame, judged: DataFrame, task: str = "task_id", run: str = "trajectory_id") -> DataFrame:
@@ -253,21 +253,21 @@ def assembled(trajectories: DataFrame, measured: DataFrame, rubrics: DataFrame,
     def parts(rows: DataFrame, *keys: str) -> Column:
         return F.struct(*(c for c in rows.columns if c not in keys))
 
-    m = _single(measured, run, F.col(task), F.col("validity.infrastructure_invalid"), parts(measured, run, task)).select(run, F.col("_p").alias("_m"), F.col("_n").alias("_mn"))
-    r = _single(rubrics, task, parts(rubrics, task)).select(task, F.col("_p").alias("_r"), F.col("_n").alias("_rn"))
-    j = _single(judged, run, F.col(task), F.col("judge_status"), parts(judged, run, task)).select(run, F.col("_p").alias("_j"), F.col("_n").alias("_jn"))
+    m = _single(measured, run, F.col(task), F.col("validity.infrastructure_invalid"), parts(measured, run, task)).toDF(run, "_m_task", "_m_invalid", "_m", "_mn")
+    r = _single(rubrics, task, parts(rubrics, task)).toDF(task, "_r", "_rn")
+    j = _single(judged, run, F.col(task), F.col("judge_status"), parts(judged, run, task)).toDF(run, "_j_task", "_j_status", "_j", "_jn")
     both = trajectories.join(m, run, "left").join(r, task, "left").join(j, run, "left")
     fault = (
-        F.when(F.col("_m").isNull(), "metrics_missing")
+        F.when(F.col("_mn").isNull(), "metrics_missing")
         .when(F.col("_mn") > 1, "metrics_duplicate")
-        .when(F.col("_m._0") != F.col(task), "metrics_of_another_task")
-        .when(F.col("_r").isNull(), "rubric_missing")
+        .when(F.col("_m_task") != F.col(task), "metrics_of_another_task")
+        .when(F.col("_rn").isNull(), "rubric_missing")
         .when(F.col("_rn") > 1, "rubric_duplicate")
-        .when(F.col("_j").isNull(), "judge_missing")
+        .when(F.col("_jn").isNull(), "judge_missing")
         .when(F.col("_jn") > 1, "judge_duplicate")
-        .when(F.col("_j._0") != F.col(task), "judge_of_another_task")
-        .when(F.col("_m._1") & (F.col("_j._1") != "not_judged"), "invalid_run_judged")
+        .when(F.col("_j_task") != F.col(task), "judge_of_another_task")
+        .when(F.col("_m_invalid") & (F.col("_j_status") != "not_judged"), "invalid_run_judged")
     )
     once = lambda n, c: F.when(F.col(n) == 1, F.col(c))
-    found = both.withColumns({"metrics": once("_mn", "_m._2"), "rubric": once("_rn", "_r._0"), "judge": once("_jn", "_j._2"), "fault": fault})
-    return found.drop("_m", "_mn", "_r", "_rn", "_j", "_jn")
+    found = both.withColumns({"metrics": once("_mn", "_m"), "rubric": once("_rn", "_r"), "judge": once("_jn", "_j"), "fault": fault})
+    return found.drop("_m_task", "_m_invalid", "_m", "_mn", "_r", "_rn", "_j_task", "_j_status", "_j", "_jn")

@@ -69,3 +69,33 @@ def test_branches_of_a_state(spark):
     assert got["s"].natural_suffix_group_candidate and got["s"].eligible_mixed_strict and got["s"].utility_varying
     assert [(x.action, x.visits, x.strict, x.mean_utility) for x in got["s"].action_outcomes] == [("a", 3, 2, 2.5 / 3), ("b", 1, 0, 0.0)]
     assert got["u"].mixed_strict and not got["u"].eligible_mixed_strict and not got["u"].utility_varying
+
+
+def test_running_sets_ask_only_for_known_kinds():
+    import pandas as pd
+
+    from tidemark.streaming.running import _Running
+
+    class State(dict):
+        asked = 0
+
+        def containsKey(self, k):
+            self.asked += 1
+            return k in self
+
+        def getValue(self, k):
+            return self[k]
+
+        def updateValue(self, k, v):
+            self[k] = v
+
+    run = _Running(1000)
+    run.seen, run.counts = State(), State()
+    rows = pd.DataFrame({"kind": ["a", "a", "b", None, "a"], "value": ["x", "x", None, "z", "y"], "amount": [1.0, None, 2.5, 9.0, 3.0], "flag": [False, None, True, True, None]})
+    out = next(run.handleInputRows((7,), iter([rows, rows.head(2)]), None))
+    assert sorted(map(tuple, out.itertuples(index=False))) == [(7, "a", 2, 5, 5.0, 3.0, False), (7, "b", 0, 1, 2.5, 2.5, True)]
+    assert run.seen.asked == 0
+    more = pd.DataFrame({"kind": ["a", "a"], "value": ["x", "w"], "amount": [None, 7.0], "flag": [True, False]})
+    assert [tuple(r) for r in next(run.handleInputRows((7,), iter([more]), None)).itertuples(index=False)] == [(7, "a", 3, 7, 12.0, 7.0, True)]
+    assert run.seen.asked == 2
+    assert list(run.handleInputRows((8,), iter([rows[3:4]]), None)) == []

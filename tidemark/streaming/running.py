@@ -15,6 +15,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 _OUT = "session long, kind string, distinct long, steps long, total double, largest double, flagged boolean"
 _COUNTS = "distinct long, steps long, total double, largest double, flagged boolean"
 
+#: Values of a batch that are remembered as written; beyond, the state is asked.
+MOST_FRESH = 100_000
+
+
+def _missing(x: object) -> bool:
+    return x is None or x != x
+
 
 class _Running(StatefulProcessor):
     def __init__(self, keep: int) -> None:
@@ -26,17 +33,32 @@ class _Running(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         touched: dict[str, tuple] = {}
+        # Each call of the state is a round trip. A value is written once a batch, and looked for only where its kind is known: counts are written
+        # with every value, so that a kind without counts has no values either.
+        known: set[str] = set()
+        fresh: set[tuple[str, str]] = set()
         for batch in rows:
-            for kind, part in batch.groupby("kind", sort=True):
+            for kind, value, amount, flag in zip(*(batch[c].tolist() for c in ("kind", "value", "amount", "flag")), strict=True):
+                if _missing(kind):
+                    continue
                 if kind not in touched:
                     touched[kind] = self.counts.getValue((kind,)) if self.counts.containsKey((kind,)) else (0, 0, 0.0, float("-inf"), False)
+                    if touched[kind][1]:
+                        known.add(kind)
                 distinct, steps, total, largest, flagged = touched[kind]
-                for value in part["value"].dropna().unique():
-                    if not self.seen.containsKey((kind, value)):
+                if not _missing(value) and (kind, value) not in fresh:
+                    if kind not in known or not self.seen.containsKey((kind, value)):
                         distinct += 1
                     self.seen.updateValue((kind, value), (True,))
-                amounts = part["amount"].dropna()
-                touched[kind] = (distinct, steps + len(part), total + float(amounts.sum()), max(largest, float(amounts.max())) if len(amounts) else largest, flagged or bool(part["flag"].fillna(False).any()))
+                    fresh.add((kind, value))
+                    if len(fresh) > MOST_FRESH:
+                        fresh.clear()
+                        known.update(touched)
+                if not _missing(amount):
+                    total, largest = total + float(amount), max(largest, float(amount))
+                touched[kind] = (distinct, steps + 1, total, largest, flagged or (not _missing(flag) and bool(flag)))
+        if not touched:
+            return
         for kind, state in touched.items():
             self.counts.updateValue((kind,), state)
         columns = zip(*touched.values(), strict=True)

@@ -90,3 +90,16 @@ def test_hidden_levels_do_not_begin_with_the_texts_again(spark):
     found = hidden.forbidden_paths(df, "id", F.col("t"))
     assert "Range" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted({r.path for r in found.collect()}) == ["$.a[0].goal", "$.a[0].goal.b.gold"]
+
+
+def test_runs_of_characters(spark):
+    texts = ["a\nb😀c", "", "xx", "xxxx"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: sorted(r.g) for r in df.select("i", C.grams(F.col("t"), [2, 4]).alias("g")).collect()}
+    assert got == {i: sorted({t[k : k + n] for n in (2, 4) for k in range(len(t) - n + 1)}) for i, t in enumerate(texts)}
+
+
+def test_conversations_are_dealt_to_all_cores(spark):
+    from tidemark.plans import features as plan
+
+    assert plan.tasks(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -50,7 +50,8 @@ def folded_characters(text: Column) -> Column:
     # One literal, which the optimizer turns into a map once.
     spelled = F.str_to_map(F.lit("\1".join(f"{c}\2{f}" for c, f in several.items())), F.lit("\1"), F.lit("\2"))
     one = lambda t: F.lower(F.translate(t, single, into))
-    each = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), one(c))), "")
+    # The map is looked through from its beginning, so only characters that can be in it are looked up.
+    each = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.octet_length(c) == 1, F.lower(c)).otherwise(F.coalesce(F.try_element_at(spelled, c), one(c)))), "")
     # A class of hundreds of characters costs a regular expression a test of each at every place; ASCII is told by its length.
     ascii_only = F.octet_length(text) == F.char_length(text)
     return F.when(ascii_only, F.lower(text)).when(F.char_length(F.translate(text, "".join(several), "")) < F.char_length(text), each).otherwise(one(text))

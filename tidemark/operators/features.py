@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.logic import bound
-from ..functions.sizes import small
+from ..functions.sizes import small, written
 from ..functions.text import collapsed, folded_characters
 from . import variants
 from .scoring import status
@@ -38,11 +38,9 @@ def normal(text: Column) -> Column:
     return F.regexp_replace(folded_characters(F.coalesce(text, F.lit(""))), r"(?U)\s+", "")
 
 
-def grams(text: Column) -> Column:
-    """Distinct runs of SHORTEST to GRAM characters."""
-    n = F.length(text)
-    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*(of(k) for k in range(SHORTEST, GRAM + 1))))
+def grams(text: Column, lengths: list[int]) -> Column:
+    """Distinct runs of so many characters, each found in one pass: substring() would begin at the text's beginning for each. No run begins within a surrogate pair."""
+    return F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(rf"(?s)(?![\uDC00-\uDFFF])(?=(.{{{k}}}))"), 1) for k in lengths))))
 
 
 def alias_table(canonical: DataFrame) -> DataFrame:
@@ -82,13 +80,16 @@ def explicit_brands(tasks: DataFrame, aliases: DataFrame, key: str, instruction:
 
     ``aliases`` is an ``alias_table``. ``key`` is unique; nulls are empty texts.
     """
-    texts = tasks.select(key, normal(F.col(instruction)).alias("_said"), normal(F.col(title)).alias("_title"), normal(F.col(shop)).alias("_shop"))
-    named = aliases.where(F.length("alias") >= SHORTEST).select("alias", "canonical", F.left("alias", F.lit(GRAM)).alias("_gram"))
-    begins = texts.select(key, "_said", F.concat("_title", "_shop").alias("_target"), F.explode(grams(F.col("_said"))).alias("_gram"))
+    texts = written(tasks.select(key, normal(F.col(instruction)).alias("_said"), normal(F.col(title)).alias("_title"), normal(F.col(shop)).alias("_shop")))
+    named = written(aliases.where(F.length("alias") >= SHORTEST).select("alias", "canonical", F.left("alias", F.lit(GRAM)).alias("_gram")))
+    # Three numbers at most: the lengths of the beginnings.
+    lengths = sorted(r.n for r in named.select(F.length("_gram").alias("n")).distinct().collect())
+    nothing = F.array().cast("array<string>")
+    begins = texts.select(key, "_said", F.concat("_title", "_shop").alias("_target"), F.explode(grams(F.col("_said"), lengths) if lengths else nothing).alias("_gram"))
     found = begins.join(small(named), "_gram").where(F.col("_said").contains(F.col("alias")) & F.col("_target").contains(F.col("alias")))
     found = found.groupBy(key).agg(F.collect_set("canonical").alias("_named"))
     own = texts.select(key, F.array_compact(F.array(shop_brand(F.col("_said"), F.col("_title"), F.col("_shop")))).alias("_own"))
-    every = F.array_union(F.coalesce("_named", F.array().cast("array<string>")), F.col("_own"))
+    every = F.array_union(F.coalesce("_named", nothing), F.col("_own"))
     return own.join(found, key, "left").select(key, F.array_sort(every).alias("expected_brand"))
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -208,3 +209,22 @@ def test_holders_of_a_shingle_are_paired_across_components(monkeypatch, block):
                 want.add((i, j))
     assert set(got) == want and want
     assert bool(dealt.num_rows) == (block < 60)
+
+
+def test_words_of_a_batch_are_not_held_together():
+    import tracemalloc
+
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    texts = [" ".join(f"w{k}x{i % 97}" for i in range(400)) for k in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["k", "text"])
+    run = simhash._prints("k", 5, 2, 0.8, none)
+    next(run(iter([batch.slice(0, 5)])))
+    tracemalloc.start()
+    try:
+        out = next(run(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # As objects the batch's 240,000 words take some 10 MB.
+    assert most < 3_000_000
+    assert out.num_rows == len(texts) and out.column(3).to_pylist()[0] == len(np.unique(np.array(simhash.shingle_hashes(texts[0].encode().split(), 5), dtype=np.uint64)))

@@ -451,6 +451,27 @@ def _sharing(least: float):
     return run, blocks
 
 
+def _number(words: list[bytes]) -> int:
+    x = xxhash.xxh64_intdigest(b" ".join(words), 7)
+    return x - (x >> 63 << 64)
+
+
+def _prints(key: str, size: int, several: int, least: float, frequent: tuple[np.ndarray, np.ndarray]):
+    """Rows (key, id, fps, n, prefix). One text is cut up at a time: a whole batch's words, as objects, take ten times its bytes."""
+
+    def of(text: str | None) -> tuple[int, bytes, int, bytes]:
+        words = words_of(text)
+        own = _shingle_set(words, size)
+        return _number(words), fingerprint(words, size, several).tobytes(), len(own), prefix(own, least, frequent).tobytes() if len(own) else b""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, fps, sizes, own = zip(*(of(t.as_py()) for t in b.column(1)), strict=True) if b.num_rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(own, pa.binary())], [key, "id", "fps", "n", "prefix"])
+
+    return run
+
+
 def similar_texts(docs: DataFrame, size: int, least: float, key: str) -> tuple[DataFrame, DataFrame]:
     """((key, text) of every row, (a, b) of similar texts): texts are numbered by a hash of their words; the links make up the classes of
     all pairs of similarity ``least`` or more.
@@ -464,22 +485,10 @@ def similar_texts(docs: DataFrame, size: int, least: float, key: str) -> tuple[D
     bits, several = plan_paths(rows)[0], FIRST
     frequent = _frequent(docs, size, rows)
 
-    def number(words: list[bytes]) -> int:
-        x = xxhash.xxh64_intdigest(b" ".join(words), 7)
-        return x - (x >> 63 << 64)
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [words_of(t.as_py()) for t in b.column(1)]
-            fps = [fingerprint(w, size, several).tobytes() for w in texts]
-            sets = [_shingle_set(w, size) for w in texts]
-            own = [prefix(x, least, frequent).tobytes() if len(x) else b"" for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([number(w) for w in texts], pa.int64()), pa.array(fps, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(own, pa.binary())], [key, "id", "fps", "n", "prefix"])
-
-    found = cut(docs.select(key, "text").mapInArrow(prints, f"{key} long, id long, fps binary, n int, prefix binary"))
+    found = cut(docs.select(key, "text").mapInArrow(_prints(key, size, several, least, frequent), f"{key} long, id long, fps binary, n int, prefix binary"))
     reps = found.groupBy("id").agg(F.min("fps").alias("fps"))
     rows = reps.mapInArrow(_paths(bits, several), "perm int, path long, value long, id long")
-    first = cut(_similar(docs, _linked(rows, [bits] * (several * (BITS // bits)), ROOM).distinct(), number, size, least))
+    first = cut(_similar(docs, _linked(rows, [bits] * (several * (BITS // bits)), ROOM).distinct(), size, least))
 
     classes = connected_components(first).select(F.col("node").alias("id"), "component")
     prefixes = found.groupBy("id").agg(F.min(F.struct("n", "prefix")).alias("p")).join(classes, "id", "left")
@@ -489,10 +498,10 @@ def similar_texts(docs: DataFrame, size: int, least: float, key: str) -> tuple[D
     shared = cut(holders.repartition(n, "shingle").sortWithinPartitions("shingle", "component").mapInArrow(pairs, schema))
     dealt = shared.where("left IS NOT NULL").select("left", "right").repartition(n).mapInArrow(blocks, schema)
     others = shared.where("a IS NOT NULL").unionAll(dealt).select("a", "b").distinct()
-    return found.select(key, "id"), cut(first.unionAll(_similar(docs, others, number, size, least)))
+    return found.select(key, "id"), cut(first.unionAll(_similar(docs, others, size, least)))
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, number, size: int, least: float) -> DataFrame:
+def _similar(docs: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
     """Those of the pairs (a, b) of texts' numbers whose texts are of similarity ``least`` or more."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = cut(pairs)
@@ -501,8 +510,9 @@ def _similar(docs: DataFrame, pairs: DataFrame, number, size: int, least: float)
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            texts = [b" ".join(words_of(t.as_py())) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([number([t]) for t in texts], pa.int64()), pa.array(map(pack, texts), pa.binary())], ["id", "text"])
+            texts = (b" ".join(words_of(t.as_py())) for t in b.column(0))
+            ids, packed = zip(*((_number([t]), pack(t)) for t in texts), strict=True) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["id", "text"])
 
     asked = pairs.withColumn("pair", F.monotonically_increasing_id()).select("pair", F.explode(F.array("a", "b")).alias("id"))
     texts = docs.select("text").mapInArrow(small, "id long, text binary").select("id", F.lit(None).cast("long").alias("pair"), "text")

@@ -228,3 +228,63 @@ def test_words_of_a_batch_are_not_held_together():
     # As objects the batch's 240,000 words take some 10 MB.
     assert most < 3_000_000
     assert out.num_rows == len(texts) and out.column(3).to_pylist()[0] == len(np.unique(np.array(simhash.shingle_hashes(texts[0].encode().split(), 5), dtype=np.uint64)))
+
+
+def test_marks_never_rule_out_a_similar_pair():
+    r = random.Random(4)
+    sets, marks = [], []
+    for n in (1, 14, 16, 17, 40, 150, 700, 3000):
+        for keep in (1.0, 0.97, 0.9, 0.8, 0.5, 0.0):
+            own = {r.getrandbits(64) for _ in range(n)}
+            other = set(r.sample(sorted(own), int(keep * n))) | {r.getrandbits(64) for _ in range(n - int(keep * n) + r.randrange(2))}
+            sets += [own, other]
+    marks = [simhash._mark(np.array(sorted(s), dtype=np.uint64)) for s in sets]
+    n = np.array([len(s) for s in sets], dtype=np.int32)
+    assert [len(m) for m in marks] == simhash._mark_sizes(n).tolist()
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    side = n, np.concatenate(marks)
+    got = simhash._mark_differences(side, side, i, j)
+    for a, b, d in zip(i.tolist(), j.tolist(), got.tolist(), strict=True):
+        assert d <= len(sets[a] ^ sets[b]) and (a != b or d == 0)
+    # And those that are far apart are told apart.
+    far = [(a, b) for a in range(0, len(sets), 2) for b in (a + 1,) if len(sets[a]) >= 40 and len(sets[a] & sets[b]) <= len(sets[a]) / 2]
+    assert far and all(got[(i == a) & (j == b)][0] > 2 / 9 * (len(sets[a]) + len(sets[b])) for a, b in far if len(sets[a]) <= 700)
+
+
+def test_dense_group_of_unlike_copies_gives_few_candidates(spark, monkeypatch):
+    """Copies that differ from each other by more than the limit share most shingles; they aren't handed out pair by pair."""
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(20_000)]
+    base = r.choices(words, k=150)
+    rows = []
+    for d in range(300):
+        text = list(base)
+        for k in r.sample(range(150), r.choice([2, 6, 6, 6, 7])):
+            text[k] = r.choice(words)
+        rows.append((d, " ".join(text)))
+    asked = []
+    real = simhash._similar
+
+    def spy(docs, names, pairs, *rest):
+        pairs = simhash.cut(pairs)
+        asked.append(pairs.count())
+        return real(docs, names, pairs, *rest)
+
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t in rows]
+    label = list(range(300))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(300):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                label[b] = a
+    monkeypatch.setattr(simhash, "_similar", spy)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.deduplicated(docs).collect()) == sorted({find(i) for i in range(300)})
+    assert len({find(i) for i in range(300)}) > 30
+    assert sum(asked[1:]) < 500, asked

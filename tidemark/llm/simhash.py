@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, words_of
+from .common import BROADCAST_BYTES, connected_components, cut, words_of
 
 BITS = 64
 #: Pairs of nodes held at once; more wait on a stack.
@@ -286,7 +286,9 @@ FIRST = 2
 #: Texts among which frequent shingles are sought, at least one in so many of all, and holders among them that make a shingle frequent.
 SAMPLE, SAMPLED, LEAST = 100_000, 8, 3
 #: Holders of a shingle from which on their pairs are dealt as blocks; pairs looked at at once.
-BLOCK, PAIRS = 4_096, 1 << 20
+BLOCK, PAIRS = 4_096, 1 << 17
+#: 64-bit numbers of a set's mark at most.
+MARK = 32
 
 
 def plan_paths(texts: int) -> tuple[int, int]:
@@ -354,6 +356,34 @@ def prefix(hashes: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndar
     return hashes[np.lexsort((hashes, level))][: len(hashes) - ceil(least * len(hashes) - 1e-9) + 1]
 
 
+def _mark_sizes(n: np.ndarray) -> np.ndarray:
+    """64-bit numbers of the marks of sets of n members: a power of two, with four bits a member where MARK allows."""
+    return np.minimum(1 << np.ceil(np.log2(np.maximum(n, 16) / 16)).astype(np.int64), MARK)
+
+
+def _mark(hashes: np.ndarray) -> np.ndarray:
+    """Bits of a set: each is the parity of the members that fall on it, so two sets differ in as many members at least as their marks in bits."""
+    size = int(_mark_sizes(np.array([len(hashes)]))[0])
+    at = (hashes & np.uint64(64 * size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * size) & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def _mark_differences(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which the marks i of x and j of y differ; x, y: sizes of the sets, and their marks one after another. A larger mark is folded to the smaller one's size."""
+    (m, left), (n, right) = x, y
+    sizes = _mark_sizes(m), _mark_sizes(n)
+    starts = [np.cumsum(w) - w for w in sizes]
+    kind = sizes[0][i] * (2 * MARK) + sizes[1][j]
+    out = np.zeros(len(i), dtype=np.int64)
+    for k in np.unique(kind):
+        at = np.flatnonzero(kind == k)
+        a, b = int(k) // (2 * MARK), int(k) % (2 * MARK)
+        one, other = left[starts[0][i[at]][:, None] + np.arange(a)], right[starts[1][j[at]][:, None] + np.arange(b)]
+        one, other = (np.bitwise_xor.reduce(v.reshape(len(at), -1, min(a, b)), axis=1) for v in (one, other))
+        out[at] = np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (shingle, component, id, n, place) of each text's prefix."""
     for b in batches:
@@ -372,26 +402,47 @@ def _candidates(left: np.ndarray, right: np.ndarray, n: np.ndarray, place: np.nd
     return common >= least / (1 + least) * (x + y) - 1e-6
 
 
-def _sharing(least: float):
-    """Reads holders sorted by shingle and component: candidates of different components as (a, b), and for shingles of more than BLOCK holders
-    blocks (left, right) of these; holds a batch and the holders of one shingle."""
+def _sharing(least: float, forest: bool = False):
+    """Reads holders sorted by shingle and component, with their sets' marks (equal ones where there are none): candidates of different components as (a, b), and for shingles of more
+    than BLOCK holders blocks (left, right) of these; holds a batch and the holders of one shingle.
+
+    Candidates are pairs whose sizes, places and marks don't rule out that they are similar. ``forest``: of those looked at at once only some, nearest first,
+    that join up their components."""
     kind = np.dtype([("component", "<i8"), ("id", "<i8"), ("n", "<i4"), ("place", "<i4")])
+    Side = tuple[np.ndarray, np.ndarray]
+
+    def block(side: Side) -> bytes:
+        return np.int64(len(side[0])).tobytes() + side[0].tobytes() + side[1].tobytes()
 
-    def pairs(shingle: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def unblock(held: bytes) -> Side:
+        many = int(np.frombuffer(held[:8], dtype="<i8")[0])
+        rows = np.frombuffer(held[8 : 8 + many * kind.itemsize], dtype=kind)
+        return rows, np.frombuffer(held[8 + many * kind.itemsize :], dtype="<u8")
+
+    def part(side: Side, some: np.ndarray | slice) -> Side:
+        sizes = _mark_sizes(side[0]["n"])
+        if isinstance(some, slice):
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            return side[0][some], side[1][ends[some.start] : ends[some.stop]]
+        return side[0][some], side[1][np.repeat(some, sizes)]
+
+    def pairs(shingle: np.ndarray, side: Side) -> Iterator[pa.RecordBatch]:
+        rows = side[0]
         begins = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
         for s, e in zip(begins.tolist(), np.append(begins[1:], len(rows)).tolist(), strict=True):
             if e - s > BLOCK and rows["component"][s] != rows["component"][e - 1]:
-                parts = [rows[k : min(e, k + BLOCK)] for k in range(s, e, BLOCK)]
+                parts = [part(side, slice(k, min(e, k + BLOCK))) for k in range(s, e, BLOCK)]
                 for k, x in enumerate(parts):
                     for y in parts[k:]:
-                        if x["component"][0] != y["component"][-1]:
-                            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([b"" if y is x else y.tobytes()], pa.binary())], ["a", "b", "left", "right"])
+                        if x[0]["component"][0] != y[0]["component"][-1]:
+                            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([block(x)], pa.binary()), pa.array([b"" if y is x else block(y)], pa.binary())], ["a", "b", "left", "right"])
         sizes = np.diff(np.append(begins, len(rows)))
         some = np.repeat((sizes > 1) & (sizes <= BLOCK), sizes)
-        yield from across(shingle[some], rows[some])
+        yield from across(shingle[some], part(side, some))
 
-    def across(shingle: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def across(shingle: np.ndarray, side: Side) -> Iterator[pa.RecordBatch]:
         """Pairs of each row and the rows of its shingle's later components."""
+        rows = side[0]
         if not len(rows):
             return
         new = shingle[1:] != shingle[:-1]
@@ -400,20 +451,32 @@ def _sharing(least: float):
         own = np.arange(len(rows))
         segment_end = np.append(apart, len(rows))[np.searchsorted(apart, own, side="right")]
         group_end = group[np.searchsorted(group, own, side="right")]
-        yield from tested(rows, own, segment_end, group_end - segment_end, rows)
+        yield from tested(side, segment_end, group_end - segment_end, side)
 
-    def tested(rows: np.ndarray, left: np.ndarray, first: np.ndarray, many: np.ndarray, others: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def tested(side: Side, first: np.ndarray, many: np.ndarray, others: Side) -> Iterator[pa.RecordBatch]:
+        rows, right = side[0], others[0]
         ends = np.cumsum(many)
         at = 0
-        while at < len(left):
+        while at < len(rows):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
             n = many[at:to]
-            i = np.repeat(left[at:to], n)
+            i = np.repeat(np.arange(at, to), n)
             j = np.repeat(first[at:to] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            both = np.concatenate((rows[i], others[j]))
+            both = np.concatenate((rows[["n", "place"]][i], right[["n", "place"]][j]))
             k = np.arange(len(i))
             good = _candidates(k, k + len(i), both["n"], both["place"], least)
-            a, b = both["id"][: len(i)][good], both["id"][len(i) :][good]
+            i, j = i[good], j[good]
+            x, y = rows["n"][i].astype(np.int64), right["n"][j].astype(np.int64)
+            apart = _mark_differences((rows["n"], side[1]), (right["n"], others[1]), i, j)
+            near = apart <= (1 - least) / (1 + least) * (x + y) + 1e-6
+            i, j, apart = i[near], j[near], apart[near]
+            if forest and len(i):
+                order = np.argsort(apart, kind="stable")
+                i, j = i[order], j[order]
+                names, of = np.unique(np.concatenate((rows["component"][i], right["component"][j])), return_inverse=True)
+                used = _union(np.arange(len(names)), of[: len(i)], of[len(i) :])[1]
+                i, j = i[used], j[used]
+            a, b = rows["id"][i], right["id"][j]
             if len(a):
                 ab = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
                 none = pa.nulls(ab.shape[1], pa.binary())
@@ -421,32 +484,40 @@ def _sharing(least: float):
             at = to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, Side]] = []
+
+        def done(more: list[tuple[np.ndarray, Side]]) -> Iterator[pa.RecordBatch]:
+            shingles, sides = zip(*more, strict=True)
+            yield from pairs(np.concatenate(shingles), tuple(np.concatenate(x) for x in zip(*sides, strict=True)))
+
         for b in batches:
             if not b.num_rows:
                 continue
             rows = np.empty(b.num_rows, dtype=kind)
             for name in kind.names:
                 rows[name] = b.column(b.schema.get_field_index(name)).to_numpy()
+            at = b.schema.get_field_index("mark")
+            marks = np.frombuffer(b"".join(b.column(at).to_pylist()), dtype="<u8") if at >= 0 else np.zeros(_mark_sizes(rows["n"]).sum(), dtype="<u8")
+            side = rows, marks
             shingle = b.column(0).to_numpy()
             last = int(np.searchsorted(shingle, shingle[-1]))
             if last or (held and held[0][0][0] != shingle[0]):
-                done = [*held, (shingle[:last], rows[:last])]
-                yield from pairs(*(np.concatenate(x) for x in zip(*done, strict=True)))
+                yield from done([*held, (shingle[:last], part(side, slice(0, last)))])
                 held = []
-            held.append((shingle[last:], rows[last:]))
+            held.append((shingle[last:], part(side, slice(last, len(rows)))))
         if held:
-            yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from done(held)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x, y in zip(b.column(0), b.column(1), strict=True):
-                left, right = np.frombuffer(x.as_py(), dtype=kind), np.frombuffer(y.as_py(), dtype=kind)
-                if not len(right):
-                    yield from across(np.zeros(len(left), dtype=np.int64), left)
+                left = unblock(x.as_py())
+                if not len(y.as_py()):
+                    yield from across(np.zeros(len(left[0]), dtype=np.int64), left)
                 else:
-                    first = np.searchsorted(right["component"], left["component"], side="right")
-                    yield from tested(left, np.arange(len(left)), first, len(right) - first, right)
+                    right = unblock(y.as_py())
+                    first = np.searchsorted(right[0]["component"], left[0]["component"], side="right")
+                    yield from tested(left, first, len(right[0]) - first, right)
 
     return run, blocks
 
@@ -457,17 +528,17 @@ def _number(words: list[bytes]) -> int:
 
 
 def _prints(key: str, size: int, several: int, least: float, frequent: tuple[np.ndarray, np.ndarray]):
-    """Rows (key, id, fps, n, prefix). One text is cut up at a time: a whole batch's words, as objects, take ten times its bytes."""
+    """Rows (key, id, fps, n, prefix, mark). One text is cut up at a time: a whole batch's words, as objects, take ten times its bytes."""
 
-    def of(text: str | None) -> tuple[int, bytes, int, bytes]:
+    def of(text: str | None) -> tuple[int, bytes, int, bytes, bytes]:
         words = words_of(text)
         own = _shingle_set(words, size)
-        return _number(words), fingerprint(words, size, several).tobytes(), len(own), prefix(own, least, frequent).tobytes() if len(own) else b""
+        return _number(words), fingerprint(words, size, several).tobytes(), len(own), prefix(own, least, frequent).tobytes() if len(own) else b"", _mark(own).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, fps, sizes, own = zip(*(of(t.as_py()) for t in b.column(1)), strict=True) if b.num_rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(own, pa.binary())], [key, "id", "fps", "n", "prefix"])
+            ids, fps, sizes, own, marks = zip(*(of(t.as_py()) for t in b.column(1)), strict=True) if b.num_rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), *(pa.array(x, pa.binary()) for x in (own, marks))], [key, "id", "fps", "n", "prefix", "mark"])
 
     return run
 
@@ -478,34 +549,57 @@ def similar_texts(docs: DataFrame, size: int, least: float, key: str) -> tuple[D
 
     First candidates share a path of one of several fingerprints and differ in at most ROOM bits of it: node pairs of the subtrie, cut off there.
     Of each subtrie those of a spanning forest are taken, and their similarity is worked out on the whole texts. Then texts that are in different
-    classes still and share a member of their prefixes are candidates, all of them, so that no link between classes is missed.
+    classes still and share a member of their prefixes are candidates, all of them that sizes and marks allow, so that no link between classes is missed.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.count()
     bits, several = plan_paths(rows)[0], FIRST
     frequent = _frequent(docs, size, rows)
 
-    found = cut(docs.select(key, "text").mapInArrow(_prints(key, size, several, least, frequent), f"{key} long, id long, fps binary, n int, prefix binary"))
+    found = cut(docs.select(key, "text").mapInArrow(_prints(key, size, several, least, frequent), f"{key} long, id long, fps binary, n int, prefix binary, mark binary"))
     reps = found.groupBy("id").agg(F.min("fps").alias("fps"))
     rows = reps.mapInArrow(_paths(bits, several), "perm int, path long, value long, id long")
-    first = cut(_similar(docs, _linked(rows, [bits] * (several * (BITS // bits)), ROOM).distinct(), size, least))
-
-    classes = connected_components(first).select(F.col("node").alias("id"), "component")
-    prefixes = found.groupBy("id").agg(F.min(F.struct("n", "prefix")).alias("p")).join(classes, "id", "left")
-    holders = prefixes.select("id", F.coalesce("component", "id").alias("component"), "p.n", "p.prefix").mapInArrow(_holders, "shingle long, component long, id long, n int, place int")
-    pairs, blocks = _sharing(least)
+    names = found.select(key, "id")
+    links = cut(_similar(docs, names, _linked(rows, [bits] * (several * (BITS // bits)), ROOM).distinct(), size, least))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        classes = connected_components(links).select(F.col("node").alias("id"), "component")
+        return rows.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    # Most shingles are held within one class: only the holders of the others get their marks.
+    def spread(holders: DataFrame) -> DataFrame:
+        of_shingle = Window.partitionBy("shingle")
+        several = F.min("component").over(of_shingle) < F.max("component").over(of_shingle)
+        return cut(holders.repartition(n, "shingle").withColumn("several", several).where("several").drop("several"))
+
+    marks = found.groupBy("id").agg(F.min("mark").alias("mark"))
+    prefixes = found.groupBy("id").agg(F.min(F.struct("n", "prefix")).alias("p"))
+    held = labelled(prefixes).select("id", "component", "p.n", "p.prefix").mapInArrow(_holders, "shingle long, component long, id long, n int, place int")
     schema = "a long, b long, left binary, right binary"
-    shared = cut(holders.repartition(n, "shingle").sortWithinPartitions("shingle", "component").mapInArrow(pairs, schema))
-    dealt = shared.where("left IS NOT NULL").select("left", "right").repartition(n).mapInArrow(blocks, schema)
-    others = shared.where("a IS NOT NULL").unionAll(dealt).select("a", "b").distinct()
-    return found.select(key, "id"), cut(first.unionAll(_similar(docs, others, size, least)))
-
-
-def _similar(docs: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of texts' numbers whose texts are of similarity ``least`` or more."""
+    # First some candidates that join up classes, then all that are in different classes still: a dense group would else be compared pair by pair.
+    for forest in (True, False):
+        held = spread(held if forest else labelled(held.drop("component")).select(*held.columns))
+        marked = held.join(marks, "id").select("shingle", "component", "id", "n", "place", "mark")
+        pairs, blocks = _sharing(least, forest)
+        shared = cut(marked.repartition(n, "shingle").sortWithinPartitions("shingle", "component").mapInArrow(pairs, schema))
+        dealt = shared.where("left IS NOT NULL").select("left", "right").repartition(n).mapInArrow(blocks, schema)
+        others = shared.where("a IS NOT NULL").unionAll(dealt).select("a", "b").distinct()
+        links = cut(links.unionAll(_similar(docs, names, others, size, least)))
+    return names, links
+
+
+def _similar(docs: DataFrame, names: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of texts' numbers whose texts are of similarity ``least`` or more; names: (key, number) of the rows of ``docs``."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = cut(pairs)
 
+    # One row of each text that is asked for, where their keys are few; else all rows go to the sort.
+    key = names.columns[0]
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    keys = cut(names.join(ids, "id").groupBy("id").agg(F.min(key).alias(key)).select(key))
+    if keys.count() * 32 <= BROADCAST_BYTES:
+        docs = docs.join(F.broadcast(keys), key, "left_semi")
+
     # Texts and the pairs that ask for them meet in one sort; each text is read once, whatever the number of its pairs.
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress

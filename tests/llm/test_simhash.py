@@ -288,3 +288,35 @@ def test_dense_group_of_unlike_copies_gives_few_candidates(spark, monkeypatch):
     assert sorted(x.doc_id for x in simhash.deduplicated(docs).collect()) == sorted({find(i) for i in range(300)})
     assert len({find(i) for i in range(300)}) > 30
     assert sum(asked[1:]) < 500, asked
+
+
+@pytest.mark.parametrize("block", [3, 5, 4096])
+def test_marks_go_with_the_holders_of_a_block(monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "PAIRS", 7)
+    r = random.Random(block)
+    base = [r.getrandbits(64) for _ in range(64)]
+    sets = [set(base[: r.choice([14, 30, 60])]) | {r.getrandbits(64) for _ in range(r.choice([2, 4, 9]))} for _ in range(60)]
+    marks = [simhash._mark(np.array(sorted(s), dtype=np.uint64)) for s in sets]
+    rows = sorted((r.choice([1, 2]), r.randrange(20), i, len(s), 0, marks[i].tobytes()) for i, s in enumerate(sets))
+    names = ["shingle", "component", "id", "n", "place", "mark"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows[k : k + 9]]) for k in range(0, 60, 9)]
+
+    def found(forest):
+        pairs, blocks = simhash._sharing(0.8, forest)
+        out = pa.Table.from_batches(list(pairs(iter(batches))))
+        dealt = out.filter(pa.compute.is_valid(out["left"])).select(["left", "right"])
+        got = [(x["a"], x["b"]) for x in out.to_pylist() if x["a"] is not None]
+        return {*got, *((x["a"], x["b"]) for b in blocks(iter(dealt.to_batches())) for x in b.to_pylist())}
+
+    apart = lambda a, b: int(simhash._mark_differences((np.array([len(sets[a])]), marks[a]), (np.array([len(sets[b])]), marks[b]), np.zeros(1, int), np.zeros(1, int))[0])
+    want, similar = set(), set()
+    for s, c, i, n, _, _ in rows:
+        for s2, c2, j, m, _, _ in rows:
+            if s == s2 and c != c2 and i < j and min(n, m) >= 0.8 / 1.8 * (n + m) - 1e-6:
+                if apart(i, j) <= (n + m) / 9 + 1e-6:
+                    want.add((i, j))
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    similar.add((i, j))
+    assert found(False) == want and similar <= want and similar
+    assert found(True) <= want and found(True)
